@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflux.llm.containment import find_contained
+
+    return find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflux.llm.token_records import read_records, write_records
 
@@ -33,5 +39,28 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_records, op3_transducer_bpe, op8_token_counts)}
-ORACLES: dict[str, str] = {}
+def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflux.llm.lsh_forest import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontamination, op2_token_records, op3_transducer_bpe, op8_token_counts, op10_lsh_forest)
+}
+_SHINGLES = """
+    select id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+                           when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
+    from (select id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from {})
+"""
+ORACLES: dict[str, str] = {
+    "op1_decontamination": f"""
+        with d as (select distinct id, s from ({_SHINGLES.format("(select doc_id as id, text from documents)")})),
+             b as (select distinct id, s from ({_SHINGLES.format("(select item_id as id, text from benchmark)")})),
+             n as (select id, count(*) as n_item from b group by id),
+             m as (select d.id as doc_id, b.id as item_id, count(*) as n_matched from d join b using (s) group by all)
+        select doc_id, item_id, n_matched, n_item, n_matched::double / n_item as containment
+        from m join n on n.id = m.item_id where 100 * n_matched >= 75 * n_item
+    """,
+}

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflux.llm.kernels import arrow_rows
 from folioflux.llm.shared import filesystem, new_folder, small_arrow_batches
 from folioflux.llm.tokenizing import piece_encoder
 
@@ -107,14 +108,14 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str | None = Non
                 files.move(a, b)
             return pa.RecordBatch.from_pylist([{"shard": now, "path": names[1], "records": records, "ids": ids}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("records", pa.int64()), ("ids", pa.int64())]))
 
-        for batch in batches:
-            for shard, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for part in (p for batch in batches for p in arrow_rows(batch, 4 << 20)):
+            for shard, doc, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), encoder.ids_of(part.column(2).to_pylist())):
                 if shard != now:
                     if out is not None:
                         yield close()
                     now, temp, records, ids, offset, index = shard, f"{base}/_{uuid.uuid4().hex}", 0, 0, 0, bytearray()
                     out = files.open_output_stream(f"{temp}.rec", buffer_size=1 << 20)
-                values = np.frombuffer(encoder.ids(text) + end, "<u4")
+                values = np.frombuffer(raw + end, "<u4")
                 record = frame(doc, values, squeeze)
                 out.write(record)
                 index += struct.pack(_INDEX, doc or 0, offset, len(record))

@@ -31,8 +31,32 @@ BYTE_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?
 _SAFE_CUT = re.compile("[A-Za-z] (?=[A-Za-z])")
 
 
+class Generations(dict):
+    """A bounded memo: when it is full it becomes the older generation, and what is used again comes back from there."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.older = limit, {}
+
+    def recall(self, keys) -> list:
+        """Bring the keys that the older generation holds back into this one; the keys that neither holds."""
+        missing = []
+        for k in keys:
+            v = self.older.get(k)
+            if v is None:
+                missing.append(k)
+            else:
+                self[k] = v
+        return missing
+
+    def turn(self) -> None:
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+
+
 class PieceEncoder:
-    """Byte-level BPE by the library, each distinct pre-token encoded once per worker.
+    """Byte-level BPE by the library, each distinct pre-token encoded once in a while per worker.
 
     A pre-token alone is one pre-token again, so its ids do not depend on its neighbours. Texts with characters
     outside UNSAFE's complement, or with an added token's string, go to the library whole.
@@ -41,24 +65,54 @@ class PieceEncoder:
     def __init__(self, path: str, limit: int = 1 << 18):
         import numpy as np
 
-        self.library, self.limit, self.np = tokenizer(path), limit, np
+        self.library, self.np = tokenizer(path), np
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        """All ids of a text as little-endian unsigned 32-bit integers."""
-        if UNSAFE.search(text) or any(a in text for a in self.added):
-            return self.np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces = BYTE_LEVEL.findall(text)
-        try:
-            return b"".join(map(self.cache.__getitem__, pieces))
-        except KeyError:
-            if len(self.cache) > self.limit:
-                self.cache.clear()
-            unseen = list({p for p in pieces if p not in self.cache})
-            for p, e in zip(unseen, self.library.encode_batch(unseen, add_special_tokens=False)):
-                self.cache[p] = self.np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(self.cache.__getitem__, pieces))
+        self.cache = Generations(limit)
+        symbols = self.library.get_vocab(with_added_tokens=False)
+        self.width = np.zeros(max(symbols.values()) + 1, np.int64)  # a vocabulary entry has a character a byte
+        self.width[list(symbols.values())] = [len(t) for t in symbols]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces; those of a blank and letters only in runs, as the library splits such a run at each blank."""
+        np, cache = self.np, self.cache
+        plain, rest = [], []
+        for p in pieces:
+            (plain if p[0] == " " and p[1:].isalpha() else rest).append(p)
+        for e, p in zip(self.library.encode_batch(rest, add_special_tokens=False), rest):
+            cache[p] = np.array(e.ids, "<u4").tobytes()
+        runs = [plain[k : k + 64] for k in range(0, len(plain), 64)]
+        for run, e in zip(runs, self.library.encode_batch(["".join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(p.encode()) for p in run])) + 1
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(run, (4 * ends).tolist()):
+                cache[p] = raw[at:end]
+                at = end
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """All ids of each text as little-endian unsigned 32-bit integers."""
+        out: list = [None] * len(texts)
+        cache, missing = self.cache, {}
+        cache.turn()
+        waiting = []
+        for i, text in enumerate(texts):
+            if UNSAFE.search(text) or any(a in text for a in self.added):
+                out[i] = self.np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            pieces = BYTE_LEVEL.findall(text)
+            found = list(map(cache.get, pieces))
+            if None in found:
+                gaps = [(k, pieces[k]) for k, f in enumerate(found) if f is None]
+                missing.update((p, None) for _, p in gaps)
+                waiting.append((i, found, gaps))
+            else:
+                out[i] = b"".join(found)
+        self._learn(cache.recall(missing))
+        for i, found, gaps in waiting:
+            for k, p in gaps:
+                found[k] = cache[p]
+            out[i] = b"".join(found)
+        return out
 
 
 def piece_encoder(path: str) -> PieceEncoder:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflux.llm.shared import filesystem, new_folder, small_arrow_batches
-from folioflux.llm.tokenizing import LETTER, NUMBER, SPACE, UNSAFE, tokenizer
+from folioflux.llm.tokenizing import LETTER, NUMBER, SPACE, UNSAFE, Generations, tokenizer
 
 _MAGIC = b"MADT0001"
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
@@ -278,6 +278,17 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str, most: int = 65_536, text
     return f"{path}/words.madt"
 
 
+_memos: dict[str, Generations] = {}
+
+
+def memo_of(path: str) -> Generations:
+    """This worker's memo of words for a lexicon; tasks that follow one another share it."""
+    if path not in _memos:
+        _memos.clear()
+        _memos[path] = Generations(1 << 18)
+    return _memos[path]
+
+
 ENCODED = "id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -298,28 +309,27 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False,
 
     def encode(batches):
         model, words = word_bpe(tokenizer_path), lexicon(path)
-        memo: dict[str | int, tuple[int, str, str]] = {i: (1, str(i), t) for t, i in model.added.items()}
-        fixed = len(memo)
+        memo = memo_of(path)
 
         def known(word):
-            ids = words.get(word)
+            ids = [word] if isinstance(word, int) else words.get(word)
             if ids is None:
                 ids = model.merge(word)
-            return len(ids), " ".join(map(str, ids)), model.decode(ids)
+            return " ".join(map(str, ids)), model.decode(ids)
 
         for batch in batches:
             out: list[tuple] = []
+            memo.turn()
             for text in batch.column(1).to_pylist():
                 own = model.words(text) if text else []
-                for w in own:
-                    if w not in memo:
+                found = list(map(memo.get, own))
+                if None in found:
+                    for w in memo.recall({w for w, f in zip(own, found) if f is None}):
                         memo[w] = known(w)
-                rows = [memo[w] for w in own]
-                ids, decoded = " ".join([r[1] for r in rows]), " ".join([r[2] for r in rows])
-                row = (sum([r[0] for r in rows]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+                    found = list(map(memo.__getitem__, own))
+                ids, decoded = " ".join([f[0] for f in found]), " ".join([f[1] for f in found])
+                row = (ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
                 out.append(row + (([int(x) for x in ids.split()], decoded) if keep_ids else ()))
-                if len(memo) > fixed + (1 << 17):
-                    memo = {w: memo[w] for w in [*model.added.values()]}
             columns = list(zip(*out)) if out else [[] for _ in range(3 + 2 * keep_ids)]
             types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
             names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]

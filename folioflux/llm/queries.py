@@ -39,6 +39,13 @@ def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflux.llm.top_k import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflux.llm.token_counts import count_tokens
 
@@ -53,7 +60,7 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_token_records, op3_transducer_bpe, op4_suffix_tree, op8_token_counts, op10_lsh_forest)
+    for f in (op1_decontamination, op2_token_records, op3_transducer_bpe, op4_suffix_tree, op6_exact_top_k, op8_token_counts, op10_lsh_forest)
 }
 _SHINGLES = """
     select id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
@@ -69,4 +76,13 @@ ORACLES: dict[str, str] = {
         select doc_id, item_id, n_matched, n_item, n_matched::double / n_item as containment
         from m join n on n.id = m.item_id where 100 * n_matched >= 75 * n_item
     """,
+    "op6_exact_top_k": """
+        with v as (select vec_id, list_transform(embedding, x -> floor(1024 * x::double)) as e from embeddings
+                   where vec_id is not null and embedding is not null
+                     and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+             s as (select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.e, c.e)::bigint as score
+                   from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0)
+        select query_id, rank::int as rank, vec_id, score
+        from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10
+    """,
 }

@@ -6,9 +6,10 @@
 3. Sorted orders are range-partitioned, so a region of any size is spread over tasks: it is cut where prefixes part,
    which makes the depth follow the region's size. In a run of sorted neighbours each node is joined to one leader
    whose signature agrees well enough: a star, never all pairs.
-4. Links are confirmed on full sets; components follow. Regions that still hold several components are searched
-   again, blocks against blocks, for agreeing signatures of different components, and those links are confirmed too,
-   so what step 3 cut apart is found.
+4. Links are confirmed on full sets; components follow. In regions that still hold several components, blocks
+   against blocks, each node proposes the best-agreeing node of another component; this is repeated while it joins
+   components. What is then left, agreeing nodes of components that stayed apart, is confirmed pair by pair, each pair
+   once, so that nothing steps 2 to 4 passed over is lost.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ AGREE = 72
 RUN = 2048
 BLOCK = 1024
 BLOOM_BITS = 1 << 25
+ROUNDS = 3
 _odd = np.random.default_rng(7).integers(0, 2**31, WIDTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SIGNED = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())]
 SIGNED = "doc_id long, n_shingles long, node long, keys array<long>, sig binary"
@@ -82,8 +84,9 @@ def _runs(batches, most: int | None = None):
         bounds = np.concatenate([[0], np.flatnonzero(run[1:] != run[:-1]) + 1, [len(run)]])
         if most:
             bounds = np.concatenate([np.arange(a, b, most) for a, b in zip(bounds[:-1], bounds[1:])] + [[len(run)]])
+        lists = {"keys": whole["keys"].combine_chunks().flatten().to_numpy().reshape(-1, TREES)} if "keys" in whole.column_names else {}
         sig = b"".join(whole["sig"].to_pylist())
-        return bounds, {c: whole[c].to_numpy() for c in whole.column_names if c != "sig"} | {"sig": np.frombuffer(sig, np.uint8).reshape(-1, WIDTH)}
+        return bounds, {c: whole[c].to_numpy() for c in whole.column_names if c not in ("sig", "keys")} | lists | {"sig": np.frombuffer(sig, np.uint8).reshape(-1, WIDTH)}
 
     for batch in batches:
         if not batch.num_rows:
@@ -129,19 +132,43 @@ def stars(batches):
         yield _pairs(np.concatenate(leaders), np.concatenate(members))
 
 
+def _apart(col, a: int, b: int):
+    """For each row of a run the later rows of another component that agree with it: of the other block of the run,
+    or of its one block; and only in the first tree where the two share a region."""
+    node, sig, comp, side, keys = (col[c][a:b] for c in ("node", "sig", "comp", "side", "keys"))
+    tree, one = col["tree"][a], bool((side == side[0]).all())
+    for i in range(b - a):
+        rest = np.arange(i + 1, b - a)
+        rest = rest[(comp[rest] != comp[i]) & (True if one else side[rest] != side[i])]
+        if len(rest):
+            agree = (sig[rest] == sig[i]).sum(1)
+            rest, agree = rest[agree >= AGREE], agree[agree >= AGREE]
+            first = (keys[rest] == keys[i]).argmax(1) == tree
+            if first.any():
+                yield node[i], node[rest[first]], agree[first]
+
+
+PROPOSED = "a long, b long, agree long"
+
+
+def propose(batches):
+    """For each node of a run the best-agreeing node of another component (ties: the smaller)."""
+    for bounds, col in _runs(batches):
+        best: dict[int, tuple[int, int]] = {}
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            for x, near, agree in _apart(col, a, b):
+                for p, q, n in [(x, near[k := int(agree.argmax())], agree[k]), *((y, x, n) for y, n in zip(near, agree))]:
+                    best[int(p)] = max(best.get(int(p), (0, 0)), (int(n), -int(q)))
+        rows = [(p, -q, n) for p, (n, q) in best.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 3, ["a", "b", "agree"])
+
+
 def across(batches):
-    """Agreeing nodes of different components in a run: of the two blocks of the run, or within its one block."""
+    """All agreeing pairs of different components."""
     for bounds, col in _runs(batches):
-        node, sig, comp, side = col["node"], col["sig"], col["comp"], col["side"]
         for a, b in zip(bounds[:-1], bounds[1:]):
-            one = bool((side[a:b] == side[a]).all())
-            for i in range(a, b):
-                rest = np.arange(i + 1, b)
-                rest = rest[(comp[rest] != comp[i]) & (True if one else side[rest] != side[i])]
-                if len(rest):
-                    near = rest[(sig[rest] == sig[i]).sum(1) >= AGREE]
-                    if len(near):
-                        yield _pairs(np.minimum(node[i], node[near]), np.maximum(node[i], node[near]))
+            for x, near, _ in _apart(col, a, b):
+                yield _pairs(np.minimum(x, near), np.maximum(x, near))
 
 
 def _bitmap(nodes: DataFrame) -> np.ndarray | None:
@@ -227,29 +254,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sorted_rows = regions.join(nodes.select("node", "sig"), "node").select("run", rotated.alias("sig"), "node").repartitionByRange("run", "sig").sortWithinPartitions("run", "sig")
     star = written(sorted_rows.mapInArrow(stars, PAIRS).groupBy("b").agg(F.min("a").alias("a")), "stars")
 
-    involved = regions.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     linked_ids = star.select(F.col("b").alias("node")).union(star.select(F.col("a").alias("node"))).distinct()
     sets = written(full_sets(texts, written(linked_ids.join(nodes.select("node", "doc_id"), "node"), "firsts")), "sets")
     links = written(confirmed(star, sets), "confirmed")
     comp = components(links)
 
-    own = involved.select("node").join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-    labelled = regions.join(own, "node")
-    mixed = labelled.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("run")
-    rest = labelled.join(mixed, "run").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rest = rest.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select(F.xxhash64("run", F.least("own", "other"), F.greatest("own", "other")).alias("run"), F.col("own").alias("side"), "node", "comp").join(nodes.select("node", "sig"), "node")
-    found = rest.repartition("run").sortWithinPartitions("run").select("run", "side", "node", "comp", "sig").mapInArrow(across, PAIRS).distinct()
-    open_pairs = written(found.join(star, ["a", "b"], "left_anti"), "open")
-    if not open_pairs.isEmpty():
-        missing = open_pairs.select(F.col("a").alias("node")).union(open_pairs.select(F.col("b").alias("node"))).distinct().join(sets.select("node"), "node", "left_anti")
-        missing = written(missing.join(nodes.select("node", "doc_id"), "node"), "missing")
-        if not missing.isEmpty():
-            sets = sets.unionByName(written(full_sets(texts, missing), "sets"))
-        more = written(confirmed(open_pairs, sets), "confirmed")
-        if not more.isEmpty():
-            comp = components(links.unionByName(more))
+    def mixed(comp: DataFrame) -> DataFrame:
+        """Rows of regions that hold several components, each block of a region with each of its blocks."""
+        label = comp.select("node", "comp")
+        own = regions.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        several = own.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("run")
+        rest = own.join(several, "run").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        rest = rest.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rest = rest.withColumn("run", F.xxhash64("run", F.least("side", "other"), F.greatest("side", "other")))
+        rest = rest.join(nodes.select("node", "sig", "keys"), "node").repartition("run").sortWithinPartitions("run")
+        return rest.select("run", "tree", "side", "node", "comp", "sig", "keys")
+
+    def sets_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """sets, with those that the pairs need besides."""
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        missing = written(wanted.join(sets.select("node"), "node", "left_anti").join(nodes.select("node", "doc_id"), "node"), "missing")
+        return sets if missing.isEmpty() else sets.unionByName(written(full_sets(texts, missing), "sets"))
+
+    for _ in range(ROUNDS):
+        best = mixed(comp).mapInArrow(propose, PROPOSED).groupBy("a").agg(F.max(F.struct("agree", (-F.col("b")).alias("b"))).alias("m"))
+        best = best.select(F.least("a", -F.col("m.b")).alias("a"), F.greatest("a", -F.col("m.b")).alias("b")).distinct()
+        best = written(best.join(star, ["a", "b"], "left_anti"), "proposed")
+        sets = sets_of(best, sets)
+        more = written(confirmed(best, sets), "confirmed")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        comp = components(links)
+    open_pairs = written(mixed(comp).mapInArrow(across, PAIRS).join(star, ["a", "b"], "left_anti"), "open")
+    sets = sets_of(open_pairs, sets)
+    more = written(confirmed(open_pairs, sets), "confirmed")
+    if not more.isEmpty():
+        comp = components(links.unionByName(more))
 
     ends = signed.select("doc_id", "n_shingles", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = ends.where("node is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -39,6 +39,12 @@ def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflux.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflux.llm.top_k import top_k
 
@@ -46,6 +52,12 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflux.llm.url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflux.llm.token_counts import count_tokens
 
@@ -60,14 +72,34 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_token_records, op3_transducer_bpe, op4_suffix_tree, op6_exact_top_k, op8_token_counts, op10_lsh_forest)
+    for f in (op1_decontamination, op2_token_records, op3_transducer_bpe, op4_suffix_tree, op5_license_scan, op6_exact_top_k, op7_url_filter, op8_token_counts, op10_lsh_forest)
 }
 _SHINGLES = """
     select id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
                            when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
     from (select id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from {})
 """
+
+
+def _license_sql() -> str:
+    from folioflux.llm.license_scan import BASE, MORE, WORD
+
+    place = lambda p: f"list_filter(range(0, len(w)), i -> w[i + 1:i + {len(p.split())}] = {p.split()!r})"
+    names = [f"t{k}" for k in range(len(BASE) + len(MORE))]
+    labels = [label for _, label in BASE + MORE]
+    joined = lambda k: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"case when len(t{i}) > 0 then '{labels[i]}' end" for i in range(k)) + "], x -> x is not null))), ',')"
+    first = "flatten([" + ", ".join(names[: len(BASE)]) + "])"
+    return f"""
+        with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as w from documents),
+             p as (select doc_id, len(w) as n, {", ".join(f"{place(p)} as {n}" for n, (p, _) in zip(names, BASE + MORE))} from d)
+        select doc_id, n::bigint as n_words, len({first})::bigint as n_base, list_min({first})::bigint as first_word, list_max({first})::bigint as last_word,
+               {joined(len(BASE))} as base_labels, {joined(len(names))} as labels, 1 - pow(0.5, {" + ".join(f"len({n})" for n in names)}) as score
+        from p
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op5_license_scan": _license_sql(),
     "op1_decontamination": f"""
         with d as (select distinct id, s from ({_SHINGLES.format("(select doc_id as id, text from documents)")})),
              b as (select distinct id, s from ({_SHINGLES.format("(select item_id as id, text from benchmark)")})),

@@ -64,6 +64,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflux.llm.language_id import identify, page_evidence, train
+
+    model = train(table(spark, sf_dir, "documents"))
+    found = identify(page_evidence(table(spark, sf_dir, "pages")), model)
+    return found.select("page_id", "host", "declared", "text_lang", F.col("lang_id").alias("lang"), "posterior", "rejected")
+
+
 def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflux.llm.lsh_forest import near_duplicates
 
@@ -72,7 +80,7 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_token_records, op3_transducer_bpe, op4_suffix_tree, op5_license_scan, op6_exact_top_k, op7_url_filter, op8_token_counts, op10_lsh_forest)
+    for f in (op1_decontamination, op2_token_records, op3_transducer_bpe, op4_suffix_tree, op5_license_scan, op6_exact_top_k, op7_url_filter, op8_token_counts, op9_language_id, op10_lsh_forest)
 }
 _SHINGLES = """
     select id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))

@@ -8,8 +8,9 @@
    whose signature agrees well enough: a star, never all pairs.
 4. Links are confirmed on full sets; components follow. In regions that still hold several components, blocks
    against blocks, each node proposes the best-agreeing node of another component; this is repeated while it joins
-   components. What is then left, agreeing nodes of components that stayed apart, is confirmed pair by pair, each pair
-   once, so that nothing steps 2 to 4 passed over is lost.
+   components. What is then left, agreeing nodes of components that stayed apart, is confirmed pair by pair inside
+   the blocks, each pair in the first tree where it meets; only links that join components leave the task. So
+   nothing that steps 3 and 4 passed over is lost, and no list of pairs is made.
 """
 
 from __future__ import annotations
@@ -74,36 +75,48 @@ def sign(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ptr)), pa.array(nodes, pa.int64()), keys, pa.array([small[i].tobytes() if x else None for i, x in enumerate(has)], pa.binary())], [n for n, _ in _SIGNED])
 
 
-def _runs(batches, most: int | None = None):
-    """Complete runs of equal `run` in sorted input as (bounds, columns); a run of over `most` rows is cut."""
-    held: list[pa.RecordBatch] = []
+def _columns(rows: list[pa.RecordBatch], most: int | None = None):
+    """Bounds of the runs of sorted rows (a run of over `most` rows is cut), and the columns as arrays."""
+    whole = pa.Table.from_batches(rows).combine_chunks()
+    run = whole["run"].to_numpy()
+    bounds = np.concatenate([[0], np.flatnonzero(run[1:] != run[:-1]) + 1, [len(run)]])
+    if most:
+        bounds = np.concatenate([np.arange(a, b, most) for a, b in zip(bounds[:-1], bounds[1:])] + [[len(run)]])
+    out = {c: whole[c].to_numpy() for c in whole.column_names if c not in ("sig", "keys", "set")}
+    if "keys" in whole.column_names:
+        out["keys"] = whole["keys"].combine_chunks().flatten().to_numpy().reshape(-1, TREES)
+    if "set" in whole.column_names:
+        out["set"] = whole["set"].to_pylist()
+    return bounds, out | {"sig": np.frombuffer(b"".join(whole["sig"].to_pylist()), np.uint8).reshape(-1, WIDTH)}
 
-    def columns(rows: list[pa.RecordBatch]):
-        whole = pa.Table.from_batches(rows).combine_chunks()
-        run = whole["run"].to_numpy()
-        bounds = np.concatenate([[0], np.flatnonzero(run[1:] != run[:-1]) + 1, [len(run)]])
-        if most:
-            bounds = np.concatenate([np.arange(a, b, most) for a, b in zip(bounds[:-1], bounds[1:])] + [[len(run)]])
-        lists = {"keys": whole["keys"].combine_chunks().flatten().to_numpy().reshape(-1, TREES)} if "keys" in whole.column_names else {}
-        sig = b"".join(whole["sig"].to_pylist())
-        return bounds, {c: whole[c].to_numpy() for c in whole.column_names if c not in ("sig", "keys")} | lists | {"sig": np.frombuffer(sig, np.uint8).reshape(-1, WIDTH)}
 
+def _run_batches(batches, most: int | None = None):
+    """Batches of sorted input cut so that each holds complete runs; a run of far over `most` rows is cut."""
+    held: list[pa.RecordBatch] = []
+    whole = lambda rows: pa.Table.from_batches(rows).combine_chunks().to_batches()
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(batch)
-        size = sum(b.num_rows for b in held)
         run = batch.column(batch.schema.get_field_index("run")).to_numpy(zero_copy_only=False)
-        first = int(np.searchsorted(run, run[-1])) if run[0] <= run[-1] else 0
-        if run[0] == run[-1]:
-            if most and size >= 4 * most:
-                yield columns(held)
-                held = []
-            continue
-        yield columns([*held[:-1], batch.slice(0, first)])
-        held = [batch.slice(first)]
+        same = bool(held) and held[-1].column(batch.schema.get_field_index("run"))[-1].as_py() == run[0]
+        if held and not same:
+            yield from whole(held)
+            held = []
+        last = int(np.flatnonzero(run != run[-1])[-1]) + 1 if run[0] != run[-1] else 0
+        if last:
+            yield from whole([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+        if most and sum(b.num_rows for b in held) >= 4 * most:
+            yield from whole(held)
+            held = []
     if held:
-        yield columns(held)
+        yield from whole(held)
+
+
+def _runs(batches, most: int | None = None):
+    for batch in _run_batches(batches, most):
+        yield _columns([batch], most)
 
 
 PAIRS = "a long, b long"
@@ -163,12 +176,48 @@ def propose(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 3, ["a", "b", "agree"])
 
 
+def still_open(batches):
+    """The rows of a run that agree with a row of another component."""
+    for batch in _run_batches(batches):
+        bounds, col = _columns([batch])
+        keep = np.zeros(batch.num_rows, bool)
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            place = {int(x): k for k, x in enumerate(col["node"][a:b].tolist(), a)}
+            for x, near, _ in _apart(col, a, b):
+                keep[[place[int(x)], *(place[int(y)] for y in near)]] = True
+        yield batch.filter(pa.array(keep))
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """100 * intersection >= 75 * union, of sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < 75 * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= 75 * (len(x) + len(y) - both)
+
+
 def across(batches):
-    """All agreeing pairs of different components."""
-    for bounds, col in _runs(batches):
+    """Confirmed links of a run that join different components."""
+    for batch in _run_batches(batches):
+        bounds, col = _columns([batch])
         for a, b in zip(bounds[:-1], bounds[1:]):
+            sets = dict(zip(col["node"][a:b].tolist(), (np.frombuffer(x, np.uint64) for x in col["set"][a:b])))
+            comp = dict(zip(col["node"][a:b].tolist(), col["comp"][a:b].tolist()))
+            up: dict[int, int] = {}
+
+            def root(c):
+                while c in up:
+                    c = up[c]
+                return c
+
             for x, near, _ in _apart(col, a, b):
-                yield _pairs(np.minimum(x, near), np.maximum(x, near))
+                for y in near.tolist():
+                    p, q = root(comp[int(x)]), root(comp[y])
+                    if p != q and linked(sets[int(x)], sets[y]):
+                        up[p] = q
+                        yield _pairs([min(int(x), y)], [max(int(x), y)])
 
 
 def _bitmap(nodes: DataFrame) -> np.ndarray | None:
@@ -210,21 +259,10 @@ def full_sets(texts: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def confirm(batches):
-    """Pairs whose full sets have 100 * intersection >= 75 * union."""
+    """Pairs whose full sets are linked."""
     for batch in batches:
-        kept: tuple[list, list] = ([], [])
-        for a, b, sa, sb in zip(*(c.to_pylist() for c in batch.columns)):
-            x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-            if 100 * min(len(x), len(y)) < 75 * max(len(x), len(y)):
-                continue
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            if 100 * both >= 75 * (len(x) + len(y) - both):
-                kept[0].append(a)
-                kept[1].append(b)
-        yield _pairs(*kept)
+        rows = [(a, b) for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)) if linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))]
+        yield _pairs(*zip(*rows)) if rows else _pairs([], [])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -271,9 +309,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = rest.join(nodes.select("node", "sig", "keys"), "node").repartition("run").sortWithinPartitions("run")
         return rest.select("run", "tree", "side", "node", "comp", "sig", "keys")
 
-    def sets_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """sets, with those that the pairs need besides."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    def sets_of(wanted: DataFrame, sets: DataFrame) -> DataFrame:
+        """sets, with those of the nodes of `wanted` besides."""
         missing = written(wanted.join(sets.select("node"), "node", "left_anti").join(nodes.select("node", "doc_id"), "node"), "missing")
         return sets if missing.isEmpty() else sets.unionByName(written(full_sets(texts, missing), "sets"))
 
@@ -281,15 +318,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         best = mixed(comp).mapInArrow(propose, PROPOSED).groupBy("a").agg(F.max(F.struct("agree", (-F.col("b")).alias("b"))).alias("m"))
         best = best.select(F.least("a", -F.col("m.b")).alias("a"), F.greatest("a", -F.col("m.b")).alias("b")).distinct()
         best = written(best.join(star, ["a", "b"], "left_anti"), "proposed")
-        sets = sets_of(best, sets)
+        sets = sets_of(best.select(F.explode(F.array("a", "b")).alias("node")).distinct(), sets)
         more = written(confirmed(best, sets), "confirmed")
         if more.isEmpty():
             break
         links = links.unionByName(more)
         comp = components(links)
-    open_pairs = written(mixed(comp).mapInArrow(across, PAIRS).join(star, ["a", "b"], "left_anti"), "open")
-    sets = sets_of(open_pairs, sets)
-    more = written(confirmed(open_pairs, sets), "confirmed")
+    rest = mixed(comp)
+    left = written(rest.mapInArrow(still_open, rest.schema), "open")
+    sets = sets_of(left.select("node").distinct(), sets)
+    more = written(left.join(sets, "node").repartition("run").sortWithinPartitions("run").mapInArrow(across, PAIRS), "confirmed")
     if not more.isEmpty():
         comp = components(links.unionByName(more))
 

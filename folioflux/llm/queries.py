@@ -83,7 +83,7 @@ QUERIES = {
     for f in (op1_decontamination, op2_token_records, op3_transducer_bpe, op4_suffix_tree, op5_license_scan, op6_exact_top_k, op7_url_filter, op8_token_counts, op9_language_id, op10_lsh_forest)
 }
 _SHINGLES = """
-    select id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+    select id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
                            when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
     from (select id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from {})
 """
@@ -92,10 +92,10 @@ _SHINGLES = """
 def _license_sql() -> str:
     from folioflux.llm.license_scan import BASE, MORE, WORD
 
-    place = lambda p: f"list_filter(range(0, len(w)), i -> w[i + 1:i + {len(p.split())}] = {p.split()!r})"
+    place = lambda p: f"list_filter(range(0, len(w)), lambda i: w[i + 1:i + {len(p.split())}] = {p.split()!r})"
     names = [f"t{k}" for k in range(len(BASE) + len(MORE))]
     labels = [label for _, label in BASE + MORE]
-    joined = lambda k: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"case when len(t{i}) > 0 then '{labels[i]}' end" for i in range(k)) + "], x -> x is not null))), ',')"
+    joined = lambda k: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"case when len(t{i}) > 0 then '{labels[i]}' end" for i in range(k)) + "], lambda x: x is not null))), ',')"
     first = "flatten([" + ", ".join(names[: len(BASE)]) + "])"
     return f"""
         with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as w from documents),
@@ -117,9 +117,9 @@ ORACLES: dict[str, str] = {
         from m join n on n.id = m.item_id where 100 * n_matched >= 75 * n_item
     """,
     "op6_exact_top_k": """
-        with v as (select vec_id, list_transform(embedding, x -> floor(1024 * x::double)) as e from embeddings
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
                    where vec_id is not null and embedding is not null
-                     and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+                     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
              s as (select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.e, c.e)::bigint as score
                    from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0)
         select query_id, rank::int as rank, vec_id, score

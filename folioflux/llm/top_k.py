@@ -108,7 +108,7 @@ def narrow(batches):
                 continue
             need[i] -= total[k - 1] if k else 0
             low[i] += b[order[k]] * width[i]
-            width[i] = 0 if width[i] == 1 else -(-width[i] // BINS)
+            width[i] //= BINS  # widths are powers of BINS: the new bins fill the old one exactly
         return pa.RecordBatch.from_arrays([pa.array([held[0]["block"]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (low, width, need))], ["block", "low", "width", "need"])
 
     for batch in batches:
@@ -143,6 +143,14 @@ def keep(k: int):
     return kept
 
 
+def _width(span: np.ndarray) -> np.ndarray:
+    """The smallest power of BINS of which BINS bins cover the span."""
+    out = np.ones(len(span), np.int64)
+    for _ in range(6):
+        out = np.where(out < -(-span // BINS), out * BINS, out)
+    return out
+
+
 def first_state(k: int, reach: float):
     """Ranges wide enough for any score: |q| times the longest row's length."""
 
@@ -151,7 +159,7 @@ def first_state(k: int, reach: float):
             for row in batch.to_pylist():
                 q = np.frombuffer(row["values"]).reshape(-1, row["dim"])
                 most = np.ceil(np.sqrt((q * q).sum(1)) * reach).astype(np.int64) + 1
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int32()), *(pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (-most, (2 * most + BINS) // BINS, np.full(len(most), k)))], ["block", "low", "width", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int32()), *(pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (-most, _width(2 * most + 1), np.full(len(most), k)))], ["block", "low", "width", "need"])
 
     return state
 
@@ -189,14 +197,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         q_side = asked.join(state, "block").select("block", slot(q_slots).alias("q_slot"), F.explode(F.sequence(F.lit(0), F.lit(c_slots - 1))).alias("c_slot"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"), "dim", "low", "width")
         return c_side.join(q_side, ["q_slot", "c_slot", "dim"]).select("block", "dim", "q_ids", "q_values", "c_ids", "c_values", "low", "width")
 
-    width = int(2 * reach * reach / BINS) + 2
+    width = int(_width(np.array([2 * int(reach * reach + 2) + 1]))[0])
     while width:
         bins = pairs(state).mapInArrow(histograms, HIST).groupBy("block", "at", "bin").agg(F.sum("n").alias("n"))
         heads = state.select("block", F.lit(-1).alias("at"), F.lit(-1).cast("long").alias("bin"), F.lit(0).cast("long").alias("n"), "low", "width", "need")
         empty = F.lit(None).cast("binary")
         both = heads.unionByName(bins.select("block", "at", "bin", "n", empty.alias("low"), empty.alias("width"), empty.alias("need")))
         state = written(both.repartition("block").sortWithinPartitions("block", "at").mapInArrow(narrow, STATE), "state")
-        width = 0 if width == 1 else -(-width // BINS)
+        width //= BINS
     found = pairs(state).mapInArrow(keep(k), KEPT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -28,7 +28,7 @@ def test_against_brute_force(spark, monkeypatch, blocks):
     monkeypatch.setattr(T, "QUERY_ROWS", blocks[0])
     monkeypatch.setattr(T, "ROWS", blocks[1])
     rng = random.Random(3)
-    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(700)]
+    rows = [(i, [rng.gauss(0, 30) for _ in range(8)]) for i in range(700)]
     rows += [(i, [0.5] * 8) for i in range(700, 900)]  # ties
     rows += [(1000, None), (1100, [1.0] * 7 + [None]), (1200, [1.0] * 7 + [float("nan")]), (1300, [float("inf")] * 8), (None, [1.0] * 8), (1400, [0.0] * 8), (1500, [1.0, 2.0]), (1501, [3.0, 1.0])]
     df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA).repartition(5)

@@ -62,7 +62,7 @@ class PieceEncoder:
     outside UNSAFE's complement, or with an added token's string, go to the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 1 << 18):
+    def __init__(self, path: str, limit: int = 1 << 19):
         import numpy as np
 
         self.library, self.np = tokenizer(path), np

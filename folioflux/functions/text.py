@@ -114,15 +114,15 @@ def evaluation_value(field: str, c: Column) -> Column:
 #: Fixed patterns of dates, clock times and 6 to 11 digit groups
 DATE = r"\b\d{1,2}\s*[-/.]\s*\d{1,2}\s*[-/.]\s*\d{2,4}\b"
 TIME = r"\b\d{1,2}\s*[:.]\s*\d{2}\s*(?:[ap]\.?\s*m\.?)?\b"
-DAY_MONTH = r"\b\d{1,2}\s*[-/]\s*\d{1,2}\b"
-TABLE_DOCUMENT = r"(?<!\d)\d(?:[.,\-· ]?\d){5,10}(?!\d)"
+DAY_MONTH = "^[0-9]{1,2}(ene|feb|mar|abr|may|jun|jul|ago|sep|oct|nov|dic)"
+TABLE_DOCUMENT = r"(?<!\d)(?:[VEve]\s*[-.]?\s*)?\d(?:[.,\-·]?\d){5,10}(?!\d)"
 #: Fixed map of letters that are read for digits
-OCR_LETTERS, OCR_DIGITS = "OQILBS", "001185"
+OCR_LETTERS, OCR_DIGITS = "OQILBS", "001135"
 
 
 def is_metadata(c: Column) -> Column:
-    """A date, a clock time, a day and month, or a heading word at the start."""
-    return c.rlike(f"(?i){DATE}|{TIME}|{DAY_MONTH}") | normalize(c).rlike("^(lista|actualizada|hora|hospital)\\b")
+    """A date, a clock time, a day before a month's name, or a heading word at the start."""
+    return c.rlike(f"(?i){DATE}|{TIME}") | normalize(c).rlike(f"{DAY_MONTH}|^(lista|actualizada|hora|hospital) ")
 
 
 def table_documents(c: Column) -> Column:
@@ -145,7 +145,7 @@ def split_document_age(number: Column, oldest: int = 115) -> Column:
 
 def ocr_number(c: Column, oldest: int = 115) -> Column:
     """A number of 1 to 3 digits in a cell whose letters may be misread digits; a C or E before it is dropped."""
-    s = F.translate(F.regexp_replace(F.upper(F.trim(c)), "^[CE]+\\s*", ""), OCR_LETTERS, OCR_DIGITS)
+    s = F.translate(F.regexp_replace(F.upper(F.regexp_replace(c, "[^A-Za-z0-9]", "")), "^[CE]", ""), OCR_LETTERS, OCR_DIGITS)
     n = F.regexp_extract(s, "^([0-9]{1,3})$", 1).try_cast("int")
     return F.when(n <= oldest, n)
 
@@ -153,7 +153,7 @@ def ocr_number(c: Column, oldest: int = 115) -> Column:
 def age_unit(c: Column) -> Column:
     """Struct unit, uncertain: days and months by their first letters, else years; a lone `e` is a doubtful year."""
     s = normalize(c)
-    unit = F.when(F.startswith(s, F.lit("mes")), "meses").when(F.startswith(s, F.lit("d")), "días").otherwise("años")
+    unit = F.when(F.startswith(s, F.lit("mes")), "meses").when(F.startswith(s, F.lit("dia")), "días").otherwise("años")
     return F.struct(unit.alias("unit"), (s == "e").alias("uncertain"))
 
 

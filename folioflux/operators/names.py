@@ -39,6 +39,9 @@ class Splitter:
         self.canonical = lru_cache(maxsize=1 << 15)(self._canonical)
         self.terms = lexicons.merged()
 
+    def __reduce__(self):  # the memos stay behind
+        return Splitter, (self.lexicons,)
+
     # -- splitting
 
     def _closest(self, token: str, terms: dict[str, float]) -> float:

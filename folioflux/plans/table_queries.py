@@ -82,7 +82,7 @@ def q_documents_digits(spark, sf_dir):
 
 
 @query(r"""
-    with s as (select p_partkey as k, translate(regexp_replace(upper(trim(case when p_partkey % 3 = 0 then 'E ' when p_partkey % 3 = 1 then 'c' else '' end || replace(p_size::varchar, '1', 'I'))), '^[CE]+\s*', ''), 'OQILBS', '001185') as s from part)
+    with s as (select p_partkey as k, translate(regexp_replace(upper(regexp_replace(case when p_partkey % 3 = 0 then 'E ' when p_partkey % 3 = 1 then 'c' else '' end || replace(p_size::varchar, '1', 'I'), '[^A-Za-z0-9]', '', 'g')), '^[CE]', ''), 'OQILBS', '001135') as s from part)
     select k, case when regexp_matches(s, '^[0-9]{1,3}$') and s::int <= 40 then s::int end as n from s
 """)
 def q_ocr_number(spark, sf_dir):
@@ -90,12 +90,12 @@ def q_ocr_number(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), T.ocr_number(cell, 40).alias("n"))
 
 
-_META = r"(?i)\b\d{1,2}\s*[-/.]\s*\d{1,2}\s*[-/.]\s*\d{2,4}\b|\b\d{1,2}\s*[:.]\s*\d{2}\s*(?:[ap]\.?\s*m\.?)?\b|\b\d{1,2}\s*[-/]\s*\d{1,2}\b"
+_META = r"(?i)\b\d{1,2}\s*[-/.]\s*\d{1,2}\s*[-/.]\s*\d{2,4}\b|\b\d{1,2}\s*[:.]\s*\d{2}\s*(?:[ap]\.?\s*m\.?)?\b"
 
 
 @query(rf"""
     select doc_id, i::int as line_no from (select doc_id, unnest(string_split(text, chr(10))) as t, unnest(range(0, len(string_split(text, chr(10))))) as i from documents)
-    where regexp_matches(t, '{_META}') or regexp_matches({_NORM.format('t')}, '^(lista|actualizada|hora|hospital)\b')
+    where regexp_matches(t, '{_META}') or regexp_matches({_NORM.format('t')}, '^[0-9]{{1,2}}(ene|feb|mar|abr|may|jun|jul|ago|sep|oct|nov|dic)|^(lista|actualizada|hora|hospital) ')
 """)
 def q_metadata_filter(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "t"))

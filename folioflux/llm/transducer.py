@@ -194,14 +194,19 @@ class WordBpe:
         return [self.vocab[x] for x in s]
 
     def _merge_short(self, s: list[str]) -> list[str]:
-        rank, none = self.rank, len(self.rank)
-        while len(s) > 1:
-            ranks = [rank.get(p, none) for p in zip(s, s[1:])]
+        get, none = self.rank.get, len(self.rank)
+        ranks = [get(p, none) for p in zip(s, s[1:])]
+        while ranks:
             best = min(ranks)
             if best == none:
                 break
             k = ranks.index(best)
-            s[k : k + 2] = [s[k] + s[k + 1]]
+            s[k] += s.pop(k + 1)
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = get((s[k], s[k + 1]), none)
+            if k:
+                ranks[k - 1] = get((s[k - 1], s[k]), none)
         return s
 
     def _merge_long(self, s: list[str]) -> list[str]:

@@ -7,7 +7,6 @@ component at a time. Ids follow from global order by a range-partitioned numberi
 
 from __future__ import annotations
 
-import copy
 import re
 from typing import Any
 
@@ -113,8 +112,7 @@ def resolve(records: list[tuple[int, Record]]) -> list[tuple[Record, list[int]]]
         near = sorted({p for k in keys(r) for p in by_key.get(k, [])})
         place = next((p for p in near if same_person(people[p][0], r)), None)
         if place is None:
-            first = copy.deepcopy(r)
-            first["source_images"] = list(images[ordinal])
+            first = r | {"source_images": list(images[ordinal]), "notes": list(r["notes"]), "field_evidence": dict(r["field_evidence"])}
             people.append((first, [ordinal]))
             place = len(people) - 1
         else:
@@ -130,10 +128,9 @@ def resolve(records: list[tuple[int, Record]]) -> list[tuple[Record, list[int]]]
     return sorted(people, key=lambda p: p[1][0])
 
 
-def _as_record(row) -> Record:
+def _as_record(values: list) -> Record:
     out = {}
-    for name, kind, default in RECORD_FIELDS:
-        v = getattr(row, name)
+    for (name, kind, default), v in zip(RECORD_FIELDS, values):
         if kind.startswith("array"):
             v = list(v) if v is not None else []
         elif kind.startswith("map"):
@@ -151,7 +148,10 @@ CALL_ROWS = 5_000
 
 
 def _resolve_blocks(rows: pd.DataFrame) -> pd.DataFrame:
-    people = [p for _, block in rows.groupby("block", sort=True) for p in resolve([(int(r.ordinal), _as_record(r)) for r in block.itertuples(index=False)])]
+    blocks: dict[int, list[tuple[int, Record]]] = {}
+    for block, ordinal, *values in zip(*(rows[c].tolist() for c in ("block", "ordinal", *(n for n, _, _ in RECORD_FIELDS)))):
+        blocks.setdefault(block, []).append((ordinal, _as_record(values)))
+    people = [p for block in blocks.values() for p in resolve(block)]
     return pd.DataFrame([{**p, "first": own[0], "members": own} for p, own in people], columns=[n for n, _, _ in RECORD_FIELDS] + ["first", "members"]).astype({"age": object})
 
 

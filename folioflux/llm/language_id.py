@@ -72,7 +72,8 @@ class Model:
         for lang, bucket, k in counts:
             n[self.langs.index(lang), bucket] += k
         n += 0.05
-        self.logs = np.ascontiguousarray(np.log2(n / n.sum(1, keepdims=True)), np.float32)
+        # a tenth of the background in each language: a key or address in a short text does not outweigh its words
+        self.logs = np.ascontiguousarray(np.log2(0.9 * n / n.sum(1, keepdims=True) + 0.1 / BUCKETS), np.float32)
         self.background = np.float32(-np.log2(BUCKETS))
 
     def evidence(self, column) -> tuple[np.ndarray, np.ndarray]:
@@ -107,23 +108,38 @@ def _towards(n, prior):
     return F.zip_with(n, prior, lambda a, b: (a + PULL * b) / (F.aggregate(n, F.lit(0).cast("long"), lambda s, x: s + x) + PULL))
 
 
+FIELDS = ("lang_id", "posterior", "text_lang", "rejected")
+
+
+def free_names(wanted, taken) -> list[str]:
+    """The wanted names, underscores added to those that are taken."""
+    out: list[str] = []
+    for name in wanted:
+        while name in taken or name in out:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def identify(rows: DataFrame, model: Model, text: str = "text", declared: str = "declared", host: str = "host", least: float = 0.5) -> DataFrame:
-    """All columns of rows, and lang_id, posterior, text_lang, rejected.
+    """All columns of rows, and after them FIELDS: lang_id, posterior, text_lang, rejected.
 
     rows has a text, a declared language (null, or unknown to the model: no evidence) and a host (null: empty). A row
     is rejected where its text has no letters, where a background of equal trigrams explains it better than any
     language, or where no language reaches `least`; lang_id is then `und`. Null and empty texts are rejected. Repeated
-    rows are judged alike; an empty table gives none. Columns of these names in the input must be renamed first.
+    rows are judged alike; an empty table gives none. Where the input has a column of such a name, the new one gets an underscore more.
     """
     spark = rows.sparkSession
     small_arrow_batches(spark, 512)
     langs = model.langs
+    new = free_names(FIELDS, rows.columns)
     if not langs:
-        return rows.withColumns({"lang_id": F.lit(NONE), "posterior": F.lit(0.0), "text_lang": F.lit(None).cast("string"), "rejected": F.lit(True)})
+        return rows.select("*", *(v.alias(n) for n, v in zip(new, (F.lit(NONE), F.lit(0.0), F.lit(None).cast("string"), F.lit(True)))))
+    _host, _prior_host, _prior = free_names(("_host", "_prior_host", "_prior"), rows.columns)
     shared = spark.sparkContext.broadcast(model)
-    rows = rows.withColumn("_host", F.coalesce(F.col(host), F.lit("")))
-    parts = F.split("_host", r"\.")
-    keys = rows.select("_host", F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), ".").alias("domain"), F.element_at(parts, -1).alias("suffix"), F.lower(F.col(declared)).alias("declared"), F.col(text).alias("text"))
+    rows = rows.withColumn(_host, F.coalesce(F.col(host), F.lit("")))
+    parts = F.split(_host, r"\.")
+    keys = rows.select(_host, F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), ".").alias("domain"), F.element_at(parts, -1).alias("suffix"), F.lower(F.col(declared)).alias("declared"), F.col(text).alias("text"))
 
     def by_text(batches):
         for batch in batches:
@@ -143,8 +159,8 @@ def identify(rows: DataFrame, model: Model, text: str = "text", declared: str =
     weighted = flat.withColumn("n", F.col("count"))
     k = len(langs)
     base = weighted.groupBy("host", "domain", "suffix").agg(F.array(*(F.sum(F.when(F.col("said") == x, F.col("n")).otherwise(0)) for x in langs)).alias("n"))
-    priors = _priors(written(base, "hosts"), k)
-    rows = rows.join(F.broadcast(priors) if priors.count() <= 100_000 else priors, F.col("_host") == F.col("_prior_host"), "left").drop("_prior_host", "_host")
+    priors = written(_priors(written(base, "hosts"), k).toDF(_prior_host, _prior), "priors")
+    rows = rows.join(F.broadcast(priors) if priors.count() <= 100_000 else priors, F.col(_host) == F.col(_prior_host), "left").drop(_prior_host, _host)
     names = rows.columns
     at, dec = names.index(text), names.index(declared)
 
@@ -165,20 +181,20 @@ def identify(rows: DataFrame, model: Model, text: str = "text", declared: str =
                 top = odds[np.arange(len(best)), best]
                 bad = (counts == 0) | (ev.max(1) <= m.background) | (top < least)
                 out = [pa.array([NONE if r else langs[b] for r, b in zip(bad, best)]), pa.array(top), pa.array([langs[b] if c else None for b, c in zip(ev.argmax(1), counts)], pa.string()), pa.array(bad)]
-                yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(len(names) - 1)), *out], [*names[:-1], "lang_id", "posterior", "text_lang", "rejected"])
+                yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(len(names) - 1)), *out], [*names[:-1], *new])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", lang_id string, posterior double, text_lang string, rejected boolean"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", " + ", ".join(f"`{n}` {t}" for n, t in zip(new, ("string", "double", "string", "boolean")))
     return rows.mapInArrow(judge, schema)
 
 
 def _priors(base: DataFrame, k: int) -> DataFrame:
-    """_prior_host, _prior (array by language): each level's counts smoothed towards the level above."""
+    """host, prior (array by language): each level's counts smoothed towards the level above."""
     sums = F.array(*(F.sum(F.col("n")[i]) for i in range(k)))
     whole = [x or 0 for x in base.agg(sums.alias("n")).first()["n"]]
     top = F.array(*(F.lit((x + PULL / k) / (sum(whole) + PULL)) for x in whole))
     suffix = base.groupBy("suffix").agg(sums.alias("n")).select("suffix", _towards(F.col("n"), top).alias("ps"))
     domain = base.groupBy("domain", "suffix").agg(sums.alias("nd")).join(suffix, "suffix").select("domain", "suffix", _towards(F.col("nd"), F.col("ps")).alias("pd"))
-    return base.join(domain, ["domain", "suffix"]).select(F.col("host").alias("_prior_host"), _towards(F.col("n"), F.col("pd")).alias("_prior"))
+    return base.join(domain, ["domain", "suffix"]).select("host", _towards(F.col("n"), F.col("pd")).alias("prior"))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

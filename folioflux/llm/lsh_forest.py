@@ -32,7 +32,8 @@ WIDTH = TREES * DEPTH
 AGREE = 72
 RUN = 2048
 BLOCK = 1024
-BLOOM_BITS = 1 << 25
+#: 16 bytes a row
+BROADCAST_ROWS = 500_000
 ROUNDS = 3
 _odd = np.random.default_rng(7).integers(0, 2**31, WIDTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SIGNED = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())]
@@ -220,42 +221,25 @@ def across(batches):
                         yield _pairs([min(int(x), y)], [max(int(x), y)])
 
 
-def _bitmap(nodes: DataFrame) -> np.ndarray | None:
-    """A Bloom filter (two bits a node, BLOOM_BITS in all: a fixed size) of the nodes; None if it would be too full."""
-    if nodes.count() > BLOOM_BITS // 16:
-        return None
-    bits = nodes.select(F.explode(F.array("node", F.shiftright("node", 25))).alias("x")).select(F.pmod("x", F.lit(BLOOM_BITS)).alias("bit"))
-    rows = bits.groupBy(F.shiftright("bit", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(bit, 32) as int))")).alias("v")).collect()
-    out = np.zeros(BLOOM_BITS // 32, np.uint32)
-    out[[r["w"] for r in rows]] = [r["v"] for r in rows]
-    return out
-
-
-def _in_bitmap(bitmap: np.ndarray, node: int) -> bool:
-    return all(bitmap[x >> 5] >> np.uint32(x & 31) & 1 for x in (node % BLOOM_BITS, (node >> 25) % BLOOM_BITS))
+def sets_of_texts(batches):
+    """node and its set for rows doc_id, text, node whose text has that node's set."""
+    for batch in batches:
+        for part in arrow_rows(batch):
+            values, ptr, nodes = _sets(part.column(1))
+            keep = [i for i, (n, want) in enumerate(zip(nodes, part.column(2).to_pylist())) if n == want]
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in keep], pa.int64()), pa.array([values[ptr[i] : ptr[i + 1]].tobytes() for i in keep], pa.binary())], ["node", "set"])
 
 
 def full_sets(texts: DataFrame, firsts: DataFrame) -> DataFrame:
-    """node, set (sorted little-endian u64 shingles) for the nodes of `firsts` (node, doc_id), from texts (doc_id, text)."""
-    bitmap = _bitmap(firsts)
-    if bitmap is None:  # too many for a filter of fixed size
-        texts, held = texts.join(firsts.select("doc_id").distinct(), "doc_id", "left_semi"), None
-    else:
-        held = texts.sparkSession.sparkContext.broadcast(bitmap)
-    del bitmap
-
-    def sets(batches):
-        bits = held and held.value
-        for batch in batches:
-            for part in arrow_rows(batch):
-                values, ptr, nodes = _sets(part.column(1))
-                keep = [i for i, n in enumerate(nodes) if n is not None and (bits is None or _in_bitmap(bits, n))]
-                docs = part.column(0).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([docs[i] for i in keep], pa.int64()), pa.array([nodes[i] for i in keep], pa.int64()), pa.array([values[ptr[i] : ptr[i + 1]].tobytes() for i in keep], pa.binary())], ["doc_id", "node", "set"])
-
-    found = texts.mapInArrow(sets, "doc_id long, node long, set binary")
-    # one text of each class: the class's first document
-    return found.join(firsts, ["doc_id", "node"], "left_semi").select("node", "set")
+    """node, set (sorted little-endian u64 shingles) for the nodes of `firsts` (node, doc_id), from texts (doc_id, text).
+
+    Up to BROADCAST_ROWS ids are broadcast; beyond that count the join is shuffled.
+    """
+    wanted = firsts.select("doc_id", "node")
+    small = wanted.count() <= BROADCAST_ROWS
+    found = texts.join(F.broadcast(wanted) if small else wanted, "doc_id").select("doc_id", "text", "node")
+    # rows that repeat an id and a text give their set once
+    return found.mapInArrow(sets_of_texts, "node long, set binary").dropDuplicates(["node"])
 
 
 def confirm(batches):

@@ -44,3 +44,11 @@ def test_page_evidence(spark):
     got = page_evidence(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
     assert (got[0].host, got[0].declared, got[0].text.split()) == ("a.b.de", "de", ["ein", "sch"])
     assert (got[1].host, got[1].declared, got[1].text.strip()) == ("", None, "")
+
+
+def test_clashing_columns(spark):
+    rows = [(*r, "keep", 1.5, True) for r in corpus(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, lang_id string, _prior double, rejected boolean")
+    out = languages_of_documents(df)
+    assert out.columns == df.columns + ["lang_id_", "posterior", "text_lang", "rejected_"]
+    assert {tuple(r)[4:7] for r in out.collect()} == {("keep", 1.5, True)}

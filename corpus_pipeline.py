@@ -22,7 +22,8 @@ BROADCAST_IDS = 4_000_000
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; the declared language and the source are evidence."""
-    return languages_of_documents(docs).where(~F.col("rejected")).select(*docs.columns)
+    found = languages_of_documents(docs)
+    return found.where(~F.col(found.columns[-1])).select(*docs.columns)  # the decision is the last column
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

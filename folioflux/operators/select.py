@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 
 def with_ordinal(rows: DataFrame, order: list[str], name: str = "ordinal", bucket_rows: int = 100_000) -> DataFrame:
-    """Global position from 0 by columns of which the first is numeric with few equals.
+    """Global position from 0 by columns of which the first is a number or text with few equals.
 
-    Quantiles of the first column cut the order into ranges (a fixed list, so a recomputed task agrees); rows are
-    numbered inside a range, and a range starts after the counts of those before it. No task sees all rows.
+    Quantiles of the first column (a text's first seven bytes as a number) cut the order into ranges, a fixed list, so
+    that a recomputed task agrees; rows are numbered inside a range, and a range starts after the counts of those
+    before it. No task sees all rows.
     """
+    if rows.schema[order[0]].dataType.typeName() == "string":
+        lead = F.conv(F.rpad(F.hex(F.substring(F.encode(order[0], "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+        return with_ordinal(rows.withColumn("_lead", lead), ["_lead", *order], name, bucket_rows).drop("_lead")
     first = order[0]
     shape = rows.agg(F.count("*").alias("n"), F.percentile_approx(first, [i / 1000 for i in range(1, 1000)], 10_000).alias("q")).first()
     n = min(1000, -(-shape["n"] // bucket_rows))

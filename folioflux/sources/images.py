@@ -37,7 +37,8 @@ def discover(spark: SparkSession, folder: str, centers: DataFrame, content: bool
     found = found.join(centers.select("slug", F.col("name").alias("center_name")), "slug")
     key = [F.sha2("content", 256)] if content else [F.sha2("path", 256)]
     found = found.withColumnRenamed("slug", "center_slug").withColumn("image_id", key[0])
-    return found.withColumn("ordinal", F.row_number().over(Window.orderBy(F.lower("path"))) - 1)
+    places = with_ordinal(found.select("path", F.lower("path").alias("_low")), ["_low", "path"]).drop("_low")
+    return found.join(places, "path")
 
 
 def unmapped(spark: SparkSession, folder: str, centers: DataFrame) -> DataFrame:

@@ -243,6 +243,13 @@ def test_ordinals_over_ranges(spark):
     assert all(r.x == r.n for r in got) and len(got) == 5000
 
 
+def test_ordinals_of_texts(spark):
+    texts = ["b", "a", "ab", "", "ñandú", "zz", "a b", "same/prefix/1", "same/prefix/0", "same/prefix/10"] + [f"k{(k * 37) % 500:03d}" for k in range(500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    got = with_ordinal(rows, ["t"], "n", bucket_rows=50).orderBy("n").collect()
+    assert [r.t for r in got] == sorted(texts, key=str.encode) and [r.n for r in got] == list(range(len(texts)))
+
+
 def test_sheet_letters_and_json(spark):
     assert [S.column_letter(k) for k in (1, 26, 27, 52, 703)] == ["A", "Z", "AA", "AZ", "AAA"]
     rows = spark.createDataFrame([("i", 0, "a", 0.12345678, (1, 2, 3, 4), 5, 6)], LINES)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from folioflux.functions.schemas import LINES
-from folioflux.operators.images import Cell, TextRow, cells_of, detect_grid, pixels, rows_of_grid, text_rows
+from folioflux.operators.images import Cell, TextRow, cells_of, detect_grid, has_ink, pixels, resized, rows_of_grid, text_rows, warped
 from folioflux.plans.pages import Grid, Line, by_x
 
 MODES = ("auto", "printed", "handwritten")
@@ -48,6 +48,89 @@ class Recorded:
         return [k for k in self.lines if any(inside(k, c) for c in cells)]
 
 
+SCALE, OVERLAP, PAD = 3, 0.12, 0.03
+
+
+class Cropping:
+    """Makes a Recognizer of a function that reads a whole image: rows and cells are read from enlarged crops."""
+
+    def __init__(self, read):
+        self.read = read  # image -> lines
+
+    def page(self, image):
+        return self.read(image)
+
+    def _enlarged(self, image: np.ndarray) -> list[Line]:
+        """Lines of a crop at three times its size, more contrast, in the crop's own coordinates."""
+        big = resized(np.clip((image - 128.0) * 1.12 + 128, 0, 255).astype(np.uint8), SCALE)
+        back = lambda v: round(v / SCALE)
+        return [replace(k, x1=back(k.x1), y1=back(k.y1), x2=back(k.x2), y2=back(k.y2)) for k in self.read(big)]
+
+    def rows(self, image, rows):
+        """Each row in two windows that overlap at the middle; a line counts in the half its centre is in."""
+        height, width = image.shape[:2]
+        out = []
+        for r in rows:
+            pad = max(2, round(PAD * r.tall))
+            top, bottom = max(0, r.y1 - pad), min(height, r.y2 + pad)
+            crop, seam = image[top:bottom, r.x1 : r.x2], (r.x2 - r.x1) // 2
+            reach = round(OVERLAP * crop.shape[1])
+            for left, right, first in ((0, min(crop.shape[1], seam + reach), True), (max(0, seam - reach), crop.shape[1], False)):
+                for k in self._enlarged(crop[:, left:right]):
+                    if (k.x + left < seam) == first:
+                        out.append(replace(k, x1=k.x1 + left + r.x1, x2=k.x2 + left + r.x1, y1=k.y1 + top, y2=k.y2 + top, width=width, height=height))
+        return out
+
+    def cells(self, image, cells):
+        """A grid row's cells, upright on one strip with wide gaps; lines go back to the cell they stand in."""
+        image = image if image.ndim == 3 else image[..., None]
+        height, width = image.shape[:2]
+        by_row: dict[int, list[Cell]] = {}
+        for c in cells:
+            by_row.setdefault(c.row, []).append(c)
+        out = []
+        for row, own in sorted(by_row.items()):
+            cuts = []
+            for c in sorted(own, key=lambda c: c.column):
+                margin = max(1, min(5, round(0.025 * c.width)))
+                flat = warped(image, c.padded(PAD).corners, c.width, max(12, round(c.height * (1 + 2 * PAD))))[1:-1, margin:-margin]
+                if flat.size and (row == 0 or has_ink(flat)):
+                    cuts.append((c, flat, margin))
+            if cuts:
+                out += self._strip(cuts, width, height)
+        return out
+
+    def _strip(self, cuts, width: int, height: int) -> list[Line]:
+        tall = max(f.shape[0] for _, f, _ in cuts)
+        gap = max(40, 2 * tall)
+        starts = np.cumsum([0, *(f.shape[1] + gap for _, f, _ in cuts)])
+        strip = np.full((tall, int(starts[-1]) - gap, cuts[0][1].shape[2]), 255, np.uint8)
+        ends, tops = [], []
+        for (_, f, _), x in zip(cuts, starts):
+            tops.append((tall - f.shape[0]) // 2)
+            ends.append(int(x) + f.shape[1])
+            strip[tops[-1] : tops[-1] + f.shape[0], x : ends[-1]] = f
+        between = [e + gap // 2 for e in ends[:-1]]
+        split = min(between, key=lambda x: abs(x - strip.shape[1] / 2)) if between else strip.shape[1]
+        out = []
+        for left, right in ((0, split), (split, strip.shape[1])):
+            for k in self._enlarged(strip[:, left:right]) if right - left >= 2 else ():
+                x = k.x + left
+                i = min(range(len(cuts)), key=lambda i: max(starts[i] - x, x - ends[i], 0))
+                c, f, margin = cuts[i]
+                full = f.shape[0] + 2
+                v = (k.y - tops[i] + 1) / full * (1 + 2 * PAD) - PAD  # 0 to 1 inside the unpadded cell
+                if not 0 <= v <= 1:
+                    continue
+                u1, u2 = ((z + left - starts[i] + margin) / c.width for z in (k.x1, k.x2))
+                (x1, _), (x2, _), (_, y) = c.at(u1, 0.5), c.at(u2, 0.5), c.at((u1 + u2) / 2, 0.5)
+                deep = max(4, min(20, round(0.45 * c.height)))
+                top = max(0, round(y - deep / 2))
+                x1 = max(0, round(min(x1, x2)))
+                out.append(Line(k.text, k.score, x1, top, min(width, max(x1 + 2, round(max(x1, x2)))), min(height, top + deep), width, height))
+        return out
+
+
 # ---------------------------------------------------------------- coverage and quality
 
 

@@ -147,6 +147,17 @@ def edit_people(people: DataFrame, edits: DataFrame) -> DataFrame:
     return apply_edits(people, made, "patient_id", [c for c in made.columns if c != "patient_id"])
 
 
+def predicted_rows(spark: SparkSession, config: Config, make_engine=None, lines: DataFrame | None = None) -> DataFrame:
+    """Evaluation rows (stem, row_no, fields) of all images, parsed but not merged, as truth tables are by image."""
+    catalogs = catalogs_of(spark, config)
+    images = I.discover(spark, config.images, C.read_centers(spark, config.centers))
+    grids = None
+    if lines is None:
+        lines, grids = recognised_lines(spark, images, config, make_engine), detect_grids(with_pixels(spark, images, config.images))
+    rows = parse_pages(lines, catalogs, images, grids).where("error is null").join(images.select("image_id", "path"), "image_id")
+    return E.expected_fields(rows.withColumns({"stem": F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1), "row_no": F.col("record_no") + F.lit(1).cast("long")}))
+
+
 def review_counts(people: DataFrame) -> DataFrame:
     """One row: all, pending, possible duplicates."""
     pending = (F.col("review_status") == "Pendiente") | ((F.col("review_status") == "") & F.col("needs_review"))

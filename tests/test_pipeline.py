@@ -105,6 +105,8 @@ def test_pipeline_with_cache_and_workbook(spark, job):
 
     again = P.run(spark, c, broken)
     assert sorted(r.patient_id for r in again.people.collect()) == ["PAC-0001", "PAC-0002"]
+    rows = P.predicted_rows(spark, c, broken).orderBy("stem").collect()
+    assert [(r.stem, r.row_no, r.nombre_completo, r.edad) for r in rows] == [(s, 1, "María Pérez", "8") for s in "abc"]
     path = P.export(first, f"{job}/out/book.xlsx", ["Pediatría"])
     with pytest.raises(FileExistsError):
         P.export(first, path, [])

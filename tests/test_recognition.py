@@ -92,3 +92,23 @@ def test_policy():
     lines, audit = R.recognise(R.Recorded(first), image, I.detect_grid(image), "auto")
     assert lines == first and audit["refuerzo"]["decision"]["motivo"] == "calidad_no_mejora"
     assert R.recognise(R.Recorded(first), image, None, "printed") == (first, None)
+
+
+def dots(image):
+    """Reads every dark blob as a line that tells its colour."""
+    b = I.blobs(I.gray(image) < 128)
+    return [Line("x", 0.9, int(k[0]), int(k[1]), int(k[0] + k[2]), int(k[1] + k[3]), image.shape[1], image.shape[0]) for k in b if k[4] > 30]
+
+
+def test_crops_map_back():
+    image = np.full((300, 600, 3), 255, np.uint8)
+    for x in (60, 290, 500):
+        image[100:120, x : x + 24] = 0
+    engine = R.Cropping(dots)
+    row = I.TextRow(20, 80, 580, 140, 1.0)
+    found = sorted(engine.rows(image, [row]), key=lambda k: k.x)
+    assert [round(k.x) for k in found] == [72, 302, 512] and all(abs(k.y - 110) <= 2 for k in found)
+    grid = Grid([(0.0, 70.0, 1.0), (0.0, 150.0, 1.0), (0.0, 230.0, 1.0)], [(0.0, 20.0, 1.0), (0.0, 220.0, 1.0), (0.0, 420.0, 1.0), (0.0, 580.0, 1.0)], 1.0)
+    found = sorted(engine.cells(image, I.cells_of(grid)), key=lambda k: k.x)
+    assert [grid.column(k) for k in found] == [0, 1, 2] and [grid.row(k) for k in found] == [0, 0, 0]
+    assert all(abs(k.x - x) <= 4 for k, x in zip(found, (72, 302, 512)))

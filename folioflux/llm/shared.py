@@ -44,8 +44,9 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def small_arrow_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Arrow batches of at most so many rows, as texts may be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def small_arrow_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of about 4 MB at most, as texts and packed rows may be long; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if held <= 0 or held > most:
+        spark.conf.set(key, str(most))

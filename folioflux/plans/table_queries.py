@@ -411,6 +411,61 @@ def d_possible_pairs(spark, sf_dir):
     return pairs.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")).join(rows, "a").join(names, "b").where("n = m").select("a", "b", "center", "age")
 
 
+# ---------------------------------------------------------------- pages
+
+
+def _customers(spark, sf_dir, rows: int):
+    """Customers as page rows: page, place on it, a two-word name, document, age, sex."""
+    k = F.col("c_custkey")
+    word = F.translate(F.lpad(k.cast("string"), 7, "0"), "0123456789", "bcdfghjklm")
+    return table(spark, sf_dir, "customer").select(
+        F.floor(k / rows).cast("string").alias("image_id"), (k % rows).cast("int").alias("at"), F.concat(F.lit("Maria "), F.initcap(word)).alias("name"),
+        (k + 10000000).cast("string").alias("document"), (k % 100).cast("int").alias("age"), F.when(k % 2 == 0, "F").otherwise("M").alias("sex"),
+    )
+
+
+def _page_lines(rows, cells, step: int):
+    """Lines of (text, left) cells, a row every `step` pixels; each page gets its header or heading at the top."""
+    body = rows.select("image_id", (F.col("at") + 1).alias("row"), F.posexplode(F.array(*(F.struct(c.alias("text"), F.lit(x).alias("x")) for c, _, x in cells))).alias("n", "c"))
+    head = rows.select("image_id").distinct().select("image_id", F.lit(0).alias("row"), F.posexplode(F.array(*(F.struct(F.lit(h).alias("text"), F.lit(x).alias("x")) for _, h, x in cells))).alias("n", "c"))
+    y = F.col("row") * step + 40
+    box = F.struct(F.col("c.x").cast("int").alias("x1"), y.cast("int").alias("y1"), (F.col("c.x") + 150).cast("int").alias("x2"), (y + 24).cast("int").alias("y2"))
+    return head.unionByName(body).select("image_id", (F.col("row") * 10 + F.col("n")).cast("int").alias("line_no"), F.col("c.text").alias("text"), F.lit(0.95).alias("score"), box.alias("box"), F.lit(1000).alias("image_width"), F.lit(3000).alias("image_height"))
+
+
+def _parsed(spark, lines):
+    from folioflux.plans.pages import Catalogs, parse_pages
+
+    catalogs = Catalogs([M.Alias("pediatria", "Pediatría")], [M.Alias("petare", "Petare")], N.Lexicons({"maria": 1.0}, {"perez": 1.0}))
+    images = lines.select("image_id").distinct().select("image_id", F.concat(F.lit("p/"), "image_id").alias("path"), F.lit("Centro").alias("center_name"))
+    return parse_pages(lines, catalogs, images)
+
+
+_CUSTOMERS = """
+    with c as (select (c_custkey // {n})::varchar as image_id, c_custkey % {n} as at, c_custkey as k, translate(lpad(c_custkey::varchar, 7, '0'), '0123456789', 'bcdfghjklm') as w from customer)
+    select image_id, 'Maria ' || upper(w[1]) || w[2:] as full_name, (k + 10000000)::varchar as document_id, (k % 100)::int as age, case when k % 2 = 0 then 'F' else 'M' end as sex, {more} from c
+    where image_id in (select image_id from c group by 1 having count(*) >= 2)
+"""
+
+
+@query(_CUSTOMERS.format(n=40, more="'Centro' as center"))
+def p_table_pages(spark, sf_dir):
+    """Pages of forty customers as header tables, parsed back into records."""
+    rows = _customers(spark, sf_dir, 40)
+    rows = rows.join(rows.groupBy("image_id").count().where("count >= 2").select("image_id"), "image_id")
+    cells = [(F.col("name"), "Nombre y Apellido", 40), (F.col("document"), "Cédula", 340), (F.col("age").cast("string"), "Edad", 600), (F.col("sex"), "Sexo", 820)]
+    return _parsed(spark, _page_lines(rows, cells, 70)).select("image_id", "full_name", "document_id", "age", "sex", "center")
+
+
+@query(_CUSTOMERS.format(n=25, more="'Pediatría' as specialty, 'Petare' as origin"))
+def p_list_pages(spark, sf_dir):
+    """Pages of twenty-five customers as numbered lines under a specialty, parsed back into records."""
+    rows = _customers(spark, sf_dir, 25)
+    rows = rows.join(rows.groupBy("image_id").count().where("count >= 2").select("image_id"), "image_id")
+    line = F.concat_ws(" ", F.concat((F.col("at") + 1).cast("string"), F.lit(".")), "name", "document", F.concat(F.col("age").cast("string"), F.lit(" años")), "sex", F.lit("Petare"))
+    return _parsed(spark, _page_lines(rows, [(line, "Pediatría", 40)], 110)).select("image_id", "full_name", "document_id", "age", "sex", "specialty", "origin")
+
+
 # ---------------------------------------------------------------- evaluation, edits, export
 
 

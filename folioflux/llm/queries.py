@@ -125,4 +125,15 @@ ORACLES: dict[str, str] = {
         select query_id, rank::int as rank, vec_id, score
         from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10
     """,
+    "op10_lsh_forest": f"""
+        with recursive s as (select distinct id, s from ({_SHINGLES.format("(select doc_id as id, text from documents)")})),
+             n as (select id, count(*) as n from s group by id),
+             p as (select a.id as a, b.id as b, count(*) as shared from s a join s b on a.s = b.s and a.id < b.id group by all),
+             l as (select a, b from p join n x on x.id = a join n y on y.id = b where 100 * shared >= 75 * (x.n + y.n - shared)),
+             e as (select a as x, b as y from l union all select b, a from l),
+             r(id, c) as (select distinct doc_id, doc_id from documents union select r.id, e.y from r join e on r.c = e.x),
+             m as (select id, min(c) as c from r group by id)
+        select doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.c as component_id, doc_id = m.c as kept
+        from documents join m on m.id = doc_id left join n on n.id = doc_id
+    """,
 }

@@ -19,7 +19,7 @@ LOWER[65:91] += 32
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[_SPACES] = False
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
+BYTE_WEIGHTS = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
@@ -34,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for k, b in enumerate((_BASE, _INVERSE)):
             steps = np.full(max(n, CHUNK + 4096), b, dtype=np.uint64)
@@ -72,9 +72,9 @@ def _hash_chunk(data: np.ndarray, firsts: np.ndarray, in_word: np.ndarray) -> tu
     after[:-1] = inside[1:]
     after[firsts[firsts > 0] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    power, inverse = _power_tables(len(low) + 1)
+    power, inverse = power_tables(len(low) + 1)
     total = np.zeros(len(low) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[low] * power[:-1], out=total[1:])
+    np.cumsum(BYTE_WEIGHTS[low] * power[:-1], out=total[1:])
     return mix((total[ends] - total[starts]) * inverse[starts]), starts
 
 

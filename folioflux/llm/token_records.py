@@ -96,7 +96,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str | None = Non
         encoder = piece_encoder(tokenizer_path)
         files, base = filesystem(folder)
         files.create_dir(base, recursive=True)
-        end = struct.pack("<I", end_id)
+        end = np.array([end_id], np.uint32)
         now, out, index, temp, records, ids, offset = None, None, None, "", 0, 0, 0
 
         def close():
@@ -115,7 +115,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str | None = Non
                         yield close()
                     now, temp, records, ids, offset, index = shard, f"{base}/_{uuid.uuid4().hex}", 0, 0, 0, bytearray()
                     out = files.open_output_stream(f"{temp}.rec", buffer_size=1 << 20)
-                values = np.frombuffer(raw + end, "<u4")
+                values = np.append(raw, end)
                 record = frame(doc, values, squeeze)
                 out.write(record)
                 index += struct.pack(_INDEX, doc or 0, offset, len(record))

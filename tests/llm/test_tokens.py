@@ -108,3 +108,19 @@ def test_long_and_short_merges_agree():
     for _ in range(300):
         s = [rng.choice("thesanion") for _ in range(rng.randrange(1, 40))]
         assert m._merge_long(list(s)) == m._merge_short(list(s))
+
+
+def test_piece_encoder_matches_library():
+    from folioflux.llm.tokenizing import PieceEncoder
+
+    lib = Tokenizer.from_file(BYTE)
+    rng = random.Random(11)
+    parts = ["don", "'", "'s", "'re", "'ve", "'ll", "'m", "'d", "'t", "''", " ", "  ", "\n", "\t", "a", "é", "É", "ß", "×", "÷", "ª", "²", "½", "12", "3", "-", "…", "’", "—", "sat", "really", "ll", "l", "r", " '", "¡", "ñandú", "ǅ", "ɏ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(4000)] + ["'", "'s", "s'", " ", "\n", " \n ", "a'", "'r", "'rx", "'re"]
+    encoder = PieceEncoder(BYTE, most=2000)
+    encoder.PART = 3000
+    for k in range(0, len(texts), 500):
+        for t, ids in zip(texts[k : k + 500], encoder.ids_of(texts[k : k + 500])):
+            assert ids.tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+    long = "word don't stop " * 2000
+    assert encoder.ids_of([long])[0].tolist() == lib.encode(long, add_special_tokens=False).ids

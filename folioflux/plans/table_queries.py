@@ -102,9 +102,50 @@ def q_metadata_filter(spark, sf_dir):
     return lines.where(T.is_metadata(F.col("t"))).select("doc_id", "line_no")
 
 
+@query(r"""
+    with s as (select p_partkey, regexp_replace(regexp_replace(strip_accents(p_name || ' (é) / ' || p_brand || '__'), '[^A-Za-z0-9_-]+', '_', 'g'), '^[_-]+|[_-]+$', '', 'g') as s from part)
+    select p_partkey, case when len(s) > 0 then s[1:60] else 'imagen' end as stem from s
+""")
+def q_safe_stem(spark, sf_dir):
+    name = F.concat("p_name", F.lit(" (é) / "), "p_brand", F.lit("__"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.safe_stem(name).alias("stem"))
+
+
+@query(f"""
+    select c_custkey, regexp_replace(trim(c_name), '[^0-9]', '', 'g') as cedula, coalesce(trunc(try_cast(trim(a) as double))::bigint::varchar, {_NORM.format('trim(a)')}) as edad,
+           upper(trim(left(c_mktsegment, 1) || ' ')) as sexo, {_NORM.format('trim(c_mktsegment)')} as area
+    from (select *, case when c_custkey % 4 = 0 then ' ' || (c_custkey % 90)::varchar || '.0 ' when c_custkey % 4 = 1 then 'Ocho' when c_custkey % 4 = 2 then '' else (c_custkey % 90)::varchar end as a from customer)
+""")
+def q_evaluation_values(spark, sf_dir):
+    k = F.col("c_custkey")
+    n = (k % 90).cast("string")
+    age = F.when(k % 4 == 0, F.concat(F.lit(" "), n, F.lit(".0 "))).when(k % 4 == 1, "Ocho").when(k % 4 == 2, "").otherwise(n)
+    made = {"cedula": F.col("c_name"), "edad": age, "sexo": F.concat(F.left("c_mktsegment", F.lit(1)), F.lit(" ")), "area": F.col("c_mktsegment")}
+    return table(spark, sf_dir, "customer").select(k, *(T.evaluation_value(f, c).alias(f) for f, c in made.items()))
+
+
+@query("""
+    with u as (select event_id, ['años', 'Meses', 'día', 'e', 'a', ''][event_id % 6 + 1] as u from events)
+    select event_id, case when lower(u) like 'mes%' then 'meses' when u like 'día%' then 'días' else 'años' end as unit, u = 'e' as uncertain from u
+""")
+def q_age_unit(spark, sf_dir):
+    unit = F.element_at(F.array(*map(F.lit, ["años", "Meses", "día", "e", "a", ""])), (F.col("event_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", T.age_unit(unit).alias("u")).select("event_id", "u.unit", "u.uncertain")
+
+
 # ---------------------------------------------------------------- dictionaries and names
 
 
+@query(f"""
+    with t as (select {_NORM.format('unnest(string_split(p_name, chr(32)))')} as term, greatest(0, least(1, p_retailprice / 1500 - 0.2)) as w from part)
+    select term, round(max(w), 6) as weight, count(*) as n from t where term <> '' group by term
+""")
+def q_merged_lexicon(spark, sf_dir):
+    """Weights clamped to 0 to 1, the largest of a normalised term."""
+    terms = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("t"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p_retailprice") / 1500 - 0.2)).alias("w"))
+    return terms.select(T.normalize(F.col("t")).alias("term"), "w").where("term <> ''").groupBy("term").agg(F.round(F.max("w"), 6).alias("weight"), F.count("*").alias("n"))
+
+
 @query(f"""
     with a as (select item_id, array_to_string(string_split({_NORM.format('text')}, ' ')[1:6], ' ') as alias from benchmark)
     select d.doc_id, arg_max(a.alias, (len(replace(a.alias, ' ', '')), -a.item_id)) as alias, count(*) as hits
@@ -528,6 +569,30 @@ def e_validate(spark, sf_dir):
     return E.truth_errors(rows)
 
 
+@query("""
+    with a as (select o_custkey::varchar as stem, case when o_orderkey % 5 <> 0 then o_orderkey end as e, case when o_orderkey % 7 <> 0 then o_orderkey end as p from orders)
+    select stem, count(e) as esperados, count(p) as obtenidos, count(*) filter (e is not null and p is not null) as alineados,
+           round(case when count(e) > 0 then count(*) filter (e is not null and p is not null) / count(e) when count(p) = 0 then 1.0 else 0.0 end, 6) as cobertura_registros,
+           round(case when count(p) > 0 then count(*) filter (e is not null and p is not null) / count(p) when count(e) = 0 then 1.0 else 0.0 end, 6) as precision_registros
+    from a group by stem
+""")
+def e_case_report(spark, sf_dir):
+    k = F.col("o_orderkey")
+    aligned = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("stem"), F.when(k % 5 != 0, k).alias("expected_no"), F.when(k % 7 != 0, k).alias("predicted_no"))
+    return E.case_report(aligned)
+
+
+@query("""
+    select count(*) as total, count(*) filter (c_custkey % 3 = 0 or (c_custkey % 3 = 1 and c_acctbal < 0)) as pendientes, count(*) filter (c_nationkey = 7) as posibles_duplicados from customer
+""")
+def ed_review_counts(spark, sf_dir):
+    from folioflux.plans.pipeline import review_counts
+
+    k = F.col("c_custkey")
+    people = table(spark, sf_dir, "customer").select(F.when(k % 3 == 0, "Pendiente").when(k % 3 == 1, "").otherwise("Revisado").alias("review_status"), (F.col("c_acctbal") < 0).alias("needs_review"), F.when(F.col("c_nationkey") == 7, R.POSSIBLE).otherwise("Único").alias("duplicate_status"))
+    return review_counts(people)
+
+
 @query("""
     select c_custkey, case when c_custkey % 10 = 0 then upper(c_name) else c_name end as c_name, case when c_custkey % 10 = 0 then null else c_acctbal end as c_acctbal, c_mktsegment from customer
 """)

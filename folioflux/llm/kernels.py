@@ -157,7 +157,7 @@ def _sort_by_owner(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return order
 
 
-def arrow_rows(batch: pa.RecordBatch, rows_bytes: int = 8 << 20, column: str = "text"):
+def arrow_rows(batch: pa.RecordBatch, rows_bytes: int = 1 << 20, column: str = "text"):
     """Slices of a batch whose texts are about rows_bytes at most (one long text may be more)."""
     _, at = text_buffers(batch.column(batch.schema.get_field_index(column)))
     row, n = 0, batch.num_rows

@@ -52,9 +52,9 @@ def trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _bucket_counts(batches):
     """lang, bucket, n over labelled texts."""
     total: dict[str, np.ndarray] = {}
-    for batch in batches:
-        langs = batch.column(1).to_pylist()
-        codes, ptr = trigrams(*text_buffers(batch.column(0)))
+    for part in (p for batch in batches for p in arrow_rows(batch)):
+        langs = part.column(1).to_pylist()
+        codes, ptr = trigrams(*text_buffers(part.column(0)))
         for k, lang in enumerate(langs):
             total.setdefault(lang, np.zeros(BUCKETS, np.int64))
             total[lang] += np.bincount(codes[ptr[k] : ptr[k + 1]], minlength=BUCKETS)

@@ -44,8 +44,8 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def small_arrow_batches(spark: SparkSession, most: int = 4 << 20) -> None:
-    """Arrow batches of about 4 MB at most, as texts and packed rows may be long; a smaller setting stays."""
+def small_arrow_batches(spark: SparkSession, most: int = 2 << 20) -> None:
+    """Arrow batches of about 2 MB at most, as texts and packed rows may be long; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     held = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
     if held <= 0 or held > most:

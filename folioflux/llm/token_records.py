@@ -108,7 +108,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str | None = Non
                 files.move(a, b)
             return pa.RecordBatch.from_pylist([{"shard": now, "path": names[1], "records": records, "ids": ids}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("records", pa.int64()), ("ids", pa.int64())]))
 
-        for part in (p for batch in batches for p in arrow_rows(batch, 4 << 20)):
+        for part in (p for batch in batches for p in arrow_rows(batch)):
             for shard, doc, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), encoder.ids_of(part.column(2).to_pylist())):
                 if shard != now:
                     if out is not None:

@@ -7,29 +7,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflux.llm.shared import small_arrow_batches
-from folioflux.llm.tokenizing import safe_pieces, tokenizer
+from folioflux.llm.tokenizing import piece_encoder, safe_pieces
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, batch_bytes: int = 1 << 20, piece_chars: int = 1 << 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, over_limit (more than `limit` tokens).
 
     Texts are cut at safe boundaries into pieces of about piece_chars, the pieces of several texts are encoded
-    in batches of about batch_bytes, and only lengths leave the function; memory is bounded by a batch and the
-    longest stretch without a safe boundary. Null and empty texts count 0; repeated rows and ids give a row each;
+    in batches of about batch_bytes (each distinct pre-token once a worker), and only lengths leave the function;
+    memory is bounded by a batch, the worker's table and the longest stretch without a safe boundary. Null and empty texts count 0; repeated rows and ids give a row each;
     an empty table gives none; other columns are not read. Special strings in texts are treated as the library's
     default does; no special tokens are added.
     """
     small_arrow_batches(docs.sparkSession)
 
     def lengths(batches):
-        library = tokenizer(tokenizer_path)
+        encoder = piece_encoder(tokenizer_path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             counts, owners, queue, size = [0] * len(texts), [], [], 0
 
             def flush():
-                for i, e in zip(owners, library.encode_batch(queue, add_special_tokens=False)):
-                    counts[i] += len(e)
+                for i, ids in zip(owners, encoder.ids_of(queue)):
+                    counts[i] += len(ids)
                 owners.clear()
                 queue.clear()
 

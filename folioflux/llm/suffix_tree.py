@@ -1,15 +1,16 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-Symbols are the words that make at least SHARE of the training tokens (so there are at most 1 / SHARE of them), one
-class for all other words, and the end. Contexts of up to DEPTH symbols that make at least CONTEXT_SHARE of the
-training tokens are candidates; one is retained if its next-symbol distribution diverges from that of its suffix by
-more than a likelihood-ratio (BIC) test allows, and then its suffixes are states too. A state's distribution is
-smoothed towards its suffix's (Witten-Bell), the root's is the smoothed unigram; a rare word takes its share of the
-rare class by the unigram. A token is scored in the longest suffix of its history that is a state.
-
-Unigram counts cover every word of the corpus: each block of texts sends its distinct words, packed by hash range, to
-the task of that range, and gets the corpus counts of just these words back, so nothing that grows with the corpus is
-broadcast or collected. The tree's size is bounded by SHARE, CONTEXT_SHARE and DEPTH alone.
+Symbols are all words of the training texts and the end. Contexts of up to DEPTH symbols that occur LEAST times in
+training are candidates; one is retained if its next-symbol distribution diverges from that of its suffix by more than
+a likelihood-ratio (BIC) test allows, and then its suffixes are states too. A state's distribution is smoothed towards
+its suffix's (Witten-Bell), the root's is the smoothed unigram. A token is scored in the longest suffix of its history
+that is a state.
+
+The tree is never in one place. Blocks of texts ask and tasks that own a range of 64-bit keys answer, in rounds: counts
+of words; of pairs; of longer grams whose context can be a candidate; each candidate's share of the test and of its
+kinds of next symbols; and which contexts are suffixes of retained ones. A block sends its distinct keys, packed, and
+gets the corpus values of just these back, so nothing that grows with the corpus is broadcast or collected, and words
+and states grow with the corpus.
 """
 
 from __future__ import annotations
@@ -19,17 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflux.llm.kernels import text_buffers, word_hashes
+from folioflux.llm.kernels import mix, text_buffers, word_hashes
 from folioflux.llm.shared import small_arrow_batches, written
 
-SHARE, CONTEXT_SHARE, DEPTH = 1e-3, 1e-4, 3
+#: Occurrences in training that make a context a candidate
+LEAST, DEPTH = 2, 3
 BITS = 10
-RARE, END = 0, 1
 BLOCK_BYTES = 8 << 20
 END_HASH = np.uint64(0x454E44)
-_MASK = (1 << BITS) - 1
-_BLOCK = [("block", pa.int64()), ("part", pa.int32()), ("blob", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64()))]
-BLOCK = "block long, part int, blob binary, counts binary, ids array<long>, held array<boolean>, sizes array<long>"
+WORDS, PAIRS, GRAMS, TESTS, SUFFIXES = range(5)
+_BLOCK = [("block", pa.int64()), ("round", pa.int32()), ("part", pa.int32()), ("blob", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64()))]
+BLOCK = "block long, round int, part int, blob binary, counts binary, ids array<long>, held array<boolean>, sizes array<long>"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -49,7 +50,7 @@ def pack(batches):
         nonlocal number
         number += 1
         data, ids, flags, sizes = (list(x) for x in zip(*held))
-        return _rows([(number, -1, squeeze(b"".join(data)), None, ids, flags, sizes)])
+        return _rows([(number, -1, -1, squeeze(b"".join(data)), None, ids, flags, sizes)])
 
     size = 0
     for batch in batches:
@@ -79,23 +80,23 @@ def tokens(blob: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return out, ptr + np.arange(n + 1)
 
 
-def _spread(block: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> list[tuple]:
-    """Sorted keys and counts cut at the bounds of `parts` equal ranges of 64-bit keys."""
-    own = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-    cuts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]])
-    return [(block, int(own[a]), keys[a:b].tobytes(), counts[a:b].astype("<u4").tobytes(), None, None, None) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
+def _squeezed(values: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+
+
+def _opened(blob: bytes, kind: str) -> np.ndarray:
+    import zstandard
 
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
-def count_words(parts: int):
-    def count(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                all_, ptr = tokens(row["blob"], row["sizes"])
-                keys, inverse = np.unique(all_, return_inverse=True)
-                train = np.repeat(~np.array(row["held"], bool), np.diff(ptr))
-                yield _rows(_spread(row["block"], keys, np.bincount(inverse[train], minlength=len(keys)), parts))
 
-    return count
+def _spread(block: int, turn: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> list[tuple]:
+    """Sorted keys and their values (a row of counts, or several of floats) cut at the bounds of `parts` equal ranges."""
+    own = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    cuts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]])
+    return [(block, turn, int(own[a]), keys[a:b].tobytes(), _squeezed(counts[..., a:b]), None, None, None) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
 
 
 def _by_part(batches):
@@ -111,76 +112,154 @@ def _by_part(batches):
         yield held
 
 
-def _summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    each = [np.frombuffer(r["blob"], np.uint64) for r in rows]
-    keys, inverse = np.unique(np.concatenate(each), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]), minlength=len(keys)).astype(np.int64)
-    return keys, total, np.split(inverse, np.cumsum([len(e) for e in each])[:-1])
-
-
-def corpus_counts(batches):
-    """For each part: its totals (block null), its frequent words, and the corpus counts of each block's words."""
-    for rows in _by_part(batches):
-        keys, total, where = _summed(rows)
-        own = int(total.sum())
-        top = np.argsort(-total, kind="stable")[: int(1 / SHARE) + 1]
-        totals = (None, rows[0]["part"], keys[top].tobytes(), total[top].astype("<i8").tobytes(), None, None, [own, int((total > 0).sum())])
-        for k in range(0, len(rows), 16):
-            yield _rows([(r["block"], r["part"], None, total[w].astype("<i8").tobytes(), None, None, None) for r, w in zip(rows[k : k + 16], where[k : k + 16])])
-        yield _rows([totals])
-
-
-def _symbols(all_: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Symbol of each token; frequent: sorted hashes, whose symbols follow END."""
-    at = np.minimum(np.searchsorted(frequent, all_), max(len(frequent) - 1, 0))
-    out = np.where(frequent[at] == all_, at + 2, RARE) if len(frequent) else np.zeros(len(all_), np.int64)
-    out[all_ == END_HASH] = END
-    return out.astype(np.int64)
-
-
-def _histories(symbols: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    """The DEPTH symbols before each token, the nearest in the lowest bits; before a text stand ends."""
-    n, out = len(symbols), np.zeros(len(symbols), np.int64)
-    place = np.arange(n) - np.repeat(ptr[:-1], np.diff(ptr))
-    for d in range(1, DEPTH + 1):
-        before = np.full(n, END, np.int64)
-        before[d:] = symbols[: n - d]
-        before[place < d] = END
-        out |= before << BITS * (d - 1)
-    return out
-
-
-def count_grams(frequent: np.ndarray, parts: int):
-    def count(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                all_, ptr = tokens(row["blob"], row["sizes"])
-                symbols = _symbols(all_, frequent)
-                train = np.repeat(~np.array(row["held"], bool), np.diff(ptr))
-                grams, counts = np.unique((_histories(symbols, ptr) << BITS | symbols)[train], return_counts=True)
-                spread = np.uint64(0x9E3779B97F4A7C15) * grams.astype(np.uint64)  # odd: no two grams meet
-                order = np.argsort(spread)
-                if len(grams):
-                    yield _rows(_spread(row["block"], spread[order], counts[order], parts))
+def answer(turn: int):
+    """For each part and block the corpus values of the block's keys; of words the part's totals too (block null)."""
+
+    def answers(batches):
+        for rows in _by_part(batches):
+            each = [np.frombuffer(r["blob"], np.uint64) for r in rows]
+            keys, inverse = np.unique(np.concatenate(each), return_inverse=True)
+            if turn == TESTS:
+                gain, kinds = (np.bincount(inverse, weights=w, minlength=len(keys)) for w in np.concatenate([_opened(r["counts"], "<f8").reshape(2, -1) for r in rows], axis=1))
+                total = np.rint(kinds).astype(np.int64) * np.where(gain > 0, 1, -1)  # negative: fails the test
+            else:
+                total = np.bincount(inverse, weights=np.concatenate([_opened(r["counts"], "<u4") for r in rows]), minlength=len(keys)).astype(np.int64)
+            where = np.split(inverse, np.cumsum([len(e) for e in each])[:-1])
+            for k in range(0, len(rows), 16):
+                yield _rows([(r["block"], turn, r["part"], None, _squeezed(total[w].astype("<i8")), None, None, None) for r, w in zip(rows[k : k + 16], where[k : k + 16])])
+            if turn == WORDS:
+                yield _rows([(None, turn, rows[0]["part"], None, None, None, None, [int(total.sum()), int((total > 0).sum())])])
+
+    return answers
+
+
+class Block:
+    """The tokens of a block's texts, and what the rounds answered so far say of them."""
+
+    def __init__(self, rows: list[dict], turn: int, n: int = 0, v: int = 0):
+        """rows: the texts and then the answers of the rounds before turn, by round and part; n, v: training tokens and
+        words of the corpus."""
+        self.text, said = rows[0], {k: [] for k in range(turn)}
+        for r in rows[1:]:
+            said[r["round"]].append(r["counts"])
+        self.answers = {k: np.concatenate([np.zeros(0, "<i8"), *(_opened(x, "<i8") for x in c)]) for k, c in said.items()}
+        self.words, self.ptr = tokens(self.text["blob"], self.text["sizes"])
+        sizes = np.diff(self.ptr)
+        self.place = np.arange(len(self.words)) - np.repeat(self.ptr[:-1], sizes)
+        self.train = np.repeat(~np.array(self.text["held"], bool), sizes)
+        self.turn, self.n, self.v = turn, n, v
+
+    def before(self, values: np.ndarray, far: int, start) -> np.ndarray:
+        """The value of the token `far` places before each; `start` where the text has not so many."""
+        out = np.full(len(values), start, values.dtype)
+        out[far:] = values[: len(values) - far]
+        out[self.place < far] = start
+        return out
 
-    return count
+    def read(self) -> Block:
+        """Keys of contexts and grams by depth, the grams that were asked, counts of contexts and grams, candidates."""
+        self.contexts, self.grams = [np.zeros(len(self.words), np.uint64)], [self.words]
+        for d in range(1, DEPTH + 1):
+            self.contexts.append(mix(self.contexts[-1] * np.uint64(0xD6E8FEB86659FD93) + self.before(self.words, d, END_HASH) + np.uint64(d)))
+            self.grams.append(mix(self.contexts[d] ^ self.words * np.uint64(0x9E3779B97F4A7C15)))
+        if self.turn < GRAMS:
+            return self
+        count = self.answers[WORDS][np.unique(self.words, return_inverse=True)[1]]
+        ends = count[self.ptr[1:] - 1].max()
+        self.counts, self.totals = [count], [None, self.before(count, 1, ends)]
+        self.base = (count + 0.1) / (self.n + 0.1 * (self.v + 1))
+        self.counts.append(self.answers[PAIRS][np.unique(self.grams[1], return_inverse=True)[1]])
+        self.totals.append(self.before(self.counts[1], 1, ends))
+        # a context of d symbols is a candidate only if all pairs in it are
+        self.asked = [None, None, self.totals[2] >= LEAST]
+        for d in range(3, DEPTH + 1):
+            self.asked.append(self.asked[-1] & self.before(self.asked[2], d - 2, True))
+        if self.turn < TESTS:
+            return self
+        for d, found in enumerate(self.of_masked(GRAMS, self.grams, self.asked, range(2, DEPTH + 1)), 2):
+            self.counts.append(found)
+            self.totals.append(self.before(found, 1, ends))
+        self.candidates = [None, *(t >= LEAST for t in self.totals[1 : DEPTH + 1])]
+        if self.turn < SUFFIXES:
+            return self
+        kinds = self.of_masked(TESTS, self.contexts, self.candidates, range(1, DEPTH + 1))
+        self.kinds, self.states = [None, *map(np.abs, kinds)], [None, *(k > 0 for k in kinds)]
+        self.failed = [None, *(k < 0 for k in kinds)]
+        if self.turn > SUFFIXES:
+            for d, found in enumerate(self.of_masked(SUFFIXES, self.contexts, self.failed, range(1, DEPTH)), 1):
+                self.states[d] |= found > 0
+        return self
+
+    def of_masked(self, turn: int, keys: list, masks: list, depths) -> list[np.ndarray]:
+        """The answers to the keys of each depth under its mask, 0 elsewhere."""
+        inverse = np.unique(np.concatenate([keys[d][masks[d]] for d in depths]), return_inverse=True)[1]
+        found, out, at = self.answers[turn][inverse] if len(inverse) else np.zeros(0, np.int64), [], 0
+        for d in depths:
+            own = np.zeros(len(self.words), np.int64)
+            k = int(masks[d].sum())
+            own[masks[d]] = found[at : at + k]
+            out.append(own)
+            at += k
+        return out
 
+    def question(self, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys to ask, and what this block adds to each."""
+        self.read()
+        if turn < TESTS:
+            depths, masks = ([turn], None) if turn < GRAMS else (range(2, DEPTH + 1), self.asked)
+            pick = lambda x: np.concatenate([x(d)[masks[d]] if masks else x(d) for d in depths])
+            keys, inverse = np.unique(pick(lambda d: self.grams[d]), return_inverse=True)
+            return keys, np.bincount(inverse[pick(lambda d: self.train)], minlength=len(keys)).astype("<u4")
+        if turn == TESTS:
+            depths, masks = range(1, DEPTH + 1), self.candidates
+            gain, share = [], []
+            for d in depths:
+                at = masks[d] & self.train
+                count, total = self.counts[d][at].astype(float), self.totals[d][at].astype(float)
+                above = self.base[at] if d == 1 else self.counts[d - 1][at] / self.totals[d - 1][at]
+                own = np.zeros((2, len(at)))
+                own[1, at] = 1 / count  # of all tokens of a gram: 1
+                own[0, at] = 2 * np.log(count / total / above) - np.log(total) / count
+                gain.append(own[0, masks[d]])
+                share.append(own[1, masks[d]])
+            keys, inverse = np.unique(np.concatenate([self.contexts[d][masks[d]] for d in depths]), return_inverse=True)
+            return keys, np.stack([np.bincount(inverse, weights=np.concatenate(x), minlength=len(keys)) for x in (gain, share)])
+        below, hits = np.zeros(len(self.words), bool), []
+        for d in range(DEPTH - 1, 0, -1):
+            below = below | self.states[d + 1]
+            hits.insert(0, below[self.failed[d]])
+        keys, inverse = np.unique(np.concatenate([self.contexts[d][self.failed[d]] for d in range(1, DEPTH)]), return_inverse=True)
+        return keys, np.minimum(np.bincount(inverse, weights=np.concatenate(hits), minlength=len(keys)), 1).astype("<u4")
+
+    def scores(self) -> pa.RecordBatch:
+        self.read()
+        p = self.base
+        for d in range(1, DEPTH + 1):
+            kinds = self.kinds[d]
+            p = np.where(self.states[d], (self.counts[d] + kinds * p) / np.maximum(self.totals[d] + kinds, 1), p)
+        sums = [np.add.reduceat(x, self.ptr[:-1]) for x in (np.log10(self.base), np.log10(p), (self.counts[0] > 0).astype(np.int64))]
+        sizes = np.diff(self.ptr)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.text["ids"], pa.int64()), pa.array(self.text["held"], pa.bool_()), pa.array(sizes), pa.array(sums[2]), pa.array(np.full(len(sizes), self.n, np.int64)), pa.array(sums[0]), pa.array(sums[1])],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
 
-GRAMS = "history long, next int, n long"
 
+def ask(turn: int, parts: int, n: int = 0, v: int = 0):
+    def questions(batches):
+        for rows in _by_block(batches):
+            found = _spread(rows[0]["block"], turn, *Block(rows, turn, n, v).question(turn), parts)
+            if found:
+                yield _rows(found)
 
-def summed_grams(batches):
-    undo = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-    for rows in _by_part(batches):
-        keys, total, _ = _summed(rows)
-        grams = (keys * undo).astype(np.int64)
-        for k in range(0, len(grams), 50_000):
-            g = grams[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(g >> BITS), pa.array((g & _MASK).astype(np.int32)), pa.array(total[k : k + 50_000])], ["history", "next", "n"])
+    return questions
 
 
 class Tree:
-    """States sorted by key (depth above the history's bits); their log10 ratios to the root and back-off weights."""
+    """The same tree in one process, for up to 1 << BITS symbols: the form that tests hold the rounds against.
+
+    States are sorted by key (depth above the history's bits), with log10 ratios to the root and back-off weights.
+    """
 
     def __init__(self, root: np.ndarray, counted: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         """root: probability of each symbol; counted: for depth 1.. the arrays history, next symbol, count."""
@@ -250,25 +329,6 @@ class Tree:
         return out
 
 
-def score_blocks(batches, model):
-    """Scores of a block's texts from the block (part -1) and the corpus counts of its words (the parts after it)."""
-    tree, frequent, n, v = model.value
-    for rows in _by_block(batches):
-        text = rows[0]
-        all_, ptr = tokens(text["blob"], text["sizes"])
-        _, inverse = np.unique(all_, return_inverse=True)
-        c = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in rows[1:]])[inverse]
-        base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-        symbols = _symbols(all_, frequent)
-        gain = tree.gains(_histories(symbols, ptr), symbols)
-        sums = [np.add.reduceat(x, ptr[:-1]) for x in (base, base + gain, (c > 0).astype(np.int64))]
-        counts = np.diff(ptr)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(text["ids"], pa.int64()), pa.array(text["held"], pa.bool_()), pa.array(counts), pa.array(sums[2]), pa.array(np.full(len(counts), n, np.int64)), pa.array(sums[0]), pa.array(sums[1])],
-            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
-
-
 def _by_block(batches):
     held: list[dict] = []
     for batch in batches:
@@ -297,38 +357,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     if not size:
         return spark.createDataFrame([], SCORES)
     parts = max(4, size)
-    counted = blocks.mapInArrow(count_words(parts), BLOCK).repartition("part").sortWithinPartitions("part", "block")
-    answers = written(counted.mapInArrow(corpus_counts, BLOCK), "answers")
-    totals = answers.where("block is null")
-    n, v = totals.agg(F.sum(F.col("sizes")[0]), F.sum(F.col("sizes")[1])).first()
-    least = max(1.0, SHARE * n)
-
-    def frequent_of(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                keys, c = np.frombuffer(r["blob"], np.uint64), np.frombuffer(r["counts"], "<i8")
-                at = np.flatnonzero(c >= least)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(c[at])], ["word", "n"])
-
-    found = totals.mapInArrow(frequent_of, "word long, n long").collect()  # at most 1 / SHARE rows
-    ends = next((r["n"] for r in found if r["word"] == int(END_HASH)), None)
-    if ends is None:
-        ends = blocks.select(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0]
-    words = sorted((np.int64(r["word"]).astype(np.uint64), r["n"]) for r in found if r["word"] != int(END_HASH))
-    frequent = np.array([w for w, _ in words], np.uint64)
-    room = n + 0.1 * (v + 1)
-    root = np.array([0.0, ends + 0.1, *(c + 0.1 for _, c in words)]) / room
-    root[RARE] = max(1 - root.sum(), 1e-12)
-
-    grams = blocks.mapInArrow(count_grams(frequent, parts), BLOCK).repartition("part").sortWithinPartitions("part")
-    grams = written(grams.mapInArrow(summed_grams, GRAMS), "grams")
-    levels = []
-    for d in range(1, DEPTH + 1):
-        own = grams.groupBy(F.col("history").bitwiseAND((1 << BITS * d) - 1).alias("history"), "next").agg(F.sum("n").alias("n"))
-        large = own.groupBy("history").agg(F.sum("n").alias("total")).where(F.col("total") >= max(2.0, CONTEXT_SHARE * n)).select("history")
-        got = own.join(large, "history").toPandas()  # at most 1 / CONTEXT_SHARE histories
-        levels.append(tuple(got[c].to_numpy() for c in ("history", "next", "n")))
-    model = spark.sparkContext.broadcast((Tree(root, levels), frequent, int(n), int(v)))
-
-    both = blocks.unionByName(answers.where("block is not null")).repartition("block").sortWithinPartitions("block", "part")
-    return both.mapInArrow(lambda batches: score_blocks(batches, model), SCORES).withColumnRenamed("doc_id", id_col)
+    by_block = lambda answers: blocks.unionByName(answers).repartition("block").sortWithinPartitions("block", "round", "part")
+
+    def answered(turn: int, asked: DataFrame) -> DataFrame:
+        dealt = asked.repartition(parts, "part").sortWithinPartitions("part", "block")
+        return written(dealt.mapInArrow(answer(turn), BLOCK), "answers")
+
+    words = answered(WORDS, blocks.mapInArrow(ask(WORDS, parts), BLOCK))
+    n, v = words.where("block is null").agg(F.sum(F.col("sizes")[0]), F.sum(F.col("sizes")[1])).first()
+    known = words.where("block is not null").unionByName(answered(PAIRS, blocks.mapInArrow(ask(PAIRS, parts), BLOCK)))
+    for turn in (GRAMS, TESTS, SUFFIXES):
+        known = known.unionByName(answered(turn, by_block(known).mapInArrow(ask(turn, parts, n, v), BLOCK)))
+    return by_block(known).mapInArrow(lambda batches: (Block(rows, SUFFIXES + 1, n, v).scores() for rows in _by_block(batches)), SCORES).withColumnRenamed("doc_id", id_col)

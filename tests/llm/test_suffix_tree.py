@@ -68,3 +68,44 @@ def test_empty_and_untrained(spark):
     assert (r.n_tokens, r.n_known, r.train_tokens, r.score) == (3, 0, 0, r.base_score)
     rows = [(None, "a b c"), (1, "a b"), (1, "a b")]
     assert suffix_tree.score(spark.createDataFrame(rows, schema)).count() == 3
+
+
+def sequential(rows):
+    """Scores by suffix_tree.Tree over all words as symbols, in one process."""
+    import numpy as np
+
+    toks = {d: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for d, t in rows}
+    held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in rows}
+    c = Counter(w for d, ws in toks.items() if not held[d] for w in ws)
+    number = {w: i for i, w in enumerate({w: 0 for ws in toks.values() for w in ws})}
+    assert len(number) < 1 << suffix_tree.BITS
+    root = np.array([c[w] + 0.1 for w in number]) / (sum(c.values()) + 0.1 * (len(c) + 1))
+    end, bits, depth = number[None], suffix_tree.BITS, suffix_tree.DEPTH
+    histories = {}
+    for d, ws in toks.items():
+        ids = [end] * depth + [number[w] for w in ws]
+        histories[d] = np.array([[sum(ids[i - k] << bits * (k - 1) for k in range(1, depth + 1)), ids[i]] for i in range(depth, len(ids))])
+    levels = []
+    for k in range(1, depth + 1):
+        grams = Counter((h & ((1 << bits * k) - 1), x) for d, hs in histories.items() if not held[d] for h, x in hs.tolist())
+        totals = Counter()
+        for (h, _), m in grams.items():
+            totals[h] += m
+        levels.append(tuple(np.array(x) for x in zip(*((h, x, m) for (h, x), m in grams.items() if totals[h] >= 2))))
+    tree = suffix_tree.Tree(root, levels)
+    return tree, {d: float((np.log10(root[hs[:, 1]]) + tree.gains(hs[:, 0], hs[:, 1])).sum()) for d, hs in histories.items()}
+
+
+@pytest.mark.parametrize("block", [700, 8 << 20])
+def test_every_word_and_context_counts(spark, monkeypatch, block):
+    """Words and contexts far below any share of the corpus are symbols and states, as in the tree in one process."""
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", block)
+    rng = random.Random(6)
+    rare = ["once w%d u%d r%d s%d t%d" % ((i,) * 5) for i in range(20)]
+    rows = [(i, t + " tail %s" % rng.choice("ab")) for i, t in enumerate(t for _, t in corpus(120))]
+    rows += [(1000 + i, rng.choice(rare)) for i in range(100)] + [(2000, None)]
+    tree, want = sequential(rows)
+    got = {r.doc_id: r for r in suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert len(tree.states) > 100 and set(got) == set(want)
+    for d, x in want.items():
+        assert math.isclose(got[d].score, x, rel_tol=1e-9), d

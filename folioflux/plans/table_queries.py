@@ -513,7 +513,7 @@ def p_list_pages(spark, sf_dir):
 def _sides(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     none = F.lit("")
-    rows = turns.select(F.col("conv_id").cast("string").alias("stem"), F.col("turn").alias("row_no"), "role", F.substring("text", 1, 60).alias("nombre_completo"), F.substring_index("text", " ", 1).alias("nombre"), none.alias("apellido"), none.alias("cedula"), none.alias("centro"), (F.length("text") % 90).cast("string").alias("edad"), F.lit("años").alias("unidad_edad"), none.alias("sexo"), none.alias("procedencia"), none.alias("especialidad"), none.alias("area"))
+    rows = turns.select(F.col("conv_id").cast("string").alias("stem"), F.col("turn").alias("row_no"), "role", F.col("text").alias("nombre_completo"), F.substring_index("text", " ", 1).alias("nombre"), none.alias("apellido"), none.alias("cedula"), none.alias("centro"), (F.length("text") % 90).cast("string").alias("edad"), F.lit("años").alias("unidad_edad"), none.alias("sexo"), none.alias("procedencia"), none.alias("especialidad"), none.alias("area"))
     return rows.where("role = 'user'").drop("role"), rows.where("role <> 'user'").drop("role")
 
 

@@ -32,3 +32,15 @@ def test_query(spark, duck, name):
         names = [x[0] for x in found.description]
         assert sorted(names) == columns
         assert got == sorted(repr([plain(r[names.index(c)]) for c in columns]) for r in found.fetchall())
+
+
+def test_alignment_reads_whole_texts(spark, tmp_path):
+    """Turns that share their first 60 characters and differ after them are neither equal nor correct."""
+    opening = "the same opening of more than sixty characters stands here, "
+    turns = [(1, 0, "user", opening + "aaaa bbbb cccc dddd"), (1, 1, "assistant", opening + "wwww xxxx yyyy zzzz"), (2, 0, "user", opening + "end"), (2, 1, "assistant", opening + "end")]
+    assert len(opening) == 60
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    aligned = {r.stem: r.similarity for r in QUERIES["e_align"](spark, str(tmp_path)).collect()}
+    assert aligned["2"] > aligned["1"]
+    names = next(r for r in QUERIES["e_report"](spark, str(tmp_path)).collect() if r.field == "nombre_completo")
+    assert (names.total, names.correctos) == (2, 1)

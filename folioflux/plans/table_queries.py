@@ -440,18 +440,31 @@ def d_leader(spark, sf_dir):
     return people.select("patient_id", "first", "full_name", "center", "age", "document_id", "sex", "occurrences", F.round("confidence", 6).alias("confidence"), F.array_join("source_images", ";").alias("images"), F.array_join("notes", ";").alias("notes"), "duplicate_status").join(members, "patient_id")
 
 
+def _apart(spark, sf_dir):
+    """Each person a group of its own without a document."""
+    return _people(spark, sf_dir).withColumn("document_id", F.lit("")).withColumn("patient_id", F.col("ordinal").cast("string")).withColumn("first", F.col("ordinal"))
+
+
 @query("""
     select a.p_partkey as a, b.p_partkey as b, a.p_brand as center, a.p_size as age from part a join part b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_name = b.p_name and a.p_partkey < b.p_partkey and len(a.p_name) >= 8
 """)
 def d_possible_pairs(spark, sf_dir):
-    """The exact-name branch: pairs whose similarity is 100 %."""
-    people = _people(spark, sf_dir).withColumn("document_id", F.lit("")).withColumn("patient_id", F.col("ordinal").cast("string")).withColumn("first", F.col("ordinal"))
+    """The exact-name branch, which SQL can express: pairs whose similarity is 100 %. d_similar_pairs has all pairs."""
+    people = _apart(spark, sf_dir)
     pairs = R.possible_pairs(people).where(F.startswith("reason", F.lit("nombre 100% |")))
     rows = people.select(F.col("ordinal").alias("a"), "center", "age", F.col("full_name").alias("n"))
     names = people.select(F.col("ordinal").alias("b"), F.col("full_name").alias("m"))
     return pairs.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")).join(rows, "a").join(names, "b").where("n = m").select("a", "b", "center", "age")
 
 
+@query()
+def d_similar_pairs(spark, sf_dir):
+    """All possible pairs with their reasons: names of a similarity of 0.92 at least, equal ones included."""
+    people = _apart(spark, sf_dir)
+    pairs = R.possible_pairs(people).select(F.col("first_a").alias("a"), F.col("first_b").alias("b"), "reason")
+    return pairs.join(people.select(F.col("ordinal").alias("a"), "center", "age"), "a").select("a", "b", "center", "age", "reason")
+
+
 # ---------------------------------------------------------------- pages
 
 

@@ -1,5 +1,8 @@
 """Every query on the driver's smallest tables against its SQL."""
 
+import random
+from difflib import SequenceMatcher
+
 import duckdb
 import pytest
 
@@ -44,3 +47,23 @@ def test_alignment_reads_whole_texts(spark, tmp_path):
     assert aligned["2"] > aligned["1"]
     names = next(r for r in QUERIES["e_report"](spark, str(tmp_path)).collect() if r.field == "nombre_completo")
     assert (names.total, names.correctos) == (2, 1)
+
+
+def test_similar_pairs_against_brute_force(spark, tmp_path):
+    rng = random.Random(5)
+    words = "almond azure blush coral cream forest ghost honey ivory khaki lemon maroon".split()
+    rows = []
+    for i in range(240):
+        name = " ".join(rng.sample(words, 3)) if i % 3 == 0 else rows[-1][1]
+        at = rng.randrange(len(name))
+        name = name[:at] + rng.choice(["", "z", "zz"]) + name[at:] if i % 3 == 2 else name
+        rows.append((i, name if i % 40 else "short", "brand%d" % (i // 3 % 2), "type", i // 3 % 5, 900.0))
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and (a[2], a[4]) == (b[2], b[4]) and min(len(a[1]), len(b[1])) >= 8 and SequenceMatcher(None, a[1], b[1]).ratio() >= 0.92:
+                want.add((a[0], b[0], a[2], a[4]))
+    found = QUERIES["d_similar_pairs"](spark, str(tmp_path)).collect()
+    assert {(r.a, r.b, r.center, r.age) for r in found} == want and len(found) == len(want)
+    assert 20 < sum(not r.reason.startswith("nombre 100%") for r in found)

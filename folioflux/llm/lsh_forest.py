@@ -222,24 +222,30 @@ def across(batches):
 
 
 def sets_of_texts(batches):
-    """node and its set for rows doc_id, text, node whose text has that node's set."""
+    """node and its set for rows doc_id, text, node whose text has that node's set, or any where node is null."""
     for batch in batches:
         for part in arrow_rows(batch):
             values, ptr, nodes = _sets(part.column(1))
-            keep = [i for i, (n, want) in enumerate(zip(nodes, part.column(2).to_pylist())) if n == want]
+            keep = [i for i, (n, want) in enumerate(zip(nodes, part.column(2).to_pylist())) if n is not None and want in (None, n)]
             yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in keep], pa.int64()), pa.array([values[ptr[i] : ptr[i + 1]].tobytes() for i in keep], pa.binary())], ["node", "set"])
 
 
 def full_sets(texts: DataFrame, firsts: DataFrame) -> DataFrame:
     """node, set (sorted little-endian u64 shingles) for the nodes of `firsts` (node, doc_id), from texts (doc_id, text).
 
-    Up to BROADCAST_ROWS ids are broadcast; beyond that count the join is shuffled.
+    Up to BROADCAST_ROWS ids are broadcast; beyond that count the join is shuffled. Nodes whose rows all have a null id
+    are found by the digest of the texts without an id.
     """
-    wanted = firsts.select("doc_id", "node")
+    wanted = firsts.where("doc_id is not null").select("doc_id", "node")
     small = wanted.count() <= BROADCAST_ROWS
     found = texts.join(F.broadcast(wanted) if small else wanted, "doc_id").select("doc_id", "text", "node")
+    sets = found.mapInArrow(sets_of_texts, "node long, set binary")
+    nameless = firsts.where("doc_id is null").select("node")
+    if not nameless.isEmpty():
+        others = texts.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("long").alias("node"))
+        sets = sets.unionByName(others.mapInArrow(sets_of_texts, "node long, set binary").join(nameless, "node", "left_semi"))
     # rows that repeat an id and a text give their set once
-    return found.mapInArrow(sets_of_texts, "node long, set binary").dropDuplicates(["node"])
+    return sets.dropDuplicates(["node"])
 
 
 def confirm(batches):
@@ -266,8 +272,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_arrow_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(texts.mapInArrow(sign, SIGNED), "signed")
-    classes = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "keys", "sig")).alias("f"))
-    nodes = written(classes.select("node", "f.doc_id", "f.keys", "f.sig"), "nodes")
+    # a class has one set, so its keys and signatures are equal; its doc_id is null only where all its ids are
+    nodes = written(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("keys").alias("keys"), F.min("sig").alias("sig")), "nodes")
 
     keyed = nodes.select("node", F.posexplode("keys").alias("tree", "run"))
     shared_runs = keyed.groupBy("run").agg(F.count("*").alias("n")).where("n > 1")

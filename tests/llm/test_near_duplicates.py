@@ -78,3 +78,14 @@ def test_empty_repeated_and_null_ids(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None), (1, "q r s t u v")]
     got = sorted((str(r.doc_id), r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, schema)).collect())
     assert got == [("1", 1, True)] * 3 + [("2", 2, True), ("None", 1, False)]
+
+
+def test_null_ids_link_their_class_to_near_copies(spark):
+    base = ["w%d" % i for i in range(60)]
+    near = lambda k: " ".join(["v%d" % k if i == k else w for i, w in enumerate(base)])
+    other = ["u%d" % i for i in range(60)]
+    close = lambda k: " ".join(["x%d" % k if i == k else w for i, w in enumerate(other)])
+    rows = [(5, near(0)), (None, near(0)), (2, near(0)), (1, near(59)), (None, close(0)), (None, close(0)), (8, close(59)), (9, "alone a b c d e f")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    found = sorted(((str(r.doc_id), r.component_id, r.kept) for r in got), key=str)
+    assert found == [("1", 1, True), ("2", 1, False), ("5", 1, False), ("8", 8, True), ("9", 9, True), ("None", 1, False), ("None", 8, False), ("None", 8, False)]

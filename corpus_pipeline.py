@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from folioflux.llm.containment import without_contained
 from folioflux.llm.language_id import languages_of_documents
-from folioflux.llm.lsh_forest import near_duplicates
+from folioflux.llm.lsh_forest import decisions, text_digest
 from folioflux.llm.shared import written
 from folioflux.llm.transducer import encode_decode
 
-#: So many ids of dropped documents are broadcast at most (32 MB); beyond it, the join is shuffled.
-BROADCAST_IDS = 4_000_000
+#: So many ids and text digests of dropped rows are broadcast at most (about 100 MB); beyond it, the join is shuffled.
+BROADCAST_IDS = 1_000_000
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +27,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; rows with a null id stay."""
-    dropped = written(near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "dropped")
+    """The document with the smallest id of each group of near-duplicates; rows with a null id stay, and rows that share
+    an id are judged each by its own text."""
+    dropped = decisions(docs).where(~F.col("kept") & F.col("doc_id").isNotNull())
+    dropped = written(dropped.select(F.col("doc_id").alias("_dropped"), F.col("digest").alias("_digest")).distinct(), "dropped")
     small = dropped.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if small else dropped, "doc_id", "left_anti").select(*docs.columns)
+    same = (docs["doc_id"] == F.col("_dropped")) & (text_digest("text") == F.col("_digest"))
+    return docs.join(F.broadcast(dropped) if small else dropped, same, "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

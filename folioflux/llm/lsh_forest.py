@@ -36,8 +36,8 @@ BLOCK = 1024
 BROADCAST_ROWS = 500_000
 ROUNDS = 3
 _odd = np.random.default_rng(7).integers(0, 2**31, WIDTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_SIGNED = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())]
-SIGNED = "doc_id long, n_shingles long, node long, keys array<long>, sig binary"
+_SIGNED = [("doc_id", pa.int64()), ("digest", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())]
+SIGNED = "doc_id long, digest long, n_shingles long, node long, keys array<long>, sig binary"
 
 
 def _sets(text_column) -> tuple[np.ndarray, np.ndarray, list[int | None]]:
@@ -73,7 +73,7 @@ def sign(batches):
             has = [n is not None for n in nodes]
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1) * TREES, pa.int32()), pa.array(key.astype(np.int64).ravel()), mask=pa.array([not x for x in has]))
             small = (sigs & 255).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ptr)), pa.array(nodes, pa.int64()), keys, pa.array([small[i].tobytes() if x else None for i, x in enumerate(has)], pa.binary())], [n for n, _ in _SIGNED])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(ptr)), pa.array(nodes, pa.int64()), keys, pa.array([small[i].tobytes() if x else None for i, x in enumerate(has)], pa.binary())], [n for n, _ in _SIGNED])
 
 
 def _columns(rows: list[pa.RecordBatch], most: int | None = None):
@@ -268,9 +268,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal texts they are one class. Rows with a null id count in links but never as smallest; a component of null ids
     only has a null component_id and keeps nothing. An empty table gives none; other columns are not read.
     """
+    return decisions(docs, id_col, text_col).drop("digest").withColumnRenamed("doc_id", id_col)
+
+
+def text_digest(text_col: str):
+    """What tells rows apart that share an id."""
+    return F.xxhash64(F.col(text_col))
+
+
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of near_duplicates with doc_id as the id's name, and the digest of each row's text."""
     spark = docs.sparkSession
     small_arrow_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_digest(text_col).alias("digest"))
     signed = written(texts.mapInArrow(sign, SIGNED), "signed")
     # a class has one set, so its keys and signatures are equal; its doc_id is null only where all its ids are
     nodes = written(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("keys").alias("keys"), F.min("sig").alias("sig")), "nodes")
@@ -321,7 +331,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         comp = components(links.unionByName(more))
 
-    ends = signed.select("doc_id", "n_shingles", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    ends = signed.select("doc_id", "digest", "n_shingles", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = ends.where("node is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = ends.join(smallest, "comp", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")).withColumnRenamed("doc_id", id_col)
+    return out.select("doc_id", "digest", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))

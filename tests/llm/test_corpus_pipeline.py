@@ -71,3 +71,12 @@ def test_stages_return_the_columns_of_documents(spark, pipeline, folder):
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, path).schema == docs.schema
         assert stage(spark, docs.limit(0), path).count() == 0
+
+
+def test_rows_that_share_an_id_are_dropped_by_their_text(spark, pipeline):
+    base = ["w%d" % i for i in range(60)]
+    copy, clean = " ".join([*base[:-1], "changed"]), " ".join("u%d" % i for i in range(60))
+    rows = [(1, " ".join(base)), (7, copy), (7, clean), (None, copy)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pipeline.near_duplicate_stage(spark, docs, "").collect()
+    assert {tuple(r) for r in got} == {rows[0], rows[2], rows[3]}

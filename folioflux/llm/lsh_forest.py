@@ -1,11 +1,12 @@
-"""Near-duplicate documents by an LSH forest: several sorted signature orders, neighbours by longest common prefix.
+"""Near-duplicate documents by LSH in several trees of one fixed depth, with regions searched block against block.
 
 1. Every whole text becomes its set of 5-word shingles; texts with equal sets form a class with one node.
 2. A node's signature is TREES x DEPTH minhash values. A tree's region is the nodes that agree on its first
    LEAST_DEPTH values; inside a region nodes are sorted by the rest of the signature, read from that tree on.
-3. Sorted orders are range-partitioned, so a region of any size is spread over tasks: it is cut where prefixes part,
-   which makes the depth follow the region's size. In a run of sorted neighbours each node is joined to one leader
-   whose signature agrees well enough: a star, never all pairs.
+3. Sorted orders are range-partitioned, so a region of any size is spread over tasks: it is cut every RUN rows and at
+   the bounds of tasks. The depth is fixed and no common prefix is measured: sorting only brings like rows into the
+   same run of a large region. In a run each node is joined to one leader whose signature agrees well enough, by
+   counted values: a star, never all pairs.
 4. Links are confirmed on full sets; components follow. In regions that still hold several components, blocks
    against blocks, each node proposes the best-agreeing node of another component; this is repeated while it joins
    components. What is then left, agreeing nodes of components that stayed apart, is confirmed pair by pair inside

@@ -87,20 +87,19 @@ class Model:
         return out, counts
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, most_langs: int = 64) -> Model:
-    """A model of the `sample` rows of each of the most frequent languages whose texts have the smallest hashes."""
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
+    """A model of the `sample` rows of each labelled language whose texts have the smallest hashes."""
     spark = labelled.sparkSession
     small_arrow_batches(spark)
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text <> '' and lang is not null")
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()]
-    hashed = rows.where(F.col("lang").isin(langs)).select("lang", F.xxhash64("text").alias("h"))
+    hashed = rows.select("lang", F.xxhash64("text").alias("h"))
     # the sample's largest hash a language, from a sketch of all hashes: no text is sorted
     share = hashed.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx("h", [i / 2000 for i in range(2001)], 20_000).alias("q")).collect()
-    keep = F.lit(False)
-    for r in share:
-        keep = keep | ((F.col("lang") == r["lang"]) & (F.xxhash64("text") <= r["q"][min(2000, -(-2000 * sample // r["n"]))]))
-    counts = rows.where(keep).select("text", "lang").mapInArrow(_bucket_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    return Model([tuple(r) for r in counts.collect()])  # at most most_langs x BUCKETS rows
+    if not share:
+        return Model([])
+    most = F.create_map(*(F.lit(x) for r in share for x in (r["lang"], r["q"][min(2000, -(-2000 * sample // r["n"]))])))
+    counts = rows.where(F.xxhash64("text") <= most[F.col("lang")]).select("text", "lang").mapInArrow(_bucket_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return Model([tuple(r) for r in counts.collect()])  # at most BUCKETS rows a language
 
 
 def _towards(n, prior):

@@ -52,3 +52,18 @@ def test_clashing_columns(spark):
     out = languages_of_documents(df)
     assert out.columns == df.columns + ["lang_id_", "posterior", "text_lang", "rejected_"]
     assert {tuple(r)[4:7] for r in out.collect()} == {("keep", 1.5, True)}
+
+
+def test_every_labelled_language_has_a_model(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rng, rows = random.Random(3), []
+    for k in range(70):
+        syllables = [letters[k % 26] + letters[(k // 26 + 3 * j + k) % 26] + letters[(5 * j + 2 * k) % 26] for j in range(3)]
+        for i in range(3 if k == 69 else 4):
+            words = " ".join("".join(rng.choice(syllables) for _ in range(3)) for _ in range(20))
+            rows.append((10 * k + i, words, "l%02d" % k, "h"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = train(df)
+    assert model.langs == ["l%02d" % k for k in range(70)]
+    got = languages_of_documents(df.where("lang = 'l69' or doc_id % 10 = 0")).where("lang = 'l69'").collect()
+    assert [(r.lang_id, r.rejected) for r in got] == [("l69", False)] * 3

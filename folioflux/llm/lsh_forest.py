@@ -1,17 +1,18 @@
-"""Near-duplicate documents by LSH in several trees of one fixed depth, with regions searched block against block.
+"""Near-duplicate documents by an LSH forest: sorted signature orders, longest common prefixes, adaptive depth.
 
 1. Every whole text becomes its set of 5-word shingles; texts with equal sets form a class with one node.
-2. A node's signature is TREES x DEPTH minhash values. A tree's region is the nodes that agree on its first
-   LEAST_DEPTH values; inside a region nodes are sorted by the rest of the signature, read from that tree on.
-3. Sorted orders are range-partitioned, so a region of any size is spread over tasks: it is cut every RUN rows and at
-   the bounds of tasks. The depth is fixed and no common prefix is measured: sorting only brings like rows into the
-   same run of a large region. In a run each node is joined to one leader whose signature agrees well enough, by
-   counted values: a star, never all pairs.
-4. Links are confirmed on full sets; components follow. In regions that still hold several components, blocks
-   against blocks, each node proposes the best-agreeing node of another component; this is repeated while it joins
-   components. What is then left, agreeing nodes of components that stayed apart, is confirmed pair by pair inside
-   the blocks, each pair in the first tree where it meets; only links that join components leave the task. So
-   nothing that steps 3 and 4 passed over is lost, and no list of pairs is made.
+2. A node's signature is TREES x DEPTH minhash values. Tree t orders all nodes by the signature read from its own
+   values on; nodes that agree on its first LEAST_DEPTH values form a region. Nodes alone in their region drop out.
+3. The orders are range-partitioned and sorted, so a region of any size is spread over tasks. The common prefixes of
+   adjacent rows give those of any two rows (their running minimum). Each row takes the rows of its region with the
+   longest common prefixes, REACH of them and all ties among the 2 x REACH nearest: in a crowded region these share a
+   deep prefix, in a sparse one just LEAST_DEPTH values. Of these candidates a node proposes, over all trees, the
+   best-agreeing one and the smallest that agrees very well (so that a large group hangs together by few nodes).
+4. Proposals are confirmed on full sets and contracted to components.
+5. In regions that still hold several components, the largest one is held against the rest, and the rest against
+   itself, block by block: rows of different components whose signatures agree are confirmed on full sets, each pair
+   in the first tree where it meets. Only links that join components leave the task. So nothing that step 3 passed
+   over is lost, no list of pairs is made, and a region costs (rows outside its largest component) x (rows).
 """
 
 from __future__ import annotations
@@ -25,17 +26,17 @@ from pyspark.sql import functions as F
 
 from folioflux.llm.components import components
 from folioflux.llm.kernels import arrow_rows, distinct_by_text, mix, shingles, word_hashes
-from folioflux.llm.shared import small_arrow_batches, written
+from folioflux.llm.shared import bounded, small_arrow_batches, written
 
 TREES, DEPTH, LEAST_DEPTH = 20, 6, 3
 WIDTH = TREES * DEPTH
 #: Signature values that must agree for a confirmation: at similarity 0.75 the mean is 90 of 120, 3.8 deviations above.
 AGREE = 72
-RUN = 2048
+#: Values that agree where a similarity of 0.75 is hardly in doubt
+SURE = 96
+#: Rows with the longest common prefixes that a row looks at in each tree
+REACH = 8
 BLOCK = 1024
-#: 16 bytes a row
-BROADCAST_ROWS = 500_000
-ROUNDS = 3
 _odd = np.random.default_rng(7).integers(0, 2**31, WIDTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SIGNED = [("doc_id", pa.int64()), ("digest", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())]
 SIGNED = "doc_id long, digest long, n_shingles long, node long, keys array<long>, sig binary"
@@ -77,48 +78,33 @@ def sign(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(ptr)), pa.array(nodes, pa.int64()), keys, pa.array([small[i].tobytes() if x else None for i, x in enumerate(has)], pa.binary())], [n for n, _ in _SIGNED])
 
 
-def _columns(rows: list[pa.RecordBatch], most: int | None = None):
-    """Bounds of the runs of sorted rows (a run of over `most` rows is cut), and the columns as arrays."""
-    whole = pa.Table.from_batches(rows).combine_chunks()
-    run = whole["run"].to_numpy()
-    bounds = np.concatenate([[0], np.flatnonzero(run[1:] != run[:-1]) + 1, [len(run)]])
-    if most:
-        bounds = np.concatenate([np.arange(a, b, most) for a, b in zip(bounds[:-1], bounds[1:])] + [[len(run)]])
-    out = {c: whole[c].to_numpy() for c in whole.column_names if c not in ("sig", "keys", "set")}
-    if "keys" in whole.column_names:
-        out["keys"] = whole["keys"].combine_chunks().flatten().to_numpy().reshape(-1, TREES)
-    if "set" in whole.column_names:
-        out["set"] = whole["set"].to_pylist()
-    return bounds, out | {"sig": np.frombuffer(b"".join(whole["sig"].to_pylist()), np.uint8).reshape(-1, WIDTH)}
-
-
-def _run_batches(batches, most: int | None = None):
-    """Batches of sorted input cut so that each holds complete runs; a run of far over `most` rows is cut."""
+def _whole(batches, name: str):
+    """Batches cut so that each holds all rows of its last key (column `name`), for input sorted by it."""
     held: list[pa.RecordBatch] = []
-    whole = lambda rows: pa.Table.from_batches(rows).combine_chunks().to_batches()
     for batch in batches:
         if not batch.num_rows:
             continue
-        run = batch.column(batch.schema.get_field_index("run")).to_numpy(zero_copy_only=False)
-        same = bool(held) and held[-1].column(batch.schema.get_field_index("run"))[-1].as_py() == run[0]
+        key = batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+        same = bool(held) and held[-1].column(batch.schema.get_field_index(name))[-1].as_py() == key[0]
         if held and not same:
-            yield from whole(held)
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held = []
-        last = int(np.flatnonzero(run != run[-1])[-1]) + 1 if run[0] != run[-1] else 0
+        last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
         if last:
-            yield from whole([*held, batch.slice(0, last)])
+            yield pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks().to_batches()[0]
             held = []
         held.append(batch.slice(last))
-        if most and sum(b.num_rows for b in held) >= 4 * most:
-            yield from whole(held)
-            held = []
     if held:
-        yield from whole(held)
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _runs(batches, most: int | None = None):
-    for batch in _run_batches(batches, most):
-        yield _columns([batch], most)
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    column = batch.column(batch.schema.get_field_index(name))
+    if name == "sig":
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDTH)
+    if name == "keys":
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, TREES)
+    return column.to_numpy(zero_copy_only=False)
 
 
 PAIRS = "a long, b long"
@@ -128,65 +114,96 @@ def _pairs(a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64))], ["a", "b"])
 
 
-def stars(batches):
-    """For each node of a run the first leader of its run that its signature agrees with: rows leader, node."""
-    for bounds, col in _runs(batches, RUN):
-        node, sig = col["node"], col["sig"]
-        sizes = np.diff(bounds)
-        two = bounds[:-1][sizes == 2]
-        ok = two[(sig[two] == sig[two + 1]).sum(1) >= AGREE]
-        leaders, members = [np.minimum(node[ok], node[ok + 1])], [np.maximum(node[ok], node[ok + 1])]
-        for a, b in zip(bounds[:-1][sizes > 2], bounds[1:][sizes > 2]):
-            order = a + np.argsort(node[a:b])
-            while len(order) > 1:
-                agree = (sig[order[1:]] == sig[order[0]]).sum(1) >= AGREE
-                near = order[1:][agree]
-                leaders.append(np.full(len(near), node[order[0]]))
-                members.append(node[near])
-                order = order[1:][~agree]
-        yield _pairs(np.concatenate(leaders), np.concatenate(members))
-
-
-def _apart(col, a: int, b: int):
-    """For each row of a run the later rows of another component that agree with it: of the other block of the run,
-    or of its one block; and only in the first tree where the two share a region."""
-    node, sig, comp, side, keys = (col[c][a:b] for c in ("node", "sig", "comp", "side", "keys"))
-    tree, one = col["tree"][a], bool((side == side[0]).all())
-    for i in range(b - a):
-        rest = np.arange(i + 1, b - a)
-        rest = rest[(comp[rest] != comp[i]) & (True if one else side[rest] != side[i])]
-        if len(rest):
-            agree = (sig[rest] == sig[i]).sum(1)
-            rest, agree = rest[agree >= AGREE], agree[agree >= AGREE]
-            first = (keys[rest] == keys[i]).argmax(1) == tree
-            if first.any():
-                yield node[i], node[rest[first]], agree[first]
+def prefixes(run: np.ndarray, sig: np.ndarray, reach: int) -> np.ndarray:
+    """Common prefix lengths of each sorted row with those `reach` before and after it (rows x 2 reach; 0: no such row
+    or another region): the running minimum of the lengths of adjacent rows."""
+    n = len(run)
+    equal = sig[1:] == sig[:-1]
+    adjacent = np.where(equal.all(1), WIDTH, equal.argmin(1)) * (run[1:] == run[:-1])
+    out = np.zeros((n, 2 * reach), np.int16)
+    least = adjacent
+    for off in range(1, min(reach, n - 1) + 1):
+        if off > 1:
+            least = np.minimum(least[:-1], adjacent[off - 1 :])
+        out[off:, reach - off] = least
+        out[: n - off, reach + off - 1] = least
+    return out
 
 
-PROPOSED = "a long, b long, agree long"
+PROPOSED = "node long, sure long, best long, agree long"
+_FAR = np.iinfo(np.int64).max
 
 
 def propose(batches):
-    """For each node of a run the best-agreeing node of another component (ties: the smaller)."""
-    for bounds, col in _runs(batches):
-        best: dict[int, tuple[int, int]] = {}
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            for x, near, agree in _apart(col, a, b):
-                for p, q, n in [(x, near[k := int(agree.argmax())], agree[k]), *((y, x, n) for y, n in zip(near, agree))]:
-                    best[int(p)] = max(best.get(int(p), (0, 0)), (int(n), -int(q)))
-        rows = [(p, -q, n) for p, (n, q) in best.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 3, ["a", "b", "agree"])
+    """For each sorted row its best-agreeing candidate and the smallest that is SURE; rows with neither give nothing.
+
+    Candidates are the rows with the longest common prefixes: at least REACH of the nearest 2 x REACH, all ties too.
+    """
+    tail = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        run, sig, node = (_column(batch, c) for c in ("run", "sig", "node"))
+        if tail is not None:
+            run, sig, node = (np.concatenate(x) for x in zip(tail, (run, sig, node)))
+        tail = tuple(x[-REACH:] for x in (run, sig, node))
+        length = prefixes(run, sig, REACH)
+        depth = np.maximum(np.sort(length, axis=1)[:, REACH], LEAST_DEPTH)  # of each row's region, as deep as it is crowded
+        best, agreed, sure = (np.full(len(run), x, np.int64) for x in (_FAR, 0, _FAR))
+        for k in range(2 * REACH):
+            off = k - REACH if k < REACH else k - REACH + 1
+            at = np.flatnonzero(length[:, k] >= depth)
+            agree = (sig[at] == sig[at + off]).sum(1)
+            at, agree = at[agree >= AGREE], agree[agree >= AGREE]
+            other = node[at + off]
+            better = (agree > agreed[at]) | (agree == agreed[at]) & (other < best[at])
+            best[at[better]], agreed[at[better]] = other[better], agree[better]
+            high = at[agree >= SURE]
+            sure[high] = np.minimum(sure[high], other[agree >= SURE])
+        found = np.flatnonzero(agreed)
+        yield pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(sure[found], mask=sure[found] == _FAR), pa.array(best[found]), pa.array(agreed[found])], ["node", "sure", "best", "agree"])
+
+
+def _apart(col: dict[str, np.ndarray], a: int, b: int):
+    """For each row of a slot the rows of another component that agree with it, in the first tree where the two share a
+    region. A slot holds two blocks (sides) to be held against each other, or one: then rows of its largest component
+    are only held against the others."""
+    node, sig, comp, side, keys = (col[c][a:b] for c in ("node", "sig", "comp", "side", "keys"))
+    tree, two = col["tree"][a], bool((side != side[0]).any())
+    if two:
+        last = side == 1
+    else:
+        kinds, which, counts = np.unique(comp, return_inverse=True, return_counts=True)
+        if len(kinds) == 1:
+            return
+        last = which == counts.argmax()
+    order = np.argsort(last, kind="stable")
+    node, sig, comp, keys = node[order], sig[order], comp[order], keys[order]
+    pivots = int((~last).sum())
+    for i in range(pivots):
+        start = pivots if two else i + 1
+        rest = start + np.flatnonzero(comp[start:] != comp[i])
+        rest = rest[(sig[rest] == sig[i]).sum(1) >= AGREE]
+        rest = rest[(keys[rest] == keys[i]).argmax(1) == tree]
+        if len(rest):
+            yield order[i], order[rest]
+
+
+def _slots(batches):
+    for batch in _whole(batches, "run"):
+        col = {c: _column(batch, c) for c in ("run", "tree", "side", "node", "comp", "sig", "keys")}
+        cuts = np.flatnonzero(col["run"][1:] != col["run"][:-1]) + 1
+        yield batch, col, list(zip([0, *cuts], [*cuts, len(col["run"])]))
 
 
 def still_open(batches):
-    """The rows of a run that agree with a row of another component."""
-    for batch in _run_batches(batches):
-        bounds, col = _columns([batch])
+    """The rows of a slot that agree with a row of another component."""
+    for batch, col, slots in _slots(batches):
         keep = np.zeros(batch.num_rows, bool)
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            place = {int(x): k for k, x in enumerate(col["node"][a:b].tolist(), a)}
-            for x, near, _ in _apart(col, a, b):
-                keep[[place[int(x)], *(place[int(y)] for y in near)]] = True
+        for a, b in slots:
+            for x, near in _apart(col, a, b):
+                keep[a + x] = True
+                keep[a + near] = True
         yield batch.filter(pa.array(keep))
 
 
@@ -201,12 +218,10 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def across(batches):
-    """Confirmed links of a run that join different components."""
-    for batch in _run_batches(batches):
-        bounds, col = _columns([batch])
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            sets = dict(zip(col["node"][a:b].tolist(), (np.frombuffer(x, np.uint64) for x in col["set"][a:b])))
-            comp = dict(zip(col["node"][a:b].tolist(), col["comp"][a:b].tolist()))
+    """Components (a, b) of a slot that a confirmed link joins."""
+    for batch, col, slots in _slots(batches):
+        sets = batch.column(batch.schema.get_field_index("set"))
+        for a, b in slots:
             up: dict[int, int] = {}
 
             def root(c):
@@ -214,12 +229,19 @@ def across(batches):
                     c = up[c]
                 return c
 
-            for x, near, _ in _apart(col, a, b):
+            held: dict[int, np.ndarray] = {}
+
+            def own(i, held=held, a=a):
+                if i not in held:
+                    held[i] = np.frombuffer(sets[int(a + i)].as_py(), np.uint64)
+                return held[i]
+
+            for x, near in _apart(col, a, b):
                 for y in near.tolist():
-                    p, q = root(comp[int(x)]), root(comp[y])
-                    if p != q and linked(sets[int(x)], sets[y]):
-                        up[p] = q
-                        yield _pairs([min(int(x), y)], [max(int(x), y)])
+                    p, q = int(col["comp"][a + x]), int(col["comp"][a + y])
+                    if root(p) != root(q) and linked(own(int(x)), own(y)):
+                        up[max(root(p), root(q))] = min(root(p), root(q))
+                        yield _pairs([min(p, q)], [max(p, q)])
 
 
 def sets_of_texts(batches):
@@ -234,12 +256,11 @@ def sets_of_texts(batches):
 def full_sets(texts: DataFrame, firsts: DataFrame) -> DataFrame:
     """node, set (sorted little-endian u64 shingles) for the nodes of `firsts` (node, doc_id), from texts (doc_id, text).
 
-    Up to BROADCAST_ROWS ids are broadcast; beyond that count the join is shuffled. Nodes whose rows all have a null id
-    are found by the digest of the texts without an id.
+    A bounded count of ids is broadcast; beyond it the join is shuffled. Nodes whose rows all have a null id are found
+    by the digest of the texts without an id.
     """
     wanted = firsts.where("doc_id is not null").select("doc_id", "node")
-    small = wanted.count() <= BROADCAST_ROWS
-    found = texts.join(F.broadcast(wanted) if small else wanted, "doc_id").select("doc_id", "text", "node")
+    found = texts.join(bounded(wanted), "doc_id").select("doc_id", "text", "node")
     sets = found.mapInArrow(sets_of_texts, "node long, set binary")
     nameless = firsts.where("doc_id is null").select("node")
     if not nameless.isEmpty():
@@ -269,7 +290,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal texts they are one class. Rows with a null id count in links but never as smallest; a component of null ids
     only has a null component_id and keeps nothing. An empty table gives none; other columns are not read.
     """
-    return decisions(docs, id_col, text_col).drop("digest").withColumnRenamed("doc_id", id_col)
+    return decisions(docs, id_col, text_col).drop("digest", "chosen").withColumnRenamed("doc_id", id_col)
+
+
+def text_digest(text_col: str):
+    """What tells rows apart that share an id."""
+    return F.xxhash64(F.col(text_col))
 
 
 def text_digest(text_col: str):
@@ -278,61 +304,86 @@ def text_digest(text_col: str):
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of near_duplicates with doc_id as the id's name, and the digest of each row's text."""
+    """The rows of near_duplicates with doc_id as the id's name, the digest of each row's text, and chosen: whether the
+    row is the one that stays of its component (the smallest id, not null if there is one; then the smallest digest).
+    Rows that repeat an id and a text are chosen alike. Rows without shingles are always chosen."""
     spark = docs.sparkSession
-    small_arrow_batches(spark)
+    with small_arrow_batches(spark):
+        return _decisions(docs, id_col, text_col)
+
+
+def _regions(nodes: DataFrame) -> DataFrame:
+    """run (a tree's region), tree, node, sig read from the tree on, keys: of nodes that share the region with another."""
+    keyed = nodes.select("node", "sig", "keys", F.posexplode("keys").alias("tree", "run"))
+    shared = written(keyed.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run"), "shared-runs")
+    few = bounded(shared)
+    if few is shared:  # keys alone meet a large table; signatures follow for the rows that stay
+        keyed = keyed.select("node", "tree", "run").join(shared, "run").join(nodes.select("node", "sig", "keys"), "node")
+    else:
+        keyed = keyed.join(few, "run")
+    rotated = F.expr(f"concat(substring(sig, tree * {DEPTH} + 1), substring(sig, 1, tree * {DEPTH}))")
+    return written(keyed.select("run", "tree", "node", rotated.alias("sig"), "keys"), "regions")
+
+
+def _mixed(regions: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows of regions that hold several components, dealt to slots: of its largest component and of the rest, a region
+    has blocks of about BLOCK rows; each block of the rest meets each block of either."""
+    own = regions.join(bounded(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    parts = own.groupBy("run", "comp").agg(F.count("*").alias("n"))
+    held = parts.groupBy("run").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n")).where("most.n < n")
+    held = written(held.select("run", F.col("most.comp").alias("largest"), F.col("most.n").alias("inside"), (F.col("n") - F.col("most.n")).alias("outside")), "mixed-runs")
+    rows = own.join(bounded(held), "run")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    rows = rows.withColumn("m", blocks("inside")).withColumn("r", blocks("outside")).withColumn("rest", F.col("comp") != F.col("largest"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("r")).otherwise(F.col("m"))).cast("int"))
+    one = (F.col("inside") + F.col("outside")) <= BLOCK
+    slot = lambda kind, i, j, side: F.struct(F.xxhash64("run", F.lit(kind), i, j).alias("run"), side.cast("int").alias("side"))
+    count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    to_largest = F.transform(count("m"), lambda j: slot(1, F.col("own"), j, F.lit(0)))
+    to_rest = F.transform(count("r"), lambda j: slot(2, F.least("own", j), F.greatest("own", j), (F.col("own") > j)))
+    slots = F.when(one, F.array(slot(0, F.lit(0), F.lit(0), F.lit(0)))).when(F.col("rest"), F.concat(to_largest, to_rest)).otherwise(F.transform(count("r"), lambda i: slot(1, i, F.col("own"), F.lit(1))))
+    rows = rows.withColumn("slot", F.explode(slots))
+    return rows.select(F.col("slot.run").alias("run"), "tree", F.col("slot.side").alias("side"), "node", "comp", "sig", "keys").repartition("run").sortWithinPartitions("run")
+
+
+def _decisions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_digest(text_col).alias("digest"))
     signed = written(texts.mapInArrow(sign, SIGNED), "signed")
     # a class has one set, so its keys and signatures are equal; its doc_id is null only where all its ids are
     nodes = written(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("keys").alias("keys"), F.min("sig").alias("sig")), "nodes")
+    regions = _regions(nodes)
 
-    keyed = nodes.select("node", F.posexplode("keys").alias("tree", "run"))
-    shared_runs = keyed.groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
-    regions = written(keyed.join(shared_runs, "run").select("run", "tree", "node", "n"), "regions")
-    rotated = F.expr(f"concat(substring(sig, tree * {DEPTH} + 1), substring(sig, 1, tree * {DEPTH}))")
-    sorted_rows = regions.join(nodes.select("node", "sig"), "node").select("run", rotated.alias("sig"), "node").repartitionByRange("run", "sig").sortWithinPartitions("run", "sig")
-    star = written(sorted_rows.mapInArrow(stars, PAIRS).groupBy("b").agg(F.min("a").alias("a")), "stars")
-
-    linked_ids = star.select(F.col("b").alias("node")).union(star.select(F.col("a").alias("node"))).distinct()
-    sets = written(full_sets(texts, written(linked_ids.join(nodes.select("node", "doc_id"), "node"), "firsts")), "sets")
-    links = written(confirmed(star, sets), "confirmed")
-    comp = components(links)
-
-    def mixed(comp: DataFrame) -> DataFrame:
-        """Rows of regions that hold several components, each block of a region with each of its blocks."""
-        label = comp.select("node", "comp")
-        own = regions.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        several = own.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("run")
-        rest = own.join(several, "run").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        rest = rest.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rest = rest.withColumn("run", F.xxhash64("run", F.least("side", "other"), F.greatest("side", "other")))
-        rest = rest.join(nodes.select("node", "sig", "keys"), "node").repartition("run").sortWithinPartitions("run")
-        return rest.select("run", "tree", "side", "node", "comp", "sig", "keys")
-
-    def sets_of(wanted: DataFrame, sets: DataFrame) -> DataFrame:
-        """sets, with those of the nodes of `wanted` besides."""
-        missing = written(wanted.join(sets.select("node"), "node", "left_anti").join(nodes.select("node", "doc_id"), "node"), "missing")
-        return sets if missing.isEmpty() else sets.unionByName(written(full_sets(texts, missing), "sets"))
-
-    for _ in range(ROUNDS):
-        best = mixed(comp).mapInArrow(propose, PROPOSED).groupBy("a").agg(F.max(F.struct("agree", (-F.col("b")).alias("b"))).alias("m"))
-        best = best.select(F.least("a", -F.col("m.b")).alias("a"), F.greatest("a", -F.col("m.b")).alias("b")).distinct()
-        best = written(best.join(star, ["a", "b"], "left_anti"), "proposed")
-        sets = sets_of(best.select(F.explode(F.array("a", "b")).alias("node")).distinct(), sets)
-        more = written(confirmed(best, sets), "confirmed")
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        comp = components(links)
-    rest = mixed(comp)
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        firsts = written(nodes.select("node", "doc_id").join(wanted, "node"), "firsts")
+        return written(full_sets(texts, firsts), "sets")
+
+    orders = regions.select("run", "sig", "node").repartitionByRange("run", "sig").sortWithinPartitions("run", "sig")
+    found = orders.mapInArrow(propose, PROPOSED).groupBy("node").agg(F.min("sure").alias("sure"), F.max(F.struct("agree", (-F.col("best")).alias("best"))).alias("m"))
+    ends = found.select("node", F.explode(F.array("sure", -F.col("m.best"))).alias("other")).where("other is not null")
+    pairs = written(ends.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "proposed")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    comp = components(confirmed(pairs, sets))
+
+    rest = _mixed(regions, comp)
     left = written(rest.mapInArrow(still_open, rest.schema), "open")
-    sets = sets_of(left.select("node").distinct(), sets)
-    more = written(left.join(sets, "node").repartition("run").sortWithinPartitions("run").mapInArrow(across, PAIRS), "confirmed")
-    if not more.isEmpty():
-        comp = components(links.unionByName(more))
-
-    ends = signed.select("doc_id", "digest", "n_shingles", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    smallest = ends.where("node is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = ends.join(smallest, "comp", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "digest", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    if not left.isEmpty():
+        sets = sets_of(left.select("node").distinct())
+        met = left.join(sets, "node").repartition("run").sortWithinPartitions("run")
+        more = components(met.mapInArrow(across, PAIRS)).toDF("old", "new")
+        if not more.isEmpty():
+            comp = _relabelled(comp, more)
+
+    ends = signed.select("doc_id", "digest", "n_shingles", "node").join(bounded(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
+    firsts = ends.where("node is not null").groupBy("comp").agg(first)
+    out = ends.join(firsts, "comp", "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    chosen = F.col("node").isNull() | F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    return out.select("doc_id", "digest", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), chosen.alias("chosen"))
+
+
+def _relabelled(comp: DataFrame, more: DataFrame) -> DataFrame:
+    """node, comp with the components `old` of more become `new`; nodes that stood alone are old components too."""
+    moved = comp.join(bounded(more), F.col("comp") == F.col("old"), "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    alone = more.join(comp.select("comp"), F.col("old") == F.col("comp"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("comp"))
+    return written(moved.unionByName(alone), "components")

@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT = "spark.checkpoint.dir"
+#: Rows of a few numbers (about 32 bytes) that are broadcast at most; larger tables are joined by shuffle.
+BROADCAST_ROWS = 500_000
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; one is set only where the session names none."""
+    """The cluster's shared folder; a local one is made only where the session names none and runs on one machine."""
     held = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     named = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getConf().get(CHECKPOINT) or held
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError(f"{CHECKPOINT} must name a folder that driver and executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "folioflux-shared")
         spark.conf.set(CHECKPOINT, named)
     return named.rstrip("/")
@@ -25,14 +34,37 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/folioflux/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting while the block runs; what it was before after it."""
+    held = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if held is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, held)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: it cuts the lineage and survives a lost executor."""
+    """df written to the shared folder and read back: it cuts the lineage and survives a lost executor.
+
+    The write's shuffle files go as soon as it is done: nothing reads them again.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    with setting(spark, _CLEAN_UP, "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if it has at most `most` rows, else df itself; for written tables of a few numbers a row."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def filesystem(uri: str):
     """pyarrow filesystem and path of a shared folder's address."""
     from pyarrow import fs
@@ -44,9 +76,25 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def small_arrow_batches(spark: SparkSession, most: int = 2 << 20) -> None:
-    """Arrow batches of about 2 MB at most, as texts and packed rows may be long; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
-    if held <= 0 or held > most:
-        spark.conf.set(key, str(most))
+def small_arrow_batches(spark: SparkSession, most: int = 2 << 20):
+    """Arrow batches of about 2 MB at most, as texts and packed rows may be long; a smaller setting stays.
+
+    The setting holds from the call on, as plans that are returned run later; as a context it ends with the block.
+    """
+    held = spark.conf.get(_ARROW_BYTES).strip().lower()
+    digits = held.rstrip("bkmg")
+    size = int(digits) * _UNITS[held[len(digits) :]]
+    small = size if 0 < size <= most else most
+    spark.conf.set(_ARROW_BYTES, str(small))
+
+    @contextlib.contextmanager
+    def block():
+        try:
+            yield
+        finally:
+            if size > 0:
+                spark.conf.set(_ARROW_BYTES, str(size))
+            else:  # no bound was set; Spark takes none as a value
+                spark.conf.unset(_ARROW_BYTES)
+
+    return block()

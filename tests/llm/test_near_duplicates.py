@@ -1,7 +1,10 @@
 import random
 import re
 
+import numpy as np
+
 from folioflux.llm import lsh_forest
+from folioflux.llm.components import components
 from folioflux.llm.lsh_forest import near_duplicates
 
 
@@ -89,3 +92,56 @@ def test_null_ids_link_their_class_to_near_copies(spark):
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     found = sorted(((str(r.doc_id), r.component_id, r.kept) for r in got), key=str)
     assert found == [("1", 1, True), ("2", 1, False), ("5", 1, False), ("8", 8, True), ("9", 9, True), ("None", 1, False), ("None", 8, False), ("None", 8, False)]
+
+
+def test_prefixes_of_sorted_rows():
+    rng = np.random.default_rng(4)
+    run = np.sort(rng.integers(0, 4, 60))
+    sig = rng.integers(0, 2, (60, lsh_forest.WIDTH), dtype=np.uint8)
+    sig[10] = sig[11]
+    order = np.lexsort([*sig.T[::-1], run])
+    run, sig = run[order], sig[order]
+    got = lsh_forest.prefixes(run, sig, 5)
+
+    def common(i, j):
+        if not 0 <= j < 60 or run[i] != run[j]:
+            return 0
+        equal = sig[i] == sig[j]
+        return lsh_forest.WIDTH if equal.all() else int(equal.argmin())
+
+    assert got.tolist() == [[common(i, i + off) for off in (*range(-5, 0), *range(1, 6))] for i in range(60)]
+
+
+def test_components_against_union_find(spark):
+    rng = random.Random(8)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 5000 - i) for i in range(1, 60)] + [(7, 7)]
+    up = {x: x for p in pairs for x in p}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    want = {x: root(x) for a, b in pairs if a != b for x in (a, b)}
+    got = {r.node: r.comp for r in components(spark.createDataFrame([(min(p), max(p)) for p in pairs], "a long, b long")).collect()}
+    assert got == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_region_far_over_a_block(spark, monkeypatch):
+    """Texts that share half their words meet in crowded regions; what the forest misses is found block by block."""
+    monkeypatch.setattr(lsh_forest, "BLOCK", 8)
+    rng = random.Random(21)
+    shared = ["s%d" % i for i in range(70)]
+    rows = []
+    for g in range(60):
+        own = ["g%d_%d" % (g, i) for i in range(35)]
+        for k in range(rng.randrange(1, 5)):
+            words = shared + own
+            for _ in range(k % 3):
+                words[rng.randrange(len(words))] = "c%d_%d" % (g, k)
+            rows.append((7 * len(rows), " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)

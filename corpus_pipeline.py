@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflux.llm.containment import without_contained
-from folioflux.llm.language_id import languages_of_documents
+from folioflux.llm.language_id import FIELDS, free_names, languages_of_documents
 from folioflux.llm.lsh_forest import decisions, text_digest
-from folioflux.llm.shared import written
+from folioflux.llm.shared import bounded, written
 from folioflux.llm.transducer import encode_decode
 
 #: So many ids and text digests of dropped rows are broadcast at most (about 100 MB); beyond it, the join is shuffled.
@@ -23,17 +23,26 @@ BROADCAST_IDS = 1_000_000
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; the declared language and the source are evidence."""
     found = languages_of_documents(docs)
-    return found.where(~F.col(found.columns[-1])).select(*docs.columns)  # the decision is the last column
+    rejected = free_names(FIELDS, docs.columns)[FIELDS.index("rejected")]
+    return found.where(~F.col(rejected)).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; rows with a null id stay, and rows that share
-    an id are judged each by its own text."""
-    dropped = decisions(docs).where(~F.col("kept") & F.col("doc_id").isNotNull())
-    dropped = written(dropped.select(F.col("doc_id").alias("_dropped"), F.col("digest").alias("_digest")).distinct(), "dropped")
-    small = dropped.count() <= BROADCAST_IDS
-    same = (docs["doc_id"] == F.col("_dropped")) & (text_digest("text") == F.col("_digest"))
-    return docs.join(F.broadcast(dropped) if small else dropped, same, "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates: the smallest id that is not null, then the smallest text digest.
+
+    Rows that share an id are judged each by its own text; of rows that repeat an id and a text one stays. Rows without
+    words are nobody's duplicates and stay. Only ids and digests are compared; texts are not shuffled, but for rows that
+    repeat an id and a text.
+    """
+    found = written(decisions(docs), "decisions")
+    key, digest = free_names(("dropped_id", "dropped_digest"), docs.columns)
+    pairs = lambda rows: bounded(written(rows.select(F.col("doc_id").alias(key), F.col("digest").alias(digest)), "keys"), BROADCAST_IDS)
+    same = docs["doc_id"].eqNullSafe(F.col(key)) & (text_digest("text") == F.col(digest))
+    dropped = pairs(found.where(~F.col("chosen")).select("doc_id", "digest").distinct())
+    repeated = pairs(found.where("chosen and n_shingles > 0").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1"))
+    kept = docs.join(dropped, same, "left_anti")
+    once = kept.join(repeated, same, "left_semi").withColumn(digest, text_digest("text")).dropDuplicates(["doc_id", digest])
+    return kept.join(repeated, same, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,57 +64,37 @@ def unframe(data: bytes, at: int = 0) -> tuple[int | None, np.ndarray, int]:
     return (None if flags & 1 else doc_id), np.frombuffer(body, f"<u{width}", count).astype("<u4"), at + 16 + n
 
 
-def _range_of(value, cuts: list[int], below: int = 0):
-    """Number of cuts at or below a value (null: 0), by a tree of comparisons."""
-    if not cuts:
-        return F.lit(below)
-    mid = len(cuts) // 2
-    return F.when(value >= F.lit(cuts[mid]), _range_of(value, cuts[mid + 1 :], below + mid + 1)).otherwise(_range_of(value, cuts[:mid], below))
-
-
-def write_records(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 0, shard_bytes: int = 32 << 20, most_shards: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_records(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 0, shard_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text (null: empty), append end_id, and write records in ascending id order; returns the manifest.
 
-    Ranges of ids come from quantiles over all rows (reading lengths and ids only), one shuffle brings each range
-    together, and each task streams its sorted rows into a shard: a text at a time is in memory. A shard gets its
-    final name by a rename, so retried and speculative tasks leave whole files. Rows with equal ids keep no order
-    among themselves beyond their text; null ids come first; an empty table gives an empty manifest.
+    Ranges of ids, and of text hashes inside an id that very many rows share, come from Spark's range partitioning, as
+    many as shards of shard_bytes of text need; one shuffle brings each range together, and each task streams its sorted
+    rows into a shard: a text at a time is in memory. A shard gets its final name by a rename, so retried and
+    speculative tasks leave whole files. Rows with equal ids are ordered by a hash of their text; null ids come first;
+    an empty table gives an empty manifest; other columns are not read.
     """
     spark = docs.sparkSession
     small_arrow_batches(spark)
     folder = folder or new_folder(spark, "records")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.percentile_approx("id", [i / 1000 for i in range(1, 1000)], 20_000).alias("q")).first()
-    shards = max(1, min(most_shards, -(-(size["b"] or 0) // shard_bytes)))
-    cuts = sorted({size["q"][min(998, i * 1000 // shards)] for i in range(1, shards)}) if size["q"] else []
-    ranged = rows.withColumn("shard", _range_of(F.col("id"), cuts)).repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "id", "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    keyed = rows.withColumn("h", F.xxhash64("text"))
+    ranged = keyed.repartitionByRange(max(1, -(-size // shard_bytes)), "id", "h").sortWithinPartitions("id", "h").select("id", "text")
 
     def write(batches):
         import zstandard
+        from pyspark import TaskContext
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
         encoder = piece_encoder(tokenizer_path)
         files, base = filesystem(folder)
         files.create_dir(base, recursive=True)
         end = np.array([end_id], np.uint32)
-        now, out, index, temp, records, ids, offset = None, None, None, "", 0, 0, 0
-
-        def close():
-            out.close()
-            with files.open_output_stream(f"{temp}.idx") as f:
-                f.write(bytes(index))
-            names = [f"{base}/shard-{now:05d}.{x}" for x in ("idx", "rec")]
-            for a, b in zip((f"{temp}.idx", f"{temp}.rec"), names):
-                files.move(a, b)
-            return pa.RecordBatch.from_pylist([{"shard": now, "path": names[1], "records": records, "ids": ids}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("records", pa.int64()), ("ids", pa.int64())]))
-
+        shard, temp = TaskContext.get().partitionId(), f"{base}/_{uuid.uuid4().hex}"
+        out, index, records, ids, offset = None, bytearray(), 0, 0, 0
         for part in (p for batch in batches for p in arrow_rows(batch)):
-            for shard, doc, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), encoder.ids_of(part.column(2).to_pylist())):
-                if shard != now:
-                    if out is not None:
-                        yield close()
-                    now, temp, records, ids, offset, index = shard, f"{base}/_{uuid.uuid4().hex}", 0, 0, 0, bytearray()
-                    out = files.open_output_stream(f"{temp}.rec", buffer_size=1 << 20)
+            for doc, raw in zip(part.column(0).to_pylist(), encoder.ids_of(part.column(1).to_pylist())):
+                out = out or files.open_output_stream(f"{temp}.rec", buffer_size=1 << 20)
                 values = np.append(raw, end)
                 record = frame(doc, values, squeeze)
                 out.write(record)
@@ -122,10 +102,17 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str | None = Non
                 offset += len(record)
                 records += 1
                 ids += len(values)
-        if out is not None:
-            yield close()
-
-    manifest = ranged.select("shard", "id", "text").mapInArrow(write, MANIFEST)
+        if out is None:
+            return
+        out.close()
+        with files.open_output_stream(f"{temp}.idx") as f:
+            f.write(bytes(index))
+        names = [f"{base}/shard-{shard:05d}.{x}" for x in ("idx", "rec")]
+        for a, b in zip((f"{temp}.idx", f"{temp}.rec"), names):
+            files.move(a, b)
+        yield pa.RecordBatch.from_pylist([{"shard": shard, "path": names[1], "records": records, "ids": ids}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("records", pa.int64()), ("ids", pa.int64())]))
+
+    manifest = ranged.mapInArrow(write, MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 

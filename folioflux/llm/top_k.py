@@ -2,8 +2,9 @@
 
 Every query is scored against every row, block against block. Global histograms of the scores, refined round by round
 inside the bin that holds the kth value, give each query's kth score exactly; then scores above it are kept, and ties
-at it are taken by the smaller id. Scores are made anew in each round; only histogram counts and the few kept rows
-are shuffled.
+at it are taken by the smaller id. Scores are made anew in each round. Blocks of queries are broadcast up to a checked
+size and rows stay where they are read: histogram counts, summed by task, and the few kept rows are shuffled. Beyond that
+size blocks of both sides meet in a shuffle, each as often as the other side has blocks.
 """
 
 from __future__ import annotations
@@ -17,10 +18,14 @@ from folioflux.llm.shared import small_arrow_batches, written
 
 QUERY_ROWS, ROWS = 1024, 4096
 BINS = 1024
-_MATRIX = [("block", pa.int32()), ("ids", pa.binary()), ("dim", pa.int32()), ("values", pa.binary())]
-MATRIX = "block int, ids binary, dim int, values binary"
-HIST = "block int, at int, bin long, n long"
-STATE = "block int, low binary, width binary, need binary"
+#: Histograms of blocks of queries that a task holds: 8 MB each
+HELD = 8
+#: Blocks of queries that are broadcast, in bytes
+BROADCAST_BYTES = 64 << 20
+_MATRIX = [("block", pa.int64()), ("ids", pa.binary()), ("dim", pa.int32()), ("values", pa.binary())]
+MATRIX = "block long, ids binary, dim int, values binary"
+HIST = "block long, at int, bin long, n long"
+STATE = "block long, low binary, width binary, need binary"
 _NONE = np.iinfo(np.int64).min
 
 
@@ -40,7 +45,7 @@ def blocks_of(batches, rows: int):
     """Blocks of at most `rows` vectors of one dimension as a matrix of doubles (integers)."""
     from pyspark import TaskContext
 
-    number, held = TaskContext.get().partitionId() << 12, {}
+    number, held = TaskContext.get().partitionId() << 32, {}
 
     def block(dim):
         nonlocal number
@@ -71,22 +76,32 @@ def _scores(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, others, s
 
 
+def _bins(block: int, counts: np.ndarray) -> pa.RecordBatch:
+    at, bins = np.nonzero(counts)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block, np.int64)), pa.array(at, pa.int32()), pa.array(bins, pa.int64()), pa.array(counts[at, bins])], ["block", "at", "bin", "n"])
+
+
 def histograms(batches):
-    """Counts of scores by query (block, place in it) and bin of the query's present range."""
+    """Counts of scores by query (block, place in it) and bin of the query's present range; those of the last HELD blocks
+    of queries are summed before they leave the task."""
+    held: dict[int, np.ndarray] = {}
     for batch in batches:
         for row in batch.to_pylist():
             _, _, s = _scores(row)
             low, width = (np.frombuffer(row[c], "<i8") for c in ("low", "width"))
-            out = []
+            counts = held.pop(row["block"], None)
+            if counts is None:
+                counts = np.zeros((len(low), BINS), np.int64)
+                if len(held) >= HELD:
+                    first = next(iter(held))
+                    yield _bins(first, held.pop(first))
+            held[row["block"]] = counts
             for i in np.flatnonzero(width > 0):
                 x = s[i][s[i] != _NONE]
                 at = (x - low[i]) // width[i]
-                n = np.bincount(at[(at >= 0) & (at < BINS)], minlength=BINS)
-                bins = np.flatnonzero(n)
-                out.append((np.full(len(bins), i), bins, n[bins]))
-            if out:
-                at, bins, n = (np.concatenate(c) for c in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["block"]), pa.int32()), pa.array(at, pa.int32()), pa.array(bins), pa.array(n)], ["block", "at", "bin", "n"])
+                counts[i] += np.bincount(at[(at >= 0) & (at < BINS)], minlength=BINS)
+    for block, counts in held.items():
+        yield _bins(block, counts)
 
 
 def narrow(batches):
@@ -109,7 +124,7 @@ def narrow(batches):
             need[i] -= total[k - 1] if k else 0
             low[i] += b[order[k]] * width[i]
             width[i] //= BINS  # widths are powers of BINS: the new bins fill the old one exactly
-        return pa.RecordBatch.from_arrays([pa.array([held[0]["block"]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (low, width, need))], ["block", "low", "width", "need"])
+        return pa.RecordBatch.from_arrays([pa.array([held[0]["block"]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (low, width, need))], ["block", "low", "width", "need"])
 
     for batch in batches:
         for row in batch.to_pylist():
@@ -159,7 +174,7 @@ def first_state(k: int, reach: float):
             for row in batch.to_pylist():
                 q = np.frombuffer(row["values"]).reshape(-1, row["dim"])
                 most = np.ceil(np.sqrt((q * q).sum(1)) * reach).astype(np.int64) + 1
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int32()), *(pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (-most, _width(2 * most + 1), np.full(len(most), k)))], ["block", "low", "width", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), *(pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (-most, _width(2 * most + 1), np.full(len(most), k)))], ["block", "low", "width", "need"])
 
     return state
 
@@ -176,8 +191,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     small_arrow_batches(spark)
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = written(pick(vectors).mapInArrow(lambda b: blocks_of(b, ROWS), MATRIX), "rows")
-    asked = written(pick(queries).repartition(max(1, spark.sparkContext.defaultParallelism // 2)).mapInArrow(lambda b: blocks_of(b, QUERY_ROWS), MATRIX), "queries")
-    q_slots, c_slots = asked.count(), rows.count()
+    wanted = pick(queries)
+    asked = written(wanted.repartition(max(1, -(-wanted.count() // QUERY_ROWS))).mapInArrow(lambda b: blocks_of(b, QUERY_ROWS), MATRIX), "queries")
+    c_slots = rows.count()
+    q_slots, q_bytes = asked.agg(F.count("*"), F.sum(F.length("values") + F.length("ids"))).first()
     if not q_slots or not c_slots:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
@@ -193,6 +210,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     c_side = rows.select(slot(c_slots).alias("c_slot"), F.explode(F.sequence(F.lit(0), F.lit(q_slots - 1))).alias("q_slot"), F.col("ids").alias("c_ids"), F.col("values").alias("c_values"), F.col("dim"))
 
     def pairs(state):
+        if q_bytes <= BROADCAST_BYTES:
+            q_side = asked.join(F.broadcast(state), "block").select("block", F.col("ids").alias("q_ids"), F.col("values").alias("q_values"), "dim", "low", "width")
+            c_rows = rows.select(F.col("ids").alias("c_ids"), F.col("values").alias("c_values"), "dim")
+            return c_rows.join(F.broadcast(q_side), "dim").select("block", "dim", "q_ids", "q_values", "c_ids", "c_values", "low", "width")
         q_side = asked.join(state, "block").select("block", slot(q_slots).alias("q_slot"), F.explode(F.sequence(F.lit(0), F.lit(c_slots - 1))).alias("c_slot"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"), "dim", "low", "width")
         return c_side.join(q_side, ["q_slot", "c_slot", "dim"]).select("block", "dim", "q_ids", "q_values", "c_ids", "c_values", "low", "width")
 

@@ -44,8 +44,10 @@ def folded(host, path):
 
 
 def _grams(text):
-    n = F.length(text) - ORDER
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(ORDER + 1)))).otherwise(F.array().cast("array<string>"))
+    """All runs of ORDER + 1 characters; the characters stand in an array that is made once, so each run costs the same
+    wherever it starts."""
+    chars = F.transform(F.array(F.split(text, "")), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - ORDER - 1), lambda i: F.concat(*(F.get(c, i + k) for k in range(ORDER + 1)))))
+    return F.when(F.length(text) > ORDER, chars[0]).otherwise(F.array().cast("array<string>"))
 
 
 def gram_ratios(labelled: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflux.llm.kernels import arrow_rows, text_buffers
 from folioflux.llm.shared import small_arrow_batches, written
 
 BUCKETS = 1 << 14
-#: Labelled rows for training, the smallest hashes of each language: a documented bound.
+#: Distinct labelled texts for training, the smallest hashes of each language: a documented bound.
 SAMPLE = 500
 #: A text's trigrams count as this many independent ones at most, so that other evidence keeps a say.
 EVIDENCE = 40.0
@@ -88,17 +88,20 @@ class Model:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model of the `sample` rows of each labelled language whose texts have the smallest hashes."""
+    """A model of the `sample` distinct texts of each labelled language that have the smallest hashes."""
     spark = labelled.sparkSession
     small_arrow_batches(spark)
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text <> '' and lang is not null")
-    hashed = rows.select("lang", F.xxhash64("text").alias("h"))
-    # the sample's largest hash a language, from a sketch of all hashes: no text is sorted
-    share = hashed.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx("h", [i / 2000 for i in range(2001)], 20_000).alias("q")).collect()
-    if not share:
+    # hashes are even over 64 bits: below this one a language has four times the sample, however many rows there are
+    sizes = rows.groupBy("lang").count().collect()
+    if not sizes:
         return Model([])
-    most = F.create_map(*(F.lit(x) for r in share for x in (r["lang"], r["q"][min(2000, -(-2000 * sample // r["n"]))])))
-    counts = rows.where(F.xxhash64("text") <= most[F.col("lang")]).select("text", "lang").mapInArrow(_bucket_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    most = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(2**63 - 1, 4 * sample * 2**64 // r["count"] - 2**63))))
+    low = rows.withColumn("h", F.xxhash64("text")).where(F.col("h") <= most[F.col("lang")])
+    order = Window.partitionBy("lang").orderBy("h")
+    first = low.select("lang", "h").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).drop("k")
+    chosen = low.join(F.broadcast(first), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])  # of copies one
+    counts = chosen.select("text", "lang").mapInArrow(_bucket_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     return Model([tuple(r) for r in counts.collect()])  # at most BUCKETS rows a language
 
 

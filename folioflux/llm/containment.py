@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folioflux.llm.kernels import arrow_rows, distinct_by_text, shingles, word_hashes
 from folioflux.llm.shared import small_arrow_batches, written
@@ -147,7 +148,7 @@ def find_contained(docs: DataFrame, items: DataFrame, least_percent: int = 75, d
                     ids = pa.array([index.ids[h[1]] for h in hits], out_type)
                     yield pa.RecordBatch.from_arrays([docs_, ids, pa.array([h[2] for h in hits], pa.int64()), pa.array([h[3] for h in hits], pa.int64()), pa.array([h[2] / h[3] for h in hits], pa.float64())], ["doc_id", "item_id", "n_matched", "n_item", "containment"])
 
-        out_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]]
+        out_type = to_arrow_type(items.schema[item_id].dataType)
         out = out.unionByName(texts.mapInArrow(search, schema))
     return out
 

@@ -36,7 +36,7 @@ AGREE = 72
 SURE = 96
 #: Rows with the longest common prefixes that a row looks at in each tree
 REACH = 8
-BLOCK = 1024
+BLOCK = 512
 _odd = np.random.default_rng(7).integers(0, 2**31, WIDTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SIGNED = [("doc_id", pa.int64()), ("digest", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())]
 SIGNED = "doc_id long, digest long, n_shingles long, node long, keys array<long>, sig binary"

@@ -7,10 +7,10 @@ its suffix's (Witten-Bell), the root's is the smoothed unigram. A token is score
 that is a state.
 
 The tree is never in one place. Blocks of texts ask and tasks that own a range of 64-bit keys answer, in rounds: counts
-of words; of pairs; of longer grams whose context can be a candidate; each candidate's share of the test and of its
-kinds of next symbols; and which contexts are suffixes of retained ones. A block sends its distinct keys, packed, and
-gets the corpus values of just these back, so nothing that grows with the corpus is broadcast or collected, and words
-and states grow with the corpus.
+of words; of pairs; of grams of each greater depth if their context is a candidate; each candidate's sums for the test;
+and which contexts are suffixes of retained ones. A block sends its distinct keys, packed, and gets the corpus values of
+just these back, so nothing that grows with the corpus is broadcast or collected, and words and states grow with the
+corpus. Of the blocks that hold a gram in training the first owns it and adds its term to its context's sums.
 """
 
 from __future__ import annotations
@@ -26,9 +26,16 @@ from folioflux.llm.shared import small_arrow_batches, written
 #: Occurrences in training that make a context a candidate
 LEAST, DEPTH = 2, 3
 BITS = 10
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 7 << 20
 END_HASH = np.uint64(0x454E44)
-WORDS, PAIRS, GRAMS, TESTS, SUFFIXES = range(5)
+#: The context of two or more ends, where a text begins; the largest key
+START = np.uint64(2**64 - 1)
+#: Kinds of questions: counts of grams of each depth (0: words), tests of contexts of each depth, suffixes of states
+GRAMS, TESTS, SUFFIXES = [[a + d for d in range(DEPTH + 1)] for a in (0, 100, 200)]
+#: What is asked together, each after the answers of those before
+ROUNDS = [[GRAMS[0]], [GRAMS[1]], [GRAMS[2]], *([GRAMS[d], TESTS[d - 2]] for d in range(3, DEPTH + 1)), [TESTS[DEPTH - 1]], [TESTS[DEPTH]], SUFFIXES[1:DEPTH]]
+#: The test's terms are summed as integers, this many to 1, so that sums do not depend on the blocks.
+UNIT = 1 << 12
 _BLOCK = [("block", pa.int64()), ("round", pa.int32()), ("part", pa.int32()), ("blob", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64()))]
 BLOCK = "block long, round int, part int, blob binary, counts binary, ids array<long>, held array<boolean>, sizes array<long>"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -38,73 +45,94 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(zip(*rows), _BLOCK)], [n for n, _ in _BLOCK])
 
 
-def pack(batches):
-    """Blocks of about BLOCK_BYTES of text, compressed, with ids, held-out flags and byte sizes of the texts."""
-    import zstandard
-    from pyspark import TaskContext
+def block_row(number: int, rows: list[tuple[bytes, int | None, bool]]) -> pa.RecordBatch:
+    """A block of texts (text, id, held out): its distinct words' keys, where each token's stands among them, and the
+    texts' ids, flags and numbers of tokens. Words are hashed once; the rounds read their places."""
+    words, ptr = tokens([r[0] for r in rows])
+    keys = distinct(words)
+    return _rows([(number, -1, -1, _squeezed(np.diff(keys, prepend=np.uint64(0))), _squeezed(places(keys, words).astype("<u4")), [r[1] for r in rows], [r[2] for r in rows], np.diff(ptr).tolist())])
 
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    number, held = TaskContext.get().partitionId() << 32, []
 
-    def block():
-        nonlocal number
-        number += 1
-        data, ids, flags, sizes = (list(x) for x in zip(*held))
-        return _rows([(number, -1, -1, squeeze(b"".join(data)), None, ids, flags, sizes)])
+def pack(batches):
+    """Blocks of about BLOCK_BYTES of text."""
+    from pyspark import TaskContext
 
-    size = 0
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
     for batch in batches:
         data, at = text_buffers(batch.column(1))
         for i, (doc, flag) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
             text = data[at[i] : at[i + 1]].tobytes()
             if held and size + len(text) > BLOCK_BYTES:
-                yield block()
+                number += 1
+                yield block_row(number, held)
                 held, size = [], 0
-            held.append((text, doc, bool(flag), len(text)))
+            held.append((text, doc, bool(flag)))
             size += len(text)
     if held:
-        yield block()
-
+        yield block_row(number + 1, held)
 
-def tokens(blob: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of a block's texts, each text's end included, and their offsets."""
-    import zstandard
 
-    data = zstandard.ZstdDecompressor().decompress(blob, max_output_size=max(1, sum(sizes)))
-    at = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))]).astype(np.int64)
-    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data)])
-    words, ptr = word_hashes(column)
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of texts, each text's end included, and their offsets."""
+    words, ptr = word_hashes(pa.array(texts, pa.large_binary()))
     n = len(ptr) - 1
     out = np.full(len(words) + n, END_HASH, np.uint64)
     out[np.arange(len(words)) + np.repeat(np.arange(n), np.diff(ptr))] = words
     return out, ptr + np.arange(n + 1)
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys, sorted."""
+    out = np.sort(keys)
+    keep = np.ones(len(out), bool)
+    keep[1:] = out[1:] != out[:-1]
+    return out[keep]
+
+
+def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted key stands in distinct sorted keys that hold them all, spread evenly between first and last."""
+    if not len(wanted):
+        return np.zeros(0, np.int64)
+    low = keys[0]
+    shift = np.uint64(max(0, int(keys[-1] - low).bit_length() - len(keys).bit_length()))
+    slot = lambda x: ((x - low) >> shift).astype(np.int64)
+    sizes = np.bincount(slot(keys))
+    at = (np.cumsum(sizes) - sizes)[slot(wanted)]
+    left = np.flatnonzero(keys[at] != wanted)
+    while len(left):
+        at[left] += 1
+        left = left[keys[at[left]] != wanted[left]]
+    return at
+
+
 def _squeezed(values: np.ndarray) -> bytes:
+    """The values' bytes, those of one significance together, compressed: high bytes are mostly alike."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+    planes = np.ascontiguousarray(values).reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _opened(blob: bytes, kind: str) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
-def _spread(block: int, turn: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> list[tuple]:
-    """Sorted keys and their values (a row of counts, or several of floats) cut at the bounds of `parts` equal ranges."""
+def _spread(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> list[tuple]:
+    """Sorted keys and their values (a row, or several) cut at the bounds of `parts` equal ranges; keys as differences."""
     own = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
     cuts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]])
-    return [(block, turn, int(own[a]), keys[a:b].tobytes(), _squeezed(counts[..., a:b]), None, None, None) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
+    return [(block, kind, int(own[a]), _squeezed(np.diff(keys[a:b], prepend=np.uint64(0))), _squeezed(counts[..., a:b]), None, None, None) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
 
 
-def _by_part(batches):
-    """The rows of one part after another, as lists."""
+def _groups(batches, *names: str):
+    """Rows that share the named columns, as lists, of sorted rows."""
     held: list[dict] = []
     for batch in batches:
         for row in batch.to_pylist():
-            if held and held[0]["part"] != row["part"]:
+            if held and any(held[0][c] != row[c] for c in names):
                 yield held
                 held = []
             held.append(row)
@@ -112,127 +140,142 @@ def _by_part(batches):
         yield held
 
 
-def answer(turn: int):
-    """For each part and block the corpus values of the block's keys; of words the part's totals too (block null)."""
-
-    def answers(batches):
-        for rows in _by_part(batches):
-            each = [np.frombuffer(r["blob"], np.uint64) for r in rows]
-            keys, inverse = np.unique(np.concatenate(each), return_inverse=True)
-            if turn == TESTS:
-                gain, kinds = (np.bincount(inverse, weights=w, minlength=len(keys)) for w in np.concatenate([_opened(r["counts"], "<f8").reshape(2, -1) for r in rows], axis=1))
-                total = np.rint(kinds).astype(np.int64) * np.where(gain > 0, 1, -1)  # negative: fails the test
-            else:
-                total = np.bincount(inverse, weights=np.concatenate([_opened(r["counts"], "<u4") for r in rows]), minlength=len(keys)).astype(np.int64)
-            where = np.split(inverse, np.cumsum([len(e) for e in each])[:-1])
-            for k in range(0, len(rows), 16):
-                yield _rows([(r["block"], turn, r["part"], None, _squeezed(total[w].astype("<i8")), None, None, None) for r, w in zip(rows[k : k + 16], where[k : k + 16])])
-            if turn == WORDS:
-                yield _rows([(None, turn, rows[0]["part"], None, None, None, None, [int(total.sum()), int((total > 0).sum())])])
+def answer(batches):
+    """For each part, kind and block the corpus values of the block's keys; of words the part's totals too (block null).
 
-    return answers
+    A count comes doubled, plus 1 for the first block that adds to it; a test as the number of kinds of next symbols,
+    negative where it fails.
+    """
+    for rows in _groups(batches, "part", "round"):
+        kind, each = rows[0]["round"], [np.cumsum(_opened(r["blob"], "<u8"), dtype=np.uint64) for r in rows]
+        asked = np.concatenate(each)
+        keys = distinct(asked)
+        where = np.split(places(keys, asked), np.cumsum([len(e) for e in each])[:-1])
+        if kind in TESTS[1:]:
+            gain, kinds = np.zeros((2, len(keys)), np.int64)
+            for r, at in zip(rows, where):
+                own = _opened(r["counts"], "<i8").reshape(2, -1)  # a row's keys are distinct
+                gain[at] += own[0]
+                kinds[at] += own[1]
+            total = kinds * np.where(gain > 0, 1, -1)
+            values = [total[at] for at in where]
+        else:
+            own = [_opened(r["counts"], "<u4") for r in rows]
+            total, first = np.zeros(len(keys), np.int64), np.full(len(keys), -1)
+            for k in range(len(rows) - 1, -1, -1):
+                total[where[k]] += own[k]
+                first[where[k][own[k] > 0]] = k
+            values = [2 * total[at] + (first[at] == k) for k, at in enumerate(where)]
+        for k in range(0, len(rows), 16):
+            yield _rows([(r["block"], kind, r["part"], None, _squeezed(x.astype("<i8")), None, None, None) for r, x in zip(rows[k : k + 16], values[k : k + 16])])
+        if kind == GRAMS[0]:
+            yield _rows([(None, kind, rows[0]["part"], None, None, None, None, [int(total.sum()), int((total > 0).sum())])])
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.int32) if values.max(initial=0) < 1 << 31 else values
 
 
 class Block:
     """The tokens of a block's texts, and what the rounds answered so far say of them."""
 
-    def __init__(self, rows: list[dict], turn: int, n: int = 0, v: int = 0):
-        """rows: the texts and then the answers of the rounds before turn, by round and part; n, v: training tokens and
-        words of the corpus."""
-        self.text, said = rows[0], {k: [] for k in range(turn)}
+    def __init__(self, rows: list[dict], done=(), n: int = 0, v: int = 0):
+        """rows: the texts and then the answers to the kinds `done`, by kind and part; n, v: training tokens and words of
+        the corpus."""
+        self.text, said = rows[0], {k: [] for k in done}
         for r in rows[1:]:
-            said[r["round"]].append(r["counts"])
-        self.answers = {k: np.concatenate([np.zeros(0, "<i8"), *(_opened(x, "<i8") for x in c)]) for k, c in said.items()}
-        self.words, self.ptr = tokens(self.text["blob"], self.text["sizes"])
-        sizes = np.diff(self.ptr)
-        self.place = np.arange(len(self.words)) - np.repeat(self.ptr[:-1], sizes)
+            said[r["round"]].append(r.pop("counts"))
+        keys, at = np.cumsum(_opened(self.text["blob"], "<u8"), dtype=np.uint64), _opened(self.text["counts"], "<u4").astype(np.int32)
+        sizes = np.array(self.text["sizes"], np.int64)
+        self.words, self.ptr = keys[at], np.concatenate([[0], np.cumsum(sizes)])
         self.train = np.repeat(~np.array(self.text["held"], bool), sizes)
-        self.turn, self.n, self.v = turn, n, v
-
-    def before(self, values: np.ndarray, far: int, start) -> np.ndarray:
-        """The value of the token `far` places before each; `start` where the text has not so many."""
-        out = np.full(len(values), start, values.dtype)
-        out[far:] = values[: len(values) - far]
-        out[self.place < far] = start
+        self.n, self.v = n, v
+        opened = lambda k: np.concatenate([np.zeros(0, "<i8"), *(_opened(x, "<i8") for x in said.pop(k))])
+        self.keys, self.at, self.grams = [keys], [at], self.words
+        self.counts, self.totals, self.owned, self.kinds, self.states, self.failed = [], [None], [], [None], [None], [None]
+        for d in (d for d in range(DEPTH + 1) if GRAMS[d] in done):
+            mask = self.level(d)
+            value = np.zeros(len(self.words), np.int64)
+            value[mask] = opened(GRAMS[d])[self.at[d][mask]]
+            self.counts.append(_narrow(value >> 1))
+            self.owned.append((value & 1).astype(bool))
+            ends = self.counts[0][self.ptr[1:] - 1].max()
+            self.totals.append(self.before(self.counts[d], ends))
+            if d == 0:
+                self.base = (self.counts[0] + 0.1) / (n + 0.1 * (v + 1))
+        for d in (d for d in range(1, DEPTH + 1) if TESTS[d] in done):
+            kinds = self.of_contexts(d, self.totals[d] >= LEAST, opened(TESTS[d]))
+            self.kinds.append(_narrow(np.abs(kinds)))
+            self.states.append(kinds > 0)
+            self.failed.append(kinds < 0)
+        for d in (d for d in range(1, DEPTH) if SUFFIXES[d] in done):
+            self.states[d] |= self.of_contexts(d, self.failed[d], opened(SUFFIXES[d])) > 1
+
+    def before(self, values: np.ndarray, start) -> np.ndarray:
+        """The value of the token before each; `start` where a text begins."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.ptr[:-1]] = start
         return out
 
-    def read(self) -> Block:
-        """Keys of contexts and grams by depth, the grams that were asked, counts of contexts and grams, candidates."""
-        self.contexts, self.grams = [np.zeros(len(self.words), np.uint64)], [self.words]
-        for d in range(1, DEPTH + 1):
-            self.contexts.append(mix(self.contexts[-1] * np.uint64(0xD6E8FEB86659FD93) + self.before(self.words, d, END_HASH) + np.uint64(d)))
-            self.grams.append(mix(self.contexts[d] ^ self.words * np.uint64(0x9E3779B97F4A7C15)))
-        if self.turn < GRAMS:
-            return self
-        count = self.answers[WORDS][np.unique(self.words, return_inverse=True)[1]]
-        ends = count[self.ptr[1:] - 1].max()
-        self.counts, self.totals = [count], [None, self.before(count, 1, ends)]
-        self.base = (count + 0.1) / (self.n + 0.1 * (self.v + 1))
-        self.counts.append(self.answers[PAIRS][np.unique(self.grams[1], return_inverse=True)[1]])
-        self.totals.append(self.before(self.counts[1], 1, ends))
-        # a context of d symbols is a candidate only if all pairs in it are
-        self.asked = [None, None, self.totals[2] >= LEAST]
-        for d in range(3, DEPTH + 1):
-            self.asked.append(self.asked[-1] & self.before(self.asked[2], d - 2, True))
-        if self.turn < TESTS:
-            return self
-        for d, found in enumerate(self.of_masked(GRAMS, self.grams, self.asked, range(2, DEPTH + 1)), 2):
-            self.counts.append(found)
-            self.totals.append(self.before(found, 1, ends))
-        self.candidates = [None, *(t >= LEAST for t in self.totals[1 : DEPTH + 1])]
-        if self.turn < SUFFIXES:
-            return self
-        kinds = self.of_masked(TESTS, self.contexts, self.candidates, range(1, DEPTH + 1))
-        self.kinds, self.states = [None, *map(np.abs, kinds)], [None, *(k > 0 for k in kinds)]
-        self.failed = [None, *(k < 0 for k in kinds)]
-        if self.turn > SUFFIXES:
-            for d, found in enumerate(self.of_masked(SUFFIXES, self.contexts, self.failed, range(1, DEPTH)), 1):
-                self.states[d] |= found > 0
-        return self
-
-    def of_masked(self, turn: int, keys: list, masks: list, depths) -> list[np.ndarray]:
-        """The answers to the keys of each depth under its mask, 0 elsewhere."""
-        inverse = np.unique(np.concatenate([keys[d][masks[d]] for d in depths]), return_inverse=True)[1]
-        found, out, at = self.answers[turn][inverse] if len(inverse) else np.zeros(0, np.int64), [], 0
-        for d in depths:
-            own = np.zeros(len(self.words), np.int64)
-            k = int(masks[d].sum())
-            own[masks[d]] = found[at : at + k]
-            out.append(own)
-            at += k
+    def level(self, d: int) -> np.ndarray:
+        """The tokens whose grams of depth d (with the d tokens before) are asked for: a gram with an unseen suffix is
+        unseen too. Keeps the distinct keys of these grams and where each token's stands among them (else -1)."""
+        if d == 0:
+            return np.ones(len(self.words), bool)
+        context = self.before(self.grams, END_HASH if d == 1 else START)
+        self.grams = mix(context * np.uint64(0xD6E8FEB86659FD93) ^ self.words * np.uint64(0x9E3779B97F4A7C15) + np.uint64(d))
+        mask = np.ones(len(self.words), bool) if d == 1 else (self.totals[d] >= LEAST) & (self.counts[d - 1] > 0)
+        asked = self.grams[mask]
+        self.keys.append(distinct(asked))
+        at = np.full(len(self.words), -1, np.int32)
+        at[mask] = places(self.keys[d], asked)
+        self.at.append(at)
+        return mask
+
+    def contexts(self, d: int, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of the masked tokens' contexts of depth d, and where each masked token's stands: a context is the
+        gram of the token before, so its place is known."""
+        above = self.keys[d - 1]
+        at = self.before(self.at[d - 1], self.at[0][-1] if d == 1 else len(above))[mask]  # the last token is an end
+        held = np.zeros(len(above) + 1, bool)
+        held[at] = True
+        return np.append(above, START)[held], (np.cumsum(held) - 1)[at]
+
+    def of_contexts(self, d: int, mask: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """The answers to the masked tokens' contexts, 0 elsewhere."""
+        out = np.zeros(len(self.words), np.int64)
+        if len(found):
+            out[mask] = found[self.contexts(d, mask)[1]]
         return out
 
-    def question(self, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    def question(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted keys to ask, and what this block adds to each."""
-        self.read()
-        if turn < TESTS:
-            depths, masks = ([turn], None) if turn < GRAMS else (range(2, DEPTH + 1), self.asked)
-            pick = lambda x: np.concatenate([x(d)[masks[d]] if masks else x(d) for d in depths])
-            keys, inverse = np.unique(pick(lambda d: self.grams[d]), return_inverse=True)
-            return keys, np.bincount(inverse[pick(lambda d: self.train)], minlength=len(keys)).astype("<u4")
-        if turn == TESTS:
-            depths, masks = range(1, DEPTH + 1), self.candidates
-            gain, share = [], []
-            for d in depths:
-                at = masks[d] & self.train
-                count, total = self.counts[d][at].astype(float), self.totals[d][at].astype(float)
-                above = self.base[at] if d == 1 else self.counts[d - 1][at] / self.totals[d - 1][at]
-                own = np.zeros((2, len(at)))
-                own[1, at] = 1 / count  # of all tokens of a gram: 1
-                own[0, at] = 2 * np.log(count / total / above) - np.log(total) / count
-                gain.append(own[0, masks[d]])
-                share.append(own[1, masks[d]])
-            keys, inverse = np.unique(np.concatenate([self.contexts[d][masks[d]] for d in depths]), return_inverse=True)
-            return keys, np.stack([np.bincount(inverse, weights=np.concatenate(x), minlength=len(keys)) for x in (gain, share)])
-        below, hits = np.zeros(len(self.words), bool), []
-        for d in range(DEPTH - 1, 0, -1):
-            below = below | self.states[d + 1]
-            hits.insert(0, below[self.failed[d]])
-        keys, inverse = np.unique(np.concatenate([self.contexts[d][self.failed[d]] for d in range(1, DEPTH)]), return_inverse=True)
-        return keys, np.minimum(np.bincount(inverse, weights=np.concatenate(hits), minlength=len(keys)), 1).astype("<u4")
+        if kind in GRAMS:
+            mask = self.level(kind) & self.train
+            return self.keys[kind], np.bincount(self.at[kind][mask], minlength=len(self.keys[kind])).astype("<u4")
+        if kind in TESTS:
+            d = TESTS.index(kind)
+            mask = self.totals[d] >= LEAST
+            keys, where = self.contexts(d, mask)
+            own = np.flatnonzero((self.train & self.owned[d])[mask])
+            tokens_ = np.flatnonzero(mask)[own]
+            one = np.full(len(self.keys[d]), -1)
+            one[self.at[d][tokens_]] = np.arange(len(own))
+            one = one[one >= 0]  # one place of each gram that this block owns
+            at, first = where[own[one]], tokens_[one]
+            count, total = self.counts[d][first].astype(float), self.totals[d][first].astype(float)
+            above = self.base[first] if d == 1 else self.counts[d - 1][first] / self.totals[d - 1][first]
+            out = np.zeros((2, len(keys)), "<i8")
+            np.add.at(out[0], at, np.rint(UNIT * (2 * count * np.log(count / total / above) - np.log(total))).astype(np.int64))
+            out[1] = np.bincount(at, minlength=len(keys))
+            return keys, out
+        d = SUFFIXES.index(kind)
+        below = np.logical_or.reduce(self.states[d + 1 :])
+        keys, where = self.contexts(d, self.failed[d])
+        return keys, (np.bincount(where[below[self.failed[d]]], minlength=len(keys)) > 0).astype("<u4")
 
     def scores(self) -> pa.RecordBatch:
-        self.read()
         p = self.base
         for d in range(1, DEPTH + 1):
             kinds = self.kinds[d]
@@ -245,10 +288,11 @@ class Block:
         )
 
 
-def ask(turn: int, parts: int, n: int = 0, v: int = 0):
+def ask(kinds: list[int], done: list[int], parts: int, n: int = 0, v: int = 0):
     def questions(batches):
-        for rows in _by_block(batches):
-            found = _spread(rows[0]["block"], turn, *Block(rows, turn, n, v).question(turn), parts)
+        for rows in _groups(batches, "block"):
+            block = Block(rows, done, n, v)
+            found = [row for kind in kinds for row in _spread(rows[0]["block"], kind, *block.question(kind), parts)]
             if found:
                 yield _rows(found)
 
@@ -329,18 +373,6 @@ class Tree:
         return out
 
 
-def _by_block(batches):
-    held: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and held[0]["block"] != row["block"]:
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -356,16 +388,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     size = blocks.agg(F.count("*").alias("n")).first()["n"]
     if not size:
         return spark.createDataFrame([], SCORES)
-    parts = max(4, size)
+    parts = max(4, size // 2)  # a part holds as many keys as two blocks
     by_block = lambda answers: blocks.unionByName(answers).repartition("block").sortWithinPartitions("block", "round", "part")
 
-    def answered(turn: int, asked: DataFrame) -> DataFrame:
-        dealt = asked.repartition(parts, "part").sortWithinPartitions("part", "block")
-        return written(dealt.mapInArrow(answer(turn), BLOCK), "answers")
+    def answered(asked: DataFrame) -> DataFrame:
+        dealt = asked.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "round", "block")
+        return written(dealt.mapInArrow(answer, BLOCK), "answers")
 
-    words = answered(WORDS, blocks.mapInArrow(ask(WORDS, parts), BLOCK))
+    words = answered(blocks.mapInArrow(ask(ROUNDS[0], [], parts), BLOCK))
     n, v = words.where("block is null").agg(F.sum(F.col("sizes")[0]), F.sum(F.col("sizes")[1])).first()
-    known = words.where("block is not null").unionByName(answered(PAIRS, blocks.mapInArrow(ask(PAIRS, parts), BLOCK)))
-    for turn in (GRAMS, TESTS, SUFFIXES):
-        known = known.unionByName(answered(turn, by_block(known).mapInArrow(ask(turn, parts, n, v), BLOCK)))
-    return by_block(known).mapInArrow(lambda batches: (Block(rows, SUFFIXES + 1, n, v).scores() for rows in _by_block(batches)), SCORES).withColumnRenamed("doc_id", id_col)
+    # words and pairs are asked of texts alone
+    known = words.where("block is not null").unionByName(answered(blocks.mapInArrow(ask(ROUNDS[1], [], parts), BLOCK)))
+    done = [*ROUNDS[0], *ROUNDS[1]]
+    for kinds in ROUNDS[2:]:
+        known = known.unionByName(answered(by_block(known).mapInArrow(ask(kinds, done, parts, n, v), BLOCK)))
+        done = [*done, *kinds]
+
+    def scores(batches, done=done):
+        for rows in _groups(batches, "block"):
+            yield Block(rows, done, n, v).scores()
+
+    return by_block(known).mapInArrow(scores, SCORES).withColumnRenamed("doc_id", id_col)

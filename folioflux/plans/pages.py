@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from folioflux.functions import extract as X
+from folioflux.functions import fixed_values as V
 from folioflux.functions.schemas import RECORD, RECORD_FIELDS, record
 from folioflux.functions.similarity import ratio
 from folioflux.functions.text import clean_display_kernel as display
@@ -239,7 +240,7 @@ def is_numbered_list(lines: list[Line], c: Catalogs) -> bool:
         if X.is_metadata(line.text):
             continue
         index, document, age = _marks(line.text)
-        if len(X.WORD.findall(X.list_name(line.text, index, document, age))) < 2 or not (index or "," in line.text):
+        if len(V.WORD.findall(X.list_name(line.text, index, document, age))) < 2 or not (index or "," in line.text):
             continue
         after = age.span[1] if age else document.span[1] if document else 0
         strong += bool(document or age or X.list_sex(line.text, after) or c.place(line.text) or c.specialty(line.text))
@@ -286,10 +287,10 @@ def _list_record(line: Line, heading, c: Catalogs, numbered: bool) -> dict | Non
         if not kept or not (heading or numbered):
             return None
     name = X.list_name(text, index, document, age)
-    if len(X.WORD.findall(name)) < 2 or (not age and not numbered and (index or places or sex)):
+    if len(V.WORD.findall(name)) < 2 or (not age and not numbered and (index or places or sex)):
         name = X.rest_name(text, taken, " ".join(p.alias for p in places))
     given, surname, sure, order, reliable = c.splitter.split(name)
-    if not given and not X.WORD.findall(name):
+    if not given and not V.WORD.findall(name):
         return None
     specialty, area, source = (heading[1], heading[2], "membrete") if heading and heading[1] else ("", "", "")
     if not specialty and (found := c.specialty(text)):
@@ -374,7 +375,7 @@ def _unknown_headers(lines: list[Line], known: list[tuple[Line, str, float]], ta
     near = []
     for k in lines:
         plain = norm(k.text)
-        shaped = sum(ch.isalpha() for ch in plain) >= 3 and len(plain.split()) <= 5 and len(plain) <= 50 and not any(p.search(k.text) for p in (X.DATE, X.TABLE_TIME, X.TABLE_DOCUMENT))
+        shaped = sum(ch.isalpha() for ch in plain) >= 3 and len(plain.split()) <= 5 and len(plain) <= 50 and not any(p.search(k.text) for p in (V.DATE, V.TABLE_TIME, V.TABLE_DOCUMENT))
         off = abs(k.y - slope * k.x - base)
         if shaped and id(k) not in taken and min(xs) < k.x < max(xs) and min(abs(k.x - x) for x in xs) >= max(20.0, 0.025 * width) and off <= reach:
             near.append((off, k))
@@ -422,7 +423,7 @@ def _complete(schema: Schema, lines: list[Line], grid: Grid | None) -> Schema:
     texts = {column: [joined(k) for k in rows.values()] for column, rows in cells.items()}
     used = {col.cell for n, col in schema.columns.items() if not n.startswith("ignored_unknown_")}
     free = [k for k in texts if k not in used and k > max(name_cells)]
-    has_document = lambda t: bool(X.TABLE_DOCUMENT.search(t))
+    has_document = lambda t: bool(V.TABLE_DOCUMENT.search(t))
     wanted = [  # field, test, preferred side (1: rightmost), confidence: base, share of hits, most
         ("document", has_document, -1, (0.72, 0.18, 0.94)),
         ("sex", lambda t: re.sub("[^A-Za-z]", "", t).upper() in ("M", "F", "H", "N"), 1, (0.72, 0.18, 0.94)),
@@ -483,7 +484,7 @@ def name_column(lines: list[Line], grid: Grid | None, c: Catalogs) -> list[Line]
 
 def index_column(lines: list[Line]) -> set[int]:
     """Lines of the longest aligned run of numbers of which 70 % follow their predecessor."""
-    numbers = sorted((k for k in lines if X.LONE_INDEX.fullmatch(k.text)), key=lambda k: k.x)
+    numbers = sorted((k for k in lines if V.LONE_INDEX.fullmatch(k.text)), key=lambda k: k.x)
 
     def steps(cluster):
         values = [int(re.sub(r"\D", "", k.text)) for k in sorted(cluster, key=lambda k: k.y)]
@@ -499,7 +500,7 @@ def _auxiliary(lines: list[Line], names: list[Line], grid: Grid | None) -> bool:
         return False
     top, bottom, own, counts = min(k.y for k in names), max(k.y for k in names), {id(k) for k in names}, {}
     for k in lines:
-        if id(k) not in own and top <= k.y <= bottom and norm(k.text) and not X.LONE_INDEX.fullmatch(k.text):
+        if id(k) not in own and top <= k.y <= bottom and norm(k.text) and not V.LONE_INDEX.fullmatch(k.text):
             cell = grid.column(k) if grid else None
             place = cell if cell is not None else round(k.x1 / max(1, k.width) / 0.04)
             counts[place] = counts.get(place, 0) + 1
@@ -537,7 +538,7 @@ def with_cropped_top(lines: list[Line], grid: Grid | None, c: Catalogs) -> Grid
         return grid
     top = [k for k in lines if max(0.0, at[0] - 1.35 * typical) <= k.y < at[0] and not X.is_header(k.text)]
     others = [k for k in top if not X.name_of(k.text)]
-    support = any(X.TABLE_DOCUMENT.search(k.text) or X.cell_number(k.text) is not None or re.fullmatch(r"\s*[MFH]\s*", k.text, re.I) or c.place(k.text) for k in others)
+    support = any(V.TABLE_DOCUMENT.search(k.text) or X.cell_number(k.text) is not None or re.fullmatch(r"\s*[MFH]\s*", k.text, re.I) or c.place(k.text) for k in others)
     target = max(0.0, at[0] - typical)
     if len(others) == len(top) or not support or at[0] - target < least:
         return grid
@@ -642,9 +643,9 @@ def _index_lines(row: list[Line], anchor: Line, schema: Schema | None, known: se
     for k in row:
         left, at = k.x2 <= anchor.x1, k.x / width
         if schema is None:
-            hit = id(k) in known or (X.LONE_INDEX.fullmatch(k.text) and left and at < 0.16)
+            hit = id(k) in known or (V.LONE_INDEX.fullmatch(k.text) and left and at < 0.16)
         else:
-            hit = X.LONE_INDEX.fullmatch(k.text) and not (age and age.start <= at < age.end) and (left or at < 0.16)
+            hit = V.LONE_INDEX.fullmatch(k.text) and not (age and age.start <= at < age.end) and (left or at < 0.16)
         if hit:
             out.append(k)
     return out
@@ -666,7 +667,7 @@ def _is_area(text: str) -> bool:
 
 
 def _personal(text: str) -> bool:
-    return bool(X.documents_in(text) or X.misread_ages(text) or X.LONE_SEX.search(text))
+    return bool(X.documents_in(text) or X.misread_ages(text) or V.LONE_SEX.search(text))
 
 
 def _near_specialty(text: str, c: Catalogs):
@@ -745,7 +746,7 @@ def parse_table(lines: list[Line], c: Catalogs, center: str, image: str, grid: G
         cutoff = None
     else:
         body = [k for k in lines if k.y > schema.bottom] if schema else lines
-        heads = [k.y for k in lines if set(norm(k.text).split()) & X.HEADER_WORDS]
+        heads = [k.y for k in lines if set(norm(k.text).split()) & V.HEADER_WORDS]
         cutoff = schema.bottom if schema else max(heads) + 8 if heads else None
     sections = [] if schema else find_sections(body, c, grid)
     members = {m for s in sections for m in s.members}

@@ -27,6 +27,29 @@ def test_licenses_against_brute_force(spark):
     assert scan_licenses(df.limit(0)).count() == 0
 
 
+def test_many_templates_long_and_repeated_texts(spark):
+    rng = random.Random(2)
+    vocabulary = [a + b for a in ("ab", "cd", "ef", "gh", "ij", "lm") for b in ("one", "two", "six", "ten", "nil")]
+    templates = list({" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(3, 7))): f"label{k % 90}" for k in range(500)}.items())
+    templates = [(p, label) for p, label in templates if len(set(p.split())) > 1]
+    texts = [" ".join(rng.choice([rng.choice(templates)[0], rng.choice(vocabulary)]) for _ in range(30)) for _ in range(40)]
+    texts += [texts[0], texts[0], " ".join([templates[3][0]] * 20_000), "mit license " * 50_000 + "x" * 500_000]
+    df = spark.createDataFrame([(i % 41, t, "q") for i, t in enumerate(texts)], "doc_id long, text string, hits string")
+    got = sorted((r.doc_id, r.n_words, r.n_base, r.first_word or 0, r.last_word or 0, r.labels) for r in scan_licenses(df, base=templates[:50], more=templates[50:]).collect())
+    want, known = [], {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        if t not in known:
+            by_first: dict = {}
+            for k, (p, label) in enumerate(templates):
+                by_first.setdefault(p.split()[0], []).append((k, p.split(), label))
+            hits = [(k, at, label) for at, x in enumerate(w) for k, p, label in by_first.get(x, ()) if w[at : at + len(p)] == p]
+            known[t] = hits
+        base = [at for k, at, _ in known[t] if k < 50]
+        want.append((i % 41, len(w), len(base), min(base, default=0), max(base, default=0), ",".join(sorted({x for _, _, x in known[t]}))))
+    assert got == sorted(want)
+
+
 def rule_of(url):
     if url is None or "://" not in url:
         return "", "", None

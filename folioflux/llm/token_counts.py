@@ -7,15 +7,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflux.llm.shared import small_arrow_batches
-from folioflux.llm.tokenizing import piece_encoder, safe_pieces
+from folioflux.llm.tokenizing import piece_encoder
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, batch_bytes: int = 1 << 20, piece_chars: int = 1 << 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, over_limit (more than `limit` tokens).
 
-    Texts are cut at safe boundaries into pieces of about piece_chars, the pieces of several texts are encoded
-    in batches of about batch_bytes (each distinct pre-token once a worker), and only lengths leave the function;
-    memory is bounded by a batch, the worker's table and the longest stretch without a safe boundary. Null and empty texts count 0; repeated rows and ids give a row each;
+    tokenizer_path is a .json of the tokenizers library or a .model of sentencepiece. Where the file's pattern is the
+    byte-level one, texts are cut at safe boundaries into pieces of about piece_chars; other files get whole texts. The
+    pieces of several texts are encoded in batches of about batch_bytes (each distinct pre-token once a worker), and
+    only lengths leave the function; memory is bounded by a batch, the worker's table and the longest stretch without a
+    safe boundary (other files: the longest text). Null and empty texts count 0; repeated rows and ids give a row each;
     an empty table gives none; other columns are not read. Special strings in texts are treated as the library's
     default does; no special tokens are added.
     """
@@ -34,7 +36,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, batch_b
                 queue.clear()
 
             for i, text in enumerate(texts):
-                for piece in safe_pieces(text, piece_chars):
+                for piece in encoder.pieces(text, piece_chars):
                     owners.append(i)
                     queue.append(piece)
                     size += len(piece)

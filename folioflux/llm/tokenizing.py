@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -10,7 +11,7 @@ import numpy as np
 from folioflux.llm.kernels import BYTE_WEIGHTS, mix, power_tables
 
 _loaded: dict[str, object] = {}
-_encoders: dict[str, "PieceEncoder"] = {}
+_encoders: dict[str, object] = {}
 
 
 def tokenizer(path: str):
@@ -127,6 +128,7 @@ class PieceTable:
     def clear(self, slots: int) -> None:
         self.keys, self.where = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
         self.ends, self.ids, self.n, self.used = np.zeros(slots, np.int64), np.zeros(4 * slots, np.uint32), 0, 0
+        self.text_ends, self.text, self.text_used = np.zeros(slots, np.int64), np.zeros(8 * slots, np.uint8), 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
         mask = np.uint64(len(self.keys) - 1)
@@ -154,49 +156,124 @@ class PieceTable:
             rest = rest[~own]
             at[rest] = (at[rest] + np.uint64(1)) & mask
 
-    def add(self, h: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        """New distinct hashes with the ids of each, one after another."""
+    def add(self, h: np.ndarray, counts: np.ndarray, ids: np.ndarray, pieces: list[bytes]) -> None:
+        """New distinct hashes with the ids of each, one after another, and the bytes they stand for."""
         while 2 * (self.n + len(h)) > len(self.keys):
             old, numbers = self.keys[self.where >= 0], self.where[self.where >= 0]
             slots = 2 * len(self.keys)
             self.keys, self.where = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
             self.ends = np.concatenate([self.ends[: self.n], np.zeros(slots - self.n, np.int64)])
+            self.text_ends = np.concatenate([self.text_ends[: self.n], np.zeros(slots - self.n, np.int64)])
             self._place(old, numbers)
         if self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(2 * (self.used + len(ids)), np.uint32)])
         self.ids[self.used : self.used + len(ids)] = ids
         self.ends[self.n : self.n + len(h)] = self.used + np.cumsum(counts)
+        text = np.frombuffer(b"".join(pieces), np.uint8)
+        if self.text_used + len(text) > len(self.text):
+            self.text = np.concatenate([self.text[: self.text_used], np.zeros(2 * (self.text_used + len(text)), np.uint8)])
+        self.text[self.text_used : self.text_used + len(text)] = text
+        self.text_ends[self.n : self.n + len(h)] = self.text_used + np.cumsum([len(p) for p in pieces])
         self._place(h, np.arange(self.n, self.n + len(h), dtype=np.int32))
         self.n += len(h)
         self.used += len(ids)
+        self.text_used += len(text)
+
+    @staticmethod
+    def _runs(values: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        stops = ends[numbers]
+        starts = np.where(numbers > 0, ends[numbers - 1], 0)
+        counts = stops - starts
+        first = np.cumsum(counts) - counts
+        return values[np.arange(int(counts.sum())) + np.repeat(starts - first, counts)], counts
 
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pre-tokens with these numbers, and how many each has."""
-        ends = self.ends[numbers]
-        starts = np.where(numbers > 0, self.ends[numbers - 1], 0)
-        counts = ends - starts
-        first = np.cumsum(counts) - counts
-        return self.ids[np.arange(int(counts.sum())) + np.repeat(starts - first, counts)], counts
+        return self._runs(self.ids, self.ends, numbers)
+
+    def stands_for(self, numbers: np.ndarray, data: np.ndarray) -> bool:
+        """Whether data is just the pre-tokens with these numbers, byte for byte."""
+        return np.array_equal(self._runs(self.text, self.text_ends, numbers)[0], data)
+
+
+def in_batches(texts: list[str], most: int):
+    """Runs of texts of about `most` characters together."""
+    run, size = [], 0
+    for text in texts:
+        if run and size + len(text) > most:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield run
+
+
+class LibraryEncoder:
+    """Any file of the tokenizers library: whole texts, in batches."""
+
+    PART = 1 << 18
+
+    def __init__(self, path: str):
+        self.library = tokenizer(path)
+
+    def pieces(self, text: str, most: int) -> list[str]:
+        return [text]
+
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        """All ids of each text as unsigned 32-bit integers."""
+        found = (e for run in in_batches(texts, self.PART) for e in self.library.encode_batch_fast(run, add_special_tokens=False))
+        return [np.array(e.ids, np.uint32) for e in found]
+
+
+class SentenceEncoder(LibraryEncoder):
+    """A .model file of the sentencepiece library, without begin and end."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        found = (ids for run in in_batches(texts, self.PART) for ids in self.library.encode(run, num_threads=1))
+        return [np.array(ids, np.uint32) for ids in found]
+
+
+def byte_level(path: str) -> bool:
+    """Whether a file has what PieceEncoder relies on: the byte-level pattern alone before plain BPE over an alphabet of
+    bytes, and added tokens that no safe cut can touch."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    model, before = held["model"], held.get("pre_tokenizer") or {}
+    usual = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    pattern = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    cut = any(" " in t["content"] or t.get("rstrip") for t in held.get("added_tokens") or [])
+    alphabet = usual and pattern and len({x for x in model["vocab"] if len(x) == 1}) >= 256
+    return bool(alphabet and not held.get("normalizer") and not cut)
 
 
 class PieceEncoder:
     """Byte-level BPE by the library, each distinct pre-token encoded once per worker (until the table is full).
 
     Texts are cut into pre-tokens and these are hashed by passes of numpy; what the table lacks goes to the library.
-    A pre-token alone is one pre-token again, so its ids do not depend on its neighbours. Texts with characters
-    outside UNSAFE's complement, or with an added token's string, go to the library whole.
+    A pre-token alone is one pre-token again, so its ids do not depend on its neighbours. Pre-tokens are found by hash
+    and then compared byte for byte; where two share a hash, their texts go to the library. So do texts with characters
+    outside UNSAFE's complement, or with an added token's string, whole and in batches.
     """
 
     PART = 1 << 20
 
     def __init__(self, path: str, most: int = 1_500_000):
-        self.library = tokenizer(path)
+        self.library, self.whole = tokenizer(path), LibraryEncoder(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.table = PieceTable(most)
         symbols = self.library.get_vocab(with_added_tokens=False)
         self.width = np.zeros(max(symbols.values()) + 1, np.int64)  # a vocabulary entry has a character a byte
         self.width[list(symbols.values())] = [len(t) for t in symbols]
 
+    def pieces(self, text: str, most: int) -> list[str]:
+        return safe_pieces(text, most)
+
     def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces one after another, and how many each has; pieces of a blank and letters are encoded in runs,
         as the library splits such a run at each blank."""
@@ -240,9 +317,12 @@ class PieceEncoder:
         if len(gaps):
             new, first = np.unique(h[gaps], return_index=True)
             where = gaps[first]
-            ids, counts = self._learn([data[a:b].tobytes() for a, b in zip(starts[where].tolist(), ends[where].tolist())])
-            self.table.add(new, counts, ids)
+            pieces = [data[a:b].tobytes() for a, b in zip(starts[where].tolist(), ends[where].tolist())]
+            ids, counts = self._learn(pieces)
+            self.table.add(new, counts, ids, pieces)
             numbers[gaps] = self.table.find(h[gaps])
+        if not self.table.stands_for(numbers, data):
+            return self.whole.ids_of(texts)
         ids, counts = self.table.gather(numbers)
         bounds = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, at)]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
@@ -251,11 +331,14 @@ class PieceEncoder:
         """All ids of each text as unsigned 32-bit integers."""
         out: list = [np.zeros(0, np.uint32)] * len(texts)
         parts: list[tuple[int, str]] = []
+        rare: list[int] = []
         for i, text in enumerate(texts):
             if UNSAFE.search(text) or any(a in text for a in self.added):
-                out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+                rare.append(i)
             elif text:
                 parts += [(i, p) for p in safe_pieces(text, self.PART)]
+        for i, ids in zip(rare, self.whole.ids_of([texts[i] for i in rare])):
+            out[i] = ids
         k = 0
         while k < len(parts):
             size, stop = 0, k
@@ -268,9 +351,11 @@ class PieceEncoder:
         return out
 
 
-def piece_encoder(path: str) -> PieceEncoder:
+def piece_encoder(path: str):
+    """Encoder of a tokenizer file, once per worker: sentencepiece for .model, the fast path where the file allows it,
+    else the tokenizers library."""
     if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
+        _encoders[path] = SentenceEncoder(path) if path.endswith(".model") else PieceEncoder(path) if byte_level(path) else LibraryEncoder(path)
     return _encoders[path]
 
 

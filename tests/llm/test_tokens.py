@@ -38,6 +38,47 @@ def test_counts_match_library(spark):
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 512), t
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model", "other"])
+def test_counts_and_records_of_other_files(spark, name, tmp_path):
+    import json
+
+    import sentencepiece
+
+    texts = ODD + corpus()
+    path = P.path(name) if name != "other" else str(tmp_path / "digits.json")
+    if name == "other":  # the same vocabulary behind another pattern
+        held = json.load(open(BYTE, encoding="utf-8"))
+        held["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, held["pre_tokenizer"]]}
+        json.dump(held, open(path, "w", encoding="utf-8"))
+    if name.endswith(".model"):
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        want = [model.encode(t or "") for t in texts]
+    else:
+        lib = Tokenizer.from_file(path)
+        lib.no_truncation(), lib.no_padding()
+        want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    got = count_tokens(frame(spark, texts), path, piece_chars=500, batch_bytes=2000).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(x) for i, x in enumerate(want)}
+    rows = R.read_records(spark, R.write_records(frame(spark, texts), path, end_id=1)).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == {i: [*x, 1] for i, x in enumerate(want)}
+
+
+def test_counts_of_empty_and_repeated_rows(spark):
+    assert count_tokens(frame(spark, []), BYTE).count() == 0
+    rows = spark.createDataFrame([(3, "b c"), (3, "b c"), (3, None), (None, "b")], "id long, text string").withColumnRenamed("id", "n_tokens")
+    got = count_tokens(rows, BYTE, id_col="n_tokens").toDF("id", "n_bytes", "n", "over").collect()
+    assert sorted((r.id or 0, r.n_bytes, r.n) for r in got) == [(0, 1, 1), (3, 0, 0), (3, 3, 2), (3, 3, 2)]
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    from folioflux.llm import tokenizing
+
+    monkeypatch.setattr(tokenizing, "mix", lambda h: h % np.uint64(4))
+    lib, encoder = Tokenizer.from_file(BYTE), tokenizing.PieceEncoder(BYTE)
+    for text in ("one two three four five", "six seven eight nine", "one two"):
+        assert encoder.ids_of([text])[0].tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
 def test_safe_pieces_keep_text():
     text = "word " * 5000 + "x" * 9000 + " tail end"
     assert "".join(safe_pieces(text, 100)) == text

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from folioflux.llm.components import components
 from folioflux.llm.kernels import arrow_rows, distinct_by_text, mix, shingles, word_hashes
-from folioflux.llm.shared import bounded, small_arrow_batches, written
+from folioflux.llm.shared import BROADCAST_ROWS, bounded, small_arrow_batches, written
 
 TREES, DEPTH, LEAST_DEPTH = 20, 6, 3
 WIDTH = TREES * DEPTH
@@ -298,11 +298,6 @@ def text_digest(text_col: str):
     return F.xxhash64(F.col(text_col))
 
 
-def text_digest(text_col: str):
-    """What tells rows apart that share an id."""
-    return F.xxhash64(F.col(text_col))
-
-
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of near_duplicates with doc_id as the id's name, the digest of each row's text, and chosen: whether the
     row is the one that stays of its component (the smallest id, not null if there is one; then the smallest digest).
@@ -374,14 +369,30 @@ def _decisions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             comp = _relabelled(comp, more)
 
     ends = signed.select("doc_id", "digest", "n_shingles", "node").join(bounded(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
-    firsts = ends.where("node is not null").groupBy("comp").agg(first)
-    out = ends.join(firsts, "comp", "left")
+    alone = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    firsts = ends.where("node is not null").groupBy("comp").agg(F.min(alone).alias("first"), F.count("*").alias("n")).where("n > 1")
+    out = _with_firsts(ends, written(firsts, "firsts"), signed.count()).withColumn("first", F.coalesce("first", alone))
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
     chosen = F.col("node").isNull() | F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
     return out.select("doc_id", "digest", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), chosen.alias("chosen"))
 
 
+def _with_firsts(ends: DataFrame, firsts: DataFrame, total: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """ends with the column first (null: the row is alone) of their component, from firsts (comp, first, n rows).
+
+    Up to `most` components of several rows are broadcast. Beyond it those of more than a `most`-th of all rows are,
+    which are fewer than that, and only rows of the smaller ones are shuffled; so no component fills a task.
+    """
+    if firsts.count() <= most:
+        return ends.join(F.broadcast(firsts.drop("n")), "comp", "left")
+    large = F.col("n") > max(1, total // most)
+    hot, cold = F.broadcast(firsts.where(large).drop("n")), firsts.where(~large).drop("n")
+    named = ends.where("comp is not null")
+    rest = named.join(hot.select("comp"), "comp", "left_anti").join(cold, "comp", "left")
+    none = ends.where("comp is null").withColumn("first", F.lit(None).cast(firsts.schema["first"].dataType))
+    return named.join(hot, "comp").unionByName(rest).unionByName(none)
+
+
 def _relabelled(comp: DataFrame, more: DataFrame) -> DataFrame:
     """node, comp with the components `old` of more become `new`; nodes that stood alone are old components too."""
     moved = comp.join(bounded(more), F.col("comp") == F.col("old"), "left").select("node", F.coalesce("new", "comp").alias("comp"))

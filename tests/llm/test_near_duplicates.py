@@ -145,3 +145,14 @@ def test_region_far_over_a_block(spark, monkeypatch):
             rows.append((7 * len(rows), " ".join(words)))
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
+
+
+def test_large_components_do_not_meet_in_one_task(spark, monkeypatch):
+    texts = corpus(12, 6, 9) + ["the very same text in forty rows"] * 40 + [None, "", "alone here", "also all alone here"]
+    df = spark.createDataFrame([(None if i % 17 == 3 else i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    rows = lambda: sorted(map(tuple, lsh_forest.decisions(df).collect()), key=str)
+    want = rows()
+    real = lsh_forest._with_firsts
+    monkeypatch.setattr(lsh_forest, "_with_firsts", lambda *a: real(*a, most=4))
+    assert rows() == want
+    assert len(want) == len(texts)

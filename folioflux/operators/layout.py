@@ -43,9 +43,11 @@ def last_heading(rows: DataFrame, page: str, order: list[str], heading: Column,
     return rows.withColumn(name, F.last(heading, ignorenulls=True).over(w))
 
 
-def column_of(rows: DataFrame, columns: DataFrame, x: Column) -> DataFrame:
-    """Rows with the column whose [start, end) holds x; columns is a page's short list (broadcast by its size)."""
-    return rows.join(columns, (x >= columns["start"]) & (x < columns["end"]))
+def column_of(rows: DataFrame, columns: DataFrame, page: str, x: str) -> DataFrame:
+    """Rows with the column of their own page whose [start, end) holds x: an equi-join on the page, the interval a
+    residual condition. columns: page, start, end, ...; a null page or x meets none."""
+    inside = (F.col(x) >= F.col("start")) & (F.col(x) < F.col("end"))
+    return rows.join(columns, page).where(inside)
 
 
 def gap_clusters(rows: DataFrame, page: str, order: list[str], value: str, tolerance: Column, name: str = "cluster") -> DataFrame:

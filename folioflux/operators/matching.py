@@ -7,6 +7,7 @@ joined back, so a text that fills a third of the rows costs one look-up.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -161,10 +162,11 @@ def strong_column(text: Column, alias: Column) -> Column:
     return F.when(tight == WHOLE_CELL_ALIAS, (compact(text) == tight).cast("double")).when(whole, 1.0).when((F.length(tight) >= 5) & near, STRONG).otherwise(0.0)
 
 
-def strong_matches(texts: DataFrame, catalog: DataFrame, text: str, n_words: int = 3) -> DataFrame:
+def strong_matches(texts: DataFrame, catalog: DataFrame, text: str, sizes: Iterable[int] = (1, 2, 3)) -> DataFrame:
     """Rows of texts with the aliases that stand in them as whole words, by an equi-join on runs of words: each text
-    gives its distinct runs of 1 to n_words words, so nothing is compared with every alias. catalog: alias, ..."""
-    runs = F.array_distinct(F.flatten(F.array(*(_windows(F.col(text), k) for k in range(1, n_words + 1)))))
+    gives its distinct runs of as many words as aliases have (sizes), so nothing is compared with every alias.
+    texts: normalised texts in the column `text`; catalog: alias, ... (normalised). A null or empty text gives none."""
+    runs = F.array_distinct(F.flatten(F.array(*(_windows(F.col(text), k) for k in sorted(set(sizes))))))
     return texts.withColumn("alias", F.explode(runs)).join(catalog, "alias")
 
 
@@ -192,3 +194,16 @@ def match_column(rows: DataFrame, text: str, kind: str, catalog: list[Alias], co
 
     once = rows.select(text).where(F.col(text).isNotNull()).distinct().withColumn("match", found(text))
     return rows.join(once, text, "left")
+
+
+def match_places(rows: DataFrame, text: str, catalog: list[Alias], contextual: bool = False) -> DataFrame:
+    """rows with an array column `places`: the names that find_places gives, none for a null text; distinct texts are
+    matched once."""
+    catalog = ordered(catalog)
+
+    @F.pandas_udf("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([[m.name for m in find_places(t, catalog, contextual)] for t in texts])
+
+    once = rows.select(text).where(F.col(text).isNotNull()).distinct().withColumn("places", found(text))
+    return rows.join(once, text, "left").withColumn("places", F.coalesce("places", F.array().cast("array<string>")))

@@ -156,8 +156,7 @@ def q_catalog_strong(spark, sf_dir):
     aliases = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(T.words(T.normalize(F.col("text"))), 1, 6), " ").alias("alias")).where("alias <> ''")
     docs = table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("t"))
     sizes = [r[0] for r in aliases.select(F.size(F.split("alias", " "))).distinct().collect()]  # six at most
-    runs = F.array_distinct(F.flatten(F.array(*(T.word_windows(F.col("t"), k) for k in sizes))))
-    hits = docs.select("doc_id", F.explode(runs).alias("alias")).join(aliases, "alias")
+    hits = M.strong_matches(docs, aliases, "t", sizes or [1])
     best = F.max_by("alias", F.struct(F.length(T.compact(F.col("alias"))), -F.col("item_id")))
     return hits.groupBy("doc_id").agg(best.alias("alias"), F.count("*").alias("hits"))
 
@@ -168,12 +167,11 @@ def q_catalog_strong(spark, sf_dir):
     select p_partkey, string_agg(alias, ' > ' order by i) as places, count(*) as n from (select p_partkey, alias, min(i) as i from w join v using (alias) group by all) group by p_partkey
 """)
 def q_multi_match(spark, sf_dir):
-    """The vocabulary of part names as a catalog; each name's aliases in text order."""
-    part = table(spark, sf_dir, "part")
-    words = part.select("p_partkey", F.posexplode(F.split(F.lower("p_name"), " ")).alias("i", "alias"))
-    catalog = words.select("alias").distinct()
-    found = words.join(catalog, "alias").groupBy("p_partkey", "alias").agg(F.min("i").alias("i"))
-    return found.groupBy("p_partkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "alias"))), lambda x: x["alias"]), " > ").alias("places"), F.count("*").alias("n"))
+    """The vocabulary of part names as a catalog; each name's places in text order."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("text"))
+    words = [r[0] for r in part.select(F.explode(F.split("text", " ")).alias("w")).distinct().limit(M.MOST_ALIASES + 1).collect()]
+    found = M.match_places(part, "text", [M.Alias(w, w) for w in words])
+    return found.select("p_partkey", F.array_join("places", " > ").alias("places"), F.size("places").cast("long").alias("n"))
 
 
 _COLOURS = ["almond", "antiqe", "azur", "beig", "bisqe", "blackk", "blu", "blushh", "bronw", "chartreus"]
@@ -270,12 +268,15 @@ def q_heading_asof(spark, sf_dir):
 
 
 @query("""
-    select case when l_quantity < 10 then 'few' when l_quantity < 30 then 'some' else 'many' end as name, count(*) as n, round(sum(l_extendedprice), 2) as total from lineitem where l_quantity >= 0 group by 1
+    select l_returnflag as page, case when l_quantity < e then 'few' when l_quantity < 30 then 'some' else 'many' end as name, count(*) as n, round(sum(l_extendedprice), 2) as total
+    from (select *, case l_returnflag when 'A' then 10 when 'N' then 15 else 20 end as e from lineitem) where l_quantity >= 0 and l_returnflag in ('A', 'N', 'R') group by all
 """)
 def q_column_interval(spark, sf_dir):
-    columns = spark.createDataFrame([("few", 0.0, 10.0), ("some", 10.0, 30.0), ("many", 30.0, 1e9)], "name string, start double, end double")
-    rows = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice")
-    return L.column_of(rows, columns, F.col("l_quantity")).groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+    """Return flags as pages, each with columns of its own."""
+    own = [(p, n, x, y) for p, e in (("A", 10.0), ("N", 15.0), ("R", 20.0)) for n, x, y in (("few", 0.0, e), ("some", e, 30.0), ("many", 30.0, 1e9))]
+    columns = spark.createDataFrame(own, "page string, name string, start double, end double")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("page"), "l_quantity", "l_extendedprice")
+    return L.column_of(rows, columns, "page", "l_quantity").groupBy("page", "name").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
 
 
 @query("""
@@ -543,18 +544,18 @@ def e_report(spark, sf_dir):
 
 
 @query("""
-    with f as (select d.doc_id, d.lang, d.source, l.quality, l.toxic from documents d left join labels l using (doc_id)),
-         u as (select lang, 'quality' as field, quality as v, source from f union all select lang, 'toxic', toxic, source from f)
-    select coalesce(lang, 'total') as lang, field, count(*) as total, count(v) as populated, count(*) filter (v = 1) as correct, round(coalesce(count(*) filter (v = 1) / nullif(count(v), 0), 1), 6) as rate
+    with f as (select d.lang, d.n_chars, l.quality, l.toxic from documents d left join labels l using (doc_id)),
+         u as (select lang, n_chars, 'quality' as field, quality as v from f union all select lang, n_chars, 'toxic', toxic from f)
+    select coalesce(lang, 'total') as lang, field, count(*) as total, count(*) filter (v = 1) as correctos, round(count(*) filter (v = 1) / count(*), 6) as exactitud, count(v) as total_con_dato,
+           count(*) filter (v = 1) as correctos_con_dato, round(coalesce(count(*) filter (v = 1) / nullif(count(v), 0), 1), 6) as exactitud_con_dato, count(*) filter (v is null and n_chars % 3 = 0) as falsos_positivos
     from u group by grouping sets ((lang, field), (field))
 """)
 def e_field_metrics(spark, sf_dir):
+    """Labels as compared fields: populated where there is one, correct where it is 1."""
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    long = rows.select("lang", F.expr("stack(2, 'quality', quality, 'toxic', toxic) as (field, v)"))
-    agg = lambda *by: long.groupBy(*by, "field").agg(F.count("*").alias("total"), F.count("v").alias("populated"), F.count_if(F.col("v") == 1).alias("correct"))
-    cells = agg("lang")
-    whole = cells.groupBy("field").agg(*(F.sum(c).alias(c) for c in ("total", "populated", "correct"))).withColumn("lang", F.lit("total"))
-    return cells.unionByName(whole).withColumn("rate", F.round(F.when(F.col("populated") > 0, F.col("correct") / F.col("populated")).otherwise(1.0), 6))
+    long = rows.select("lang", "n_chars", F.expr("stack(2, 'quality', quality, 'toxic', toxic) as (field, v)"))
+    fields = long.select("lang", "field", F.coalesce(F.col("v") == 1, F.lit(False)).alias("correct"), F.col("v").isNotNull().alias("populated"), (F.col("v").isNull() & (F.col("n_chars") % 3 == 0)).alias("false_positive"))
+    return E.field_report(fields, ["lang", "field"]).unionByName(E.field_report(fields, ["field"]).withColumn("lang", F.lit("total")))
 
 
 _TRUTH = """
@@ -616,15 +617,29 @@ def ed_apply(spark, sf_dir):
 
 
 @query("""
-    select c_custkey, case when regexp_matches(n, '^[=+@-]') then '''' || n else n end as nombre, case when c_acctbal < 0 then 'Pendiente' else 'No requerido' end as estado_revision,
-           case when c_nationkey % 2 = 0 then c_nationkey::varchar || ' años · ' || c_mktsegment else c_mktsegment end as edad_sector
-    from (select *, case when c_custkey % 4 = 0 then '=' when c_custkey % 4 = 1 then '-' else '' end || c_name as n from customer)
+    with n as (select *, case when c_custkey % 4 = 0 then '=' when c_custkey % 4 = 1 then '-' else '' end || c_name as n, case when c_nationkey % 2 = 0 then c_nationkey end as age from customer)
+    select 'PAC-' || c_custkey as id, case when regexp_matches(n, '^[=+@-]') then '''' || n else n end as nombre, age as edad, case when age is not null then 'años' else '' end as unidad,
+           case when age is not null then age::varchar || ' años · ' else '' end || c_mktsegment as edad_sector, case when c_custkey % 5 = 0 then 'a.png; b.png' else 'c' || c_custkey || '.png' end as imagenes,
+           case when c_custkey % 3 = 0 then 'Revisado' when c_acctbal < 0 then 'Pendiente' else 'No requerido' end as estado, case when c_custkey % 2 = 0 then 'alta; baja' else 'baja' end as notas, 28 as columnas
+    from n
 """)
 def s_export(spark, sf_dir):
+    """Customers as people, in the columns of the export."""
+    from folioflux.functions.schemas import with_defaults
+    from folioflux.sources import sinks
+
     k = F.col("c_custkey")
-    name = F.concat(F.when(k % 4 == 0, "=").when(k % 4 == 1, "-").otherwise(""), F.col("c_name"))
-    age = F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.col("c_nationkey").cast("string"), F.lit(" años")))
-    return table(spark, sf_dir, "customer").select("c_custkey", T.formula_safe(name).alias("nombre"), F.when(F.col("c_acctbal") < 0, "Pendiente").otherwise("No requerido").alias("estado_revision"), F.concat_ws(" · ", age, "c_mktsegment").alias("edad_sector"))
+    people = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("PAC-"), k).alias("patient_id"), F.concat(F.when(k % 4 == 0, "=").when(k % 4 == 1, "-").otherwise(""), F.col("c_name")).alias("full_name"),
+        F.when(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey")).alias("age"), F.lit("años").alias("age_unit"), F.col("c_mktsegment").alias("origin"),
+        F.when(k % 5 == 0, F.array(*map(F.lit, ["a.png", "b.png", "a.png"]))).otherwise(F.array().cast("array<string>")).alias("source_images"), F.concat(F.lit("c"), k, F.lit(".png")).alias("source_image"),
+        F.when(k % 3 == 0, "Revisado").otherwise("").alias("review_status"), (F.col("c_acctbal") < 0).alias("needs_review"),
+        F.when(k % 2 == 0, "alta").otherwise("").alias("clinical_notes"), F.array(*map(F.lit, ["baja", "", "baja"])).alias("notes"),
+    )
+    rows = sinks.export_rows(with_defaults(people))
+    shown = sinks.with_age_and_sector(rows).withColumn("columnas", F.lit(len(rows.columns)))
+    named = {"id_paciente": "id", "nombre_completo": "nombre", "unidad_edad": "unidad", "imagenes_origen": "imagenes", "estado_revision": "estado", "observaciones": "notas"}
+    return shown.select("edad", "edad_sector", "columnas", *(F.col(c).alias(n) for c, n in named.items()))
 
 
 @query("""
@@ -638,10 +653,19 @@ def s_cache(spark, sf_dir):
     return hits.select("page_id", "key", F.lit(True).alias("hit")).unionByName(misses.select("page_id", "key", F.lit(False).alias("hit")))
 
 
-@query("select event_id, list_sort(json_keys(props::json))::varchar[] is not null as is_object, len(json_keys(props::json))::int as n_keys from events")
+@query("select conv_id::varchar as page, turn::int as line_no, text, round((turn + 1) / 7, 6) as score, (turn * 10)::int as x1 from conversations")
 def s_json(spark, sf_dir):
-    keys = F.json_object_keys("props")
-    return table(spark, sf_dir, "events").select("event_id", keys.isNotNull().alias("is_object"), F.size(keys).alias("n_keys"))
+    """Conversations as pages of lines, written as JSON texts and read back."""
+    from folioflux.functions.schemas import BOX
+    from folioflux.sources.sinks import lines_as_json
+
+    x = (F.col("turn") * 10).cast("int")
+    lines = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("image_id"), F.col("turn").cast("int").alias("line_no"), "text", ((F.col("turn") + 1) / 7).alias("score"),
+        F.struct(x.alias("x1"), F.lit(0).alias("y1"), (x + 9).alias("x2"), F.lit(9).alias("y2")).alias("box"),
+    )
+    page = F.from_json("json", f"image_id string, lines array<struct<line_no:int,text:string,score:double,box:{BOX}>>")
+    return lines_as_json(lines).select(page.alias("p")).select(F.col("p.image_id").alias("page"), F.explode("p.lines").alias("k")).select("page", "k.line_no", "k.text", "k.score", F.col("k.box.x1").alias("x1"))
 
 
 @query("""

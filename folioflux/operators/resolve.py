@@ -8,6 +8,8 @@ component at a time. Ids follow from global order by a range-partitioned numberi
 from __future__ import annotations
 
 import re
+from difflib import SequenceMatcher
+from functools import lru_cache
 from typing import Any
 
 import pandas as pd
@@ -175,7 +177,10 @@ def consolidate(records: DataFrame, order: str = "ordinal") -> tuple[DataFrame,
 
 
 def pair_reason(a: Record, b: Record, splitter: Splitter | None) -> str | None:
-    """Why two people of one center may be one (names by similarity, ages equal); None if they may not."""
+    """Why two people of one center may be one (names by similarity, ages equal); None if they may not.
+
+    The rule for one pair, that tests hold possible_pairs against.
+    """
     x, y = number(a["document_id"]), number(b["document_id"])
     if a["center"] != b["center"] or (x and y and x != y):
         return None
@@ -187,12 +192,10 @@ def pair_reason(a: Record, b: Record, splitter: Splitter | None) -> str | None:
         return "mismo nombre | edad incompleta" if plain == plain2 else None
     if (a["age"], a["age_unit"]) != (b["age"], b["age_unit"]):
         return None
-    raw, better = ratio(plain, plain2), ratio(canon, canon2)
-    score = max(raw, better)
-    if score < 0.92 and plain != plain2 and canon != canon2:
+    said = name_reason(plain, canon, plain2, canon2)
+    if said is None:
         return None
-    helped = better > raw and (plain, plain2) != (canon, canon2)
-    out = [f"{'nombre normalizado' if helped else 'nombre'} {score:.0%}", "misma edad"]
+    out = [said, "misma edad"]
     if a["sex"] and b["sex"] and a["sex"] != b["sex"]:
         out.append("sexo diferente")
     if a["origin"] and b["origin"] and normalize_kernel(a["origin"]) != normalize_kernel(b["origin"]):
@@ -200,31 +203,61 @@ def pair_reason(a: Record, b: Record, splitter: Splitter | None) -> str | None:
     return " | ".join(out)
 
 
-def possible_pairs(people: DataFrame, lexicons: Lexicons | None = None) -> DataFrame:
-    """patient_id, other_id, reason of pairs left apart, first before other.
+@lru_cache(maxsize=1 << 16)
+def name_reason(plain: str, canon: str, plain2: str, canon2: str) -> str | None:
+    """How alike two names are, normal and canonical, the earlier person's first; None below 0.92.
 
-    Blocks are (center, age, unit) with a length band, as a similarity of 0.92 bounds the lengths (2 m / (m + n)), and
-    (center, name) where an age is missing; AQE splits skewed blocks.
+    Equal letters bound a ratio from above, so most pairs need no match.
     """
-    fields = ["patient_id", "first", "center", "full_name", "document_id", "age", "age_unit", "sex", "origin"]
+    if plain == plain2:
+        return "nombre 100%"
+    able = lambda x, y: SequenceMatcher(None, x, y).quick_ratio() >= 0.92
+    raw = ratio(plain, plain2) if able(plain, plain2) else 0.0
+    better = raw if (plain, plain2) == (canon, canon2) else ratio(canon, canon2) if able(canon, canon2) else 0.0
+    score = max(raw, better)
+    return f"{'nombre normalizado' if better > raw else 'nombre'} {score:.0%}" if score >= 0.92 else None
+
+
+def possible_pairs(people: DataFrame, lexicons: Lexicons | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """patient_id, other_id, first_a, first_b, reason of pairs left apart, first before other; with the columns `keep` of
+    both as <name>_a and <name>_b.
+
+    Names are compared, not people: the distinct names of a block (center, age, unit) meet in the length band that a
+    similarity of 0.92 implies (2 m / (m + n)), in the orders in which their people stand, and only names that are alike
+    bring their people together, in equi-joins without Python. Where an age is missing, people meet over (center, name).
+    """
+    fields = list(dict.fromkeys(["patient_id", "first", "center", "full_name", "document_id", "age", "age_unit", "sex", "origin", *keep]))
     keyed = name_keys(people.select(*fields), "full_name", lexicons).select(*fields, F.col("name_key.normal").alias("plain"), F.col("name_key.canonical").alias("canon"))
-    keyed = keyed.withColumn("document", digits(F.coalesce("document_id", F.lit("")))).where(F.length("canon") >= 8)
-    a, b = (keyed.select(*(F.col(c).alias(f"{c}_{s}") for c in keyed.columns)) for s in "ab")
+    keyed = name_keys(keyed.where(F.length("canon") >= 8), "origin", None).withColumn("place", F.col("name_key.normal")).drop("name_key")
+    keyed = keyed.withColumn("document", digits(F.coalesce("document_id", F.lit(""))))
+    sides = lambda rows: [rows.select(*(F.col(c).alias(f"{c}_{s}") for c in rows.columns)) for s in "ab"]
+    a, b = sides(keyed)
+    before = F.col("first_a") < F.col("first_b")
     apart = (F.col("document_a") == "") | (F.col("document_b") == "") | (F.col("document_a") == F.col("document_b"))
-    near = (F.least(F.length("canon_a"), F.length("canon_b")) * 2 >= 0.92 * (F.length("canon_a") + F.length("canon_b"))) | (F.least(F.length("plain_a"), F.length("plain_b")) * 2 >= 0.92 * (F.length("plain_a") + F.length("plain_b"))) | (F.col("canon_a") == F.col("canon_b"))
-    aged = a.join(b, (F.col("center_a") == F.col("center_b")) & (F.col("age_a") == F.col("age_b")) & (F.col("age_unit_a") == F.col("age_unit_b")) & (F.col("first_a") < F.col("first_b")) & apart & near)
-    ageless = a.join(b, (F.col("center_a") == F.col("center_b")) & (F.col("plain_a") == F.col("plain_b")) & (F.col("first_a") < F.col("first_b")) & (F.col("age_a").isNull() | F.col("age_b").isNull()) & apart)
-
-    def reasons(frames):
-        splitter = Splitter(lexicons) if lexicons else None
-        for f in frames:
-            rows = f.to_dict("records")
-            side = lambda r, s: {k: (None if r[f"{k}_{s}"] != r[f"{k}_{s}"] else r[f"{k}_{s}"]) for k in fields}
-            why = [pair_reason(side(r, "a"), side(r, "b"), splitter) for r in rows]
-            yield pd.DataFrame({"patient_id": f["patient_id_a"], "other_id": f["patient_id_b"], "first_a": f["first_a"], "first_b": f["first_b"], "reason": why})
-
-    found = aged.unionByName(ageless).select(*(f"{c}_{s}" for s in "ab" for c in fields))
-    return found.mapInPandas(reasons, "patient_id string, other_id string, first_a long, first_b long, reason string").where("reason is not null")
+
+    block, name = ["center", "age", "age_unit"], ["plain", "canon"]
+    names_a, names_b = sides(keyed.groupBy(*block, *name).agg(F.min("first").alias("low"), F.max("first").alias("high")))
+    same = lambda columns: [F.col(f"{c}_a") == F.col(f"{c}_b") for c in columns]
+    band = lambda c: F.least(F.length(f"{c}_a"), F.length(f"{c}_b")) * 2 >= 0.92 * (F.length(f"{c}_a") + F.length(f"{c}_b"))
+    met = names_a.join(names_b, [*same(block), F.col("low_a") < F.col("high_b"), band("canon") | band("plain")])
+
+    @F.pandas_udf("string")
+    def compared(plain: pd.Series, canon: pd.Series, plain2: pd.Series, canon2: pd.Series) -> pd.Series:
+        return pd.Series([name_reason(*names) for names in zip(plain, canon, plain2, canon2)], dtype=object)
+
+    # not deterministic for the planner: else it would compare once for the filter and once for the column
+    alike = met.select(*(f"{c}_a" for c in [*block, *name]), *(F.col(f"{c}_b").alias(f"{c}_other") for c in name), compared.asNondeterministic()("plain_a", "canon_a", "plain_b", "canon_b").alias("said")).where("said is not null")
+    asked = a.join(alike, [f"{c}_a" for c in [*block, *name]])
+    aged = asked.join(b, [*same(block), *(F.col(f"{c}_other") == F.col(f"{c}_b") for c in name), before, apart])
+    differ = lambda c, by: (F.col(f"{c}_a") != "") & (F.col(f"{c}_b") != "") & (F.col(f"{by}_a") != F.col(f"{by}_b"))
+    notes = [F.col("said"), F.lit("misma edad"), F.when(differ("sex", "sex"), "sexo diferente"), F.when(differ("origin", "place"), "procedencia diferente")]
+    aged = aged.withColumn("reason", F.concat_ws(" | ", *notes))
+
+    over_name = [*same(["center", "plain"]), before, apart]
+    ageless = a.where("age_a is null").join(b, over_name).unionByName(a.where("age_a is not null").join(b.where("age_b is null"), over_name))
+    ageless = ageless.withColumn("reason", F.lit("mismo nombre | edad incompleta"))
+    out = [F.col("patient_id_a").alias("patient_id"), F.col("patient_id_b").alias("other_id"), "first_a", "first_b", "reason", *(f"{c}_{s}" for c in keep for s in "ab" if c != "first")]
+    return aged.select(*out).unionByName(ageless.select(*out))
 
 
 def mark_duplicates(people: DataFrame, pairs: DataFrame) -> DataFrame:

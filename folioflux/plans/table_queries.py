@@ -451,11 +451,9 @@ def _apart(spark, sf_dir):
 """)
 def d_possible_pairs(spark, sf_dir):
     """The exact-name branch, which SQL can express: pairs whose similarity is 100 %. d_similar_pairs has all pairs."""
-    people = _apart(spark, sf_dir)
-    pairs = R.possible_pairs(people).where(F.startswith("reason", F.lit("nombre 100% |")))
-    rows = people.select(F.col("ordinal").alias("a"), "center", "age", F.col("full_name").alias("n"))
-    names = people.select(F.col("ordinal").alias("b"), F.col("full_name").alias("m"))
-    return pairs.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")).join(rows, "a").join(names, "b").where("n = m").select("a", "b", "center", "age")
+    pairs = R.possible_pairs(_apart(spark, sf_dir), keep=("center", "age", "full_name"))
+    equal = pairs.where(F.startswith("reason", F.lit("nombre 100% |")) & (F.col("full_name_a") == F.col("full_name_b")))
+    return equal.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"), F.col("center_a").alias("center"), F.col("age_a").alias("age"))
 
 
 @query()

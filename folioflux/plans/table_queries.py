@@ -459,9 +459,8 @@ def d_possible_pairs(spark, sf_dir):
 @query()
 def d_similar_pairs(spark, sf_dir):
     """All possible pairs with their reasons: names of a similarity of 0.92 at least, equal ones included."""
-    people = _apart(spark, sf_dir)
-    pairs = R.possible_pairs(people).select(F.col("first_a").alias("a"), F.col("first_b").alias("b"), "reason")
-    return pairs.join(people.select(F.col("ordinal").alias("a"), "center", "age"), "a").select("a", "b", "center", "age", "reason")
+    pairs = R.possible_pairs(_apart(spark, sf_dir), keep=("center", "age"))
+    return pairs.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"), F.col("center_a").alias("center"), F.col("age_a").alias("age"), "reason")
 
 
 # ---------------------------------------------------------------- pages

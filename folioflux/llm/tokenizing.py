@@ -261,9 +261,10 @@ class PieceEncoder:
     outside UNSAFE's complement, or with an added token's string, whole and in batches.
     """
 
-    PART = 1 << 20
+    #: Characters in one pass of numpy, pre-tokens in one call of the library (whose result is about 1 kB each)
+    PART, CALL = 1 << 18, 2048
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 400_000):
         self.library, self.whole = tokenizer(path), LibraryEncoder(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.table = PieceTable(most)
@@ -281,8 +282,9 @@ class PieceEncoder:
         for k, p in enumerate(pieces):
             (plain if p[:1] == b" " and p[1:].decode().isalpha() else rest).append(k)
         found: list = [None] * len(pieces)
-        for k, e in zip(rest, self.library.encode_batch([pieces[k].decode() for k in rest], add_special_tokens=False)):
-            found[k] = e.ids
+        for own in (rest[k : k + self.CALL] for k in range(0, len(rest), self.CALL)):
+            for k, e in zip(own, self.library.encode_batch_fast([pieces[k].decode() for k in own], add_special_tokens=False)):
+                found[k] = e.ids
         counts = np.array([0 if f is None else len(f) for f in found], np.int64)
         out: list[np.ndarray] = []
         runs = [plain[k : k + 128] for k in range(0, len(plain), 128)]

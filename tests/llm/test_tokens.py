@@ -165,3 +165,23 @@ def test_piece_encoder_matches_library():
             assert ids.tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
     long = "word don't stop " * 2000
     assert encoder.ids_of([long])[0].tolist() == lib.encode(long, add_special_tokens=False).ids
+
+
+def test_a_worker_holds_a_bounded_table_of_pretokens():
+    """Half a million distinct pre-tokens: the library gets a few thousand a call, the table stays below 100 MB, ids hold."""
+    from folioflux.llm.tokenizing import PieceEncoder
+
+    encoder, calls = PieceEncoder(BYTE), []
+    lib = encoder.library
+
+    class Watched:
+        encode_batch = encode_batch_fast = lambda self, texts, **how: calls.append(len(texts)) or lib.encode_batch_fast(texts, **how)
+
+    encoder.library = Watched()
+    texts = [" ".join(f"7{k:07d}" for k in range(a, a + 50_000)) for a in range(0, 500_000, 50_000)]
+    held = 0
+    for text in texts:
+        ids = encoder.ids_of([text])[0]
+        held = max(held, sum(x.nbytes for x in vars(encoder.table).values() if isinstance(x, np.ndarray)))
+    assert max(calls) <= 2048 and held < 100e6
+    assert ids.tolist() == lib.encode(texts[-1], add_special_tokens=False).ids

@@ -15,6 +15,10 @@ corpus. Of the blocks that hold a gram in training the first owns it and adds it
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +36,17 @@ END_HASH = np.uint64(0x454E44)
 START = np.uint64(2**64 - 1)
 #: Kinds of questions: counts of grams of each depth (0: words), tests of contexts of each depth, suffixes of states
 GRAMS, TESTS, SUFFIXES = [[a + d for d in range(DEPTH + 1)] for a in (0, 100, 200)]
-#: What is asked together, each after the answers of those before
-ROUNDS = [[GRAMS[0]], [GRAMS[1]], [GRAMS[2]], *([GRAMS[d], TESTS[d - 2]] for d in range(3, DEPTH + 1)), [TESTS[DEPTH - 1]], [TESTS[DEPTH]], SUFFIXES[1:DEPTH]]
+#: What is asked together, and the answers of earlier rounds that it needs: a test needs the grams up to its depth, the
+#: suffixes all tests and the grams whose counts are contexts'. The first test goes with the second grams; later ones
+#: go alone, as both their messages would be on disk at once.
+ROUNDS = [
+    ([GRAMS[0]], []),
+    ([GRAMS[1]], []),
+    ([TESTS[1], GRAMS[2]], GRAMS[:2]),
+    *(([GRAMS[d]], GRAMS[:d]) for d in range(3, DEPTH + 1)),
+    *(([TESTS[d]], GRAMS[: d + 1]) for d in range(2, DEPTH + 1)),
+    (SUFFIXES[1:DEPTH], [*GRAMS[:DEPTH], *TESTS[1:]]),
+]
 #: The test's terms are summed as integers, this many to 1, so that sums do not depend on the blocks.
 UNIT = 1 << 12
 _BLOCK = [("block", pa.int64()), ("round", pa.int32()), ("part", pa.int32()), ("blob", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64()))]
@@ -49,8 +62,8 @@ def block_row(number: int, rows: list[tuple[bytes, int | None, bool]]) -> pa.Rec
     """A block of texts (text, id, held out): its distinct words' keys, where each token's stands among them, and the
     texts' ids, flags and numbers of tokens. Words are hashed once; the rounds read their places."""
     words, ptr = tokens([r[0] for r in rows])
-    keys = distinct(words)
-    return _rows([(number, -1, -1, _squeezed(np.diff(keys, prepend=np.uint64(0))), _squeezed(places(keys, words).astype("<u4")), [r[1] for r in rows], [r[2] for r in rows], np.diff(ptr).tolist())])
+    keys, at = distinct(words)
+    return _rows([(number, -1, -1, _squeezed(np.diff(keys, prepend=np.uint64(0))), _squeezed(at.astype("<u4")), [r[1] for r in rows], [r[2] for r in rows], np.diff(ptr).tolist())])
 
 
 def pack(batches):
@@ -70,6 +83,7 @@ def pack(batches):
             size += len(text)
     if held:
         yield block_row(number + 1, held)
+    give_back()
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,43 +95,64 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, ptr + np.arange(n + 1)
 
 
-def distinct(keys: np.ndarray) -> np.ndarray:
-    """The distinct keys, sorted."""
-    out = np.sort(keys)
-    keep = np.ones(len(out), bool)
-    keep[1:] = out[1:] != out[:-1]
-    return out[keep]
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and where each key stands among them.
 
+    One plain sort: each key's low bits give way to its place. Where that leaves the keys out of order, as two differ in
+    these bits alone, a stable sort of their places follows.
+    """
+    if not len(keys):
+        return keys, np.zeros(0, np.int32)
+    low = np.uint64((1 << len(keys).bit_length()) - 1)
+    order = keys & ~low
+    order |= np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    order &= low
+    order = order.view(np.int64)
+    own = keys[order]
+    if (own[1:] < own[:-1]).any():
+        order = np.argsort(keys, kind="stable")
+        own = keys[order]
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    found = own[new]
+    del own
+    ranks = np.cumsum(new, dtype=np.int32)
+    ranks -= 1
+    at = np.empty(len(ranks), np.int32)
+    at[order] = ranks
+    return found, at
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system (glibc keeps it else): a worker that waits holds none of its last block's."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+@lru_cache(maxsize=1)
+def _zstd() -> tuple:
+    """One compressor and one decompressor a process: messages are many, and each of these sets up tables."""
+    import zstandard
 
-def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Where each wanted key stands in distinct sorted keys that hold them all, spread evenly between first and last."""
-    if not len(wanted):
-        return np.zeros(0, np.int64)
-    low = keys[0]
-    shift = np.uint64(max(0, int(keys[-1] - low).bit_length() - len(keys).bit_length()))
-    slot = lambda x: ((x - low) >> shift).astype(np.int64)
-    sizes = np.bincount(slot(keys))
-    at = (np.cumsum(sizes) - sizes)[slot(wanted)]
-    left = np.flatnonzero(keys[at] != wanted)
-    while len(left):
-        at[left] += 1
-        left = left[keys[at[left]] != wanted[left]]
-    return at
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _squeezed(values: np.ndarray) -> bytes:
-    """The values' bytes, those of one significance together, compressed: high bytes are mostly alike."""
-    import zstandard
-
-    planes = np.ascontiguousarray(values).reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    """The values in as few bytes each as they need, those of one significance together, compressed; the width first."""
+    low, high = (int(values.min()), int(values.max())) if values.size else (0, 0)
+    width = next((w for w in (1, 2, 4) if -(1 << 8 * w - 1) <= low and high < 1 << 8 * w - 1), values.itemsize)
+    flat = np.ascontiguousarray(values).reshape(-1)
+    flat = flat.astype(f"<i{width}") if width < values.itemsize else flat
+    planes = flat.view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + _zstd()[0].compress(planes.tobytes())
 
 
 def _opened(blob: bytes, kind: str) -> np.ndarray:
-    import zstandard
-
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+    width, wide = blob[0], np.dtype(kind).itemsize
+    planes = np.frombuffer(_zstd()[1].decompress(memoryview(blob)[1:]), np.uint8)
+    flat = np.ascontiguousarray(planes.reshape(width, -1).T).reshape(-1)
+    return flat.view(f"<i{width}").astype(kind) if width < wide else flat.view(kind)
 
 
 def _spread(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> list[tuple]:
@@ -148,9 +183,8 @@ def answer(batches):
     """
     for rows in _groups(batches, "part", "round"):
         kind, each = rows[0]["round"], [np.cumsum(_opened(r["blob"], "<u8"), dtype=np.uint64) for r in rows]
-        asked = np.concatenate(each)
-        keys = distinct(asked)
-        where = np.split(places(keys, asked), np.cumsum([len(e) for e in each])[:-1])
+        keys, where = distinct(np.concatenate(each))
+        where = np.split(where, np.cumsum([len(e) for e in each])[:-1])
         if kind in TESTS[1:]:
             gain, kinds = np.zeros((2, len(keys)), np.int64)
             for r, at in zip(rows, where):
@@ -179,9 +213,9 @@ def _narrow(values: np.ndarray) -> np.ndarray:
 class Block:
     """The tokens of a block's texts, and what the rounds answered so far say of them."""
 
-    def __init__(self, rows: list[dict], done=(), n: int = 0, v: int = 0):
+    def __init__(self, rows: list[dict], done=(), n: int = 0, v: int = 0, last: bool = False):
         """rows: the texts and then the answers to the kinds `done`, by kind and part; n, v: training tokens and words of
-        the corpus."""
+        the corpus. Of the grams `done` has all up to a depth, of the tests all or none. last: no grams are asked for after."""
         self.text, said = rows[0], {k: [] for k in done}
         for r in rows[1:]:
             said[r["round"]].append(r.pop("counts"))
@@ -192,17 +226,18 @@ class Block:
         self.n, self.v = n, v
         opened = lambda k: np.concatenate([np.zeros(0, "<i8"), *(_opened(x, "<i8") for x in said.pop(k))])
         self.keys, self.at, self.grams = [keys], [at], self.words
-        self.counts, self.totals, self.owned, self.kinds, self.states, self.failed = [], [None], [], [None], [None], [None]
+        self.counts, self.totals, self.first, self.kinds, self.states, self.failed = [], [None], [], [None], [None], [None]
         for d in (d for d in range(DEPTH + 1) if GRAMS[d] in done):
-            mask = self.level(d)
-            value = np.zeros(len(self.words), np.int64)
-            value[mask] = opened(GRAMS[d])[self.at[d][mask]]
-            self.counts.append(_narrow(value >> 1))
-            self.owned.append((value & 1).astype(bool))
+            self.level(d)
+            value = np.append(opened(GRAMS[d]), 0)  # the last for tokens whose gram is not asked for, at -1
+            self.counts.append(_narrow(value >> 1)[self.at[d]])
+            self.first.append((value & 1).astype(bool))
             ends = self.counts[0][self.ptr[1:] - 1].max()
             self.totals.append(self.before(self.counts[d], ends))
             if d == 0:
                 self.base = (self.counts[0] + 0.1) / (n + 0.1 * (v + 1))
+        if last:
+            del self.words, self.grams
         for d in (d for d in range(1, DEPTH + 1) if TESTS[d] in done):
             kinds = self.of_contexts(d, self.totals[d] >= LEAST, opened(TESTS[d]))
             self.kinds.append(_narrow(np.abs(kinds)))
@@ -226,10 +261,10 @@ class Block:
         context = self.before(self.grams, END_HASH if d == 1 else START)
         self.grams = mix(context * np.uint64(0xD6E8FEB86659FD93) ^ self.words * np.uint64(0x9E3779B97F4A7C15) + np.uint64(d))
         mask = np.ones(len(self.words), bool) if d == 1 else (self.totals[d] >= LEAST) & (self.counts[d - 1] > 0)
-        asked = self.grams[mask]
-        self.keys.append(distinct(asked))
+        keys, own = distinct(self.grams[mask])
+        self.keys.append(keys)
         at = np.full(len(self.words), -1, np.int32)
-        at[mask] = places(self.keys[d], asked)
+        at[mask] = own
         self.at.append(at)
         return mask
 
@@ -244,7 +279,7 @@ class Block:
 
     def of_contexts(self, d: int, mask: np.ndarray, found: np.ndarray) -> np.ndarray:
         """The answers to the masked tokens' contexts, 0 elsewhere."""
-        out = np.zeros(len(self.words), np.int64)
+        out = np.zeros(len(self.train), np.int64)
         if len(found):
             out[mask] = found[self.contexts(d, mask)[1]]
         return out
@@ -258,7 +293,7 @@ class Block:
             d = TESTS.index(kind)
             mask = self.totals[d] >= LEAST
             keys, where = self.contexts(d, mask)
-            own = np.flatnonzero((self.train & self.owned[d])[mask])
+            own = np.flatnonzero((self.train & self.first[d][self.at[d]])[mask])
             tokens_ = np.flatnonzero(mask)[own]
             one = np.full(len(self.keys[d]), -1)
             one[self.at[d][tokens_]] = np.arange(len(own))
@@ -291,10 +326,13 @@ class Block:
 def ask(kinds: list[int], done: list[int], parts: int, n: int = 0, v: int = 0):
     def questions(batches):
         for rows in _groups(batches, "block"):
-            block = Block(rows, done, n, v)
-            found = [row for kind in kinds for row in _spread(rows[0]["block"], kind, *block.question(kind), parts)]
-            if found:
-                yield _rows(found)
+            block = Block(rows, done, n, v, not set(kinds) & set(GRAMS))
+            for kind in kinds:
+                found = _spread(rows[0]["block"], kind, *block.question(kind), parts)
+                if found:
+                    yield _rows(found)
+            del block, rows, found
+            give_back()
 
     return questions
 
@@ -395,17 +433,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         dealt = asked.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "round", "block")
         return written(dealt.mapInArrow(answer, BLOCK), "answers")
 
-    words = answered(blocks.mapInArrow(ask(ROUNDS[0], [], parts), BLOCK))
+    (first, _), (second, _), *later = ROUNDS
+    words = answered(blocks.mapInArrow(ask(first, [], parts), BLOCK))
     n, v = words.where("block is null").agg(F.sum(F.col("sizes")[0]), F.sum(F.col("sizes")[1])).first()
     # words and pairs are asked of texts alone
-    known = words.where("block is not null").unionByName(answered(blocks.mapInArrow(ask(ROUNDS[1], [], parts), BLOCK)))
-    done = [*ROUNDS[0], *ROUNDS[1]]
-    for kinds in ROUNDS[2:]:
-        known = known.unionByName(answered(by_block(known).mapInArrow(ask(kinds, done, parts, n, v), BLOCK)))
-        done = [*done, *kinds]
+    known = words.where("block is not null").unionByName(answered(blocks.mapInArrow(ask(second, [], parts), BLOCK)))
+    for kinds, needs in later:
+        own = by_block(known.where(F.col("round").isin(needs)))
+        known = known.unionByName(answered(own.mapInArrow(ask(kinds, needs, parts, n, v), BLOCK)))
+    done = [kind for kinds, _ in ROUNDS for kind in kinds]
 
-    def scores(batches, done=done):
+    def scores(batches):
         for rows in _groups(batches, "block"):
-            yield Block(rows, done, n, v).scores()
+            yield Block(rows, done, n, v, last=True).scores()
+            give_back()
 
     return by_block(known).mapInArrow(scores, SCORES).withColumnRenamed("doc_id", id_col)

@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from folioflux.llm import suffix_tree
@@ -109,3 +110,26 @@ def test_every_word_and_context_counts(spark, monkeypatch, block):
     assert len(tree.states) > 100 and set(got) == set(want)
     for d, x in want.items():
         assert math.isclose(got[d].score, x, rel_tol=1e-9), d
+
+
+def test_keys_and_messages():
+    """Keys that differ in their lowest bits alone keep their order; a message opens to what it was, in the bytes it needs."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, 50, dtype=np.uint64) & ~np.uint64(4095)
+    for keys in (base[rng.integers(0, 50, 2000)] | rng.integers(0, 4096, 2000, dtype=np.uint64), np.array([2**64 - 1, 0, 2**64 - 1], np.uint64), np.zeros(0, np.uint64)):
+        want, places = np.unique(keys, return_inverse=True)
+        got, at = suffix_tree.distinct(keys)
+        assert np.array_equal(got, want) and np.array_equal(at, places)
+    for kind, values in (("<i8", [-128, 127]), ("<i8", [-129]), ("<i8", [2**31]), ("<i8", [-(2**63), 2**63 - 1]), ("<u4", [0, 255, 2**32 - 1]), ("<u8", [2**64 - 1, 0]), ("<u8", [7]), ("<i8", [])):
+        assert suffix_tree._opened(suffix_tree._squeezed(np.array(values, kind)), kind).tolist() == values
+    assert len(suffix_tree._squeezed(rng.integers(0, 100, 1000).astype("<i8"))) < 1000
+
+
+def test_rounds_get_what_they_need():
+    """Each kind is asked once, after what it needs; no round but the last test reads the deepest grams' answers again."""
+    done = []
+    for kinds, needs in suffix_tree.ROUNDS:
+        assert set(needs) <= set(done) and not set(kinds) & set(done)
+        done += kinds
+    deepest = suffix_tree.GRAMS[suffix_tree.DEPTH]
+    assert [kinds for kinds, needs in suffix_tree.ROUNDS if deepest in needs] == [[suffix_tree.TESTS[suffix_tree.DEPTH]]]

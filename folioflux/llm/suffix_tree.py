@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflux.llm.kernels import mix, text_buffers, word_hashes
-from folioflux.llm.shared import small_arrow_batches, written
+from folioflux.llm.shared import kept, small_arrow_batches
 
 #: Occurrences in training that make a context a candidate
 LEAST, DEPTH = 2, 3
@@ -422,7 +422,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     small_arrow_batches(spark)
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held.alias("held"))
-    blocks = written(rows.mapInArrow(pack, BLOCK), "blocks")
+    blocks = kept(rows, pack, BLOCK, "blocks")
     size = blocks.agg(F.count("*").alias("n")).first()["n"]
     if not size:
         return spark.createDataFrame([], SCORES)
@@ -431,7 +431,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def answered(asked: DataFrame) -> DataFrame:
         dealt = asked.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "round", "block")
-        return written(dealt.mapInArrow(answer, BLOCK), "answers")
+        return kept(dealt, answer, BLOCK, "answers")
 
     (first, _), (second, _), *later = ROUNDS
     words = answered(blocks.mapInArrow(ask(first, [], parts), BLOCK))

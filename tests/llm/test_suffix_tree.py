@@ -1,13 +1,15 @@
 import math
 import random
 import re
+import shutil
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from folioflux.llm import suffix_tree
+from folioflux.llm import shared, suffix_tree
+from folioflux.llm.shared import kept
 
 
 def brute(rows):
@@ -133,3 +135,31 @@ def test_rounds_get_what_they_need():
         done += kinds
     deepest = suffix_tree.GRAMS[suffix_tree.DEPTH]
     assert [kinds for kinds, needs in suffix_tree.ROUNDS if deepest in needs] == [[suffix_tree.TESTS[suffix_tree.DEPTH]]]
+
+
+def test_tables_start_no_processes(spark, monkeypatch, tmp_path):
+    """Workers write the messages: Hadoop, which starts a process for each local file it makes, leaves none of its checksum files."""
+    monkeypatch.setattr(shared, "shared_folder", lambda spark: f"file://{tmp_path}")
+    got = suffix_tree.score(spark.createDataFrame(corpus(50), "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == 50
+    files = [p.name for p in tmp_path.rglob("*") if p.is_file()]
+    assert files and all(f.endswith(".parquet") and not f.startswith((".", "part-")) for f in files)
+
+
+def test_only_whole_tasks_are_kept(spark, monkeypatch, tmp_path):
+    """Rows of a task that failed or ran twice are not read; folders unknown to pyarrow go to Spark; no rows make an empty table."""
+
+    def make(batches):
+        yield from batches
+
+    rows = spark.range(100, numPartitions=5)
+    monkeypatch.setattr(shared, "shared_folder", lambda spark: f"file://{tmp_path}")
+    table = kept(rows, make, "id long", "some")
+    folder = next((tmp_path / "folioflux").iterdir())
+    shutil.copy(next(folder.glob("*.parquet")), folder / "_tasks" / "of-a-failed-task.parquet")
+    assert len(list(folder.glob("*.parquet"))) == 5
+    assert sorted(r.id for r in spark.read.schema("id long").parquet(str(folder)).collect()) == sorted(r.id for r in table.collect()) == list(range(100))
+    assert kept(rows.where("id < 0"), make, "id long", "none").collect() == []
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.shared.link./at", f"file://{tmp_path}")
+    monkeypatch.setattr(shared, "shared_folder", lambda spark: "viewfs://shared/at")
+    assert sorted(r.id for r in kept(rows, make, "id long", "other").collect()) == list(range(100))

@@ -78,9 +78,15 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflux.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_token_records, op3_transducer_bpe, op4_suffix_tree, op5_license_scan, op6_exact_top_k, op7_url_filter, op8_token_counts, op9_language_id, op10_lsh_forest)
+    for f in (op1_decontamination, op2_token_records, op3_transducer_bpe, op4_suffix_tree, op5_license_scan, op6_exact_top_k, op7_url_filter, op8_token_counts, op9_language_id, op10_lsh_forest, op13_filter_audit)
 }
 _SHINGLES = """
     select id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
@@ -136,4 +142,30 @@ ORACLES: dict[str, str] = {
         select doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.c as component_id, doc_id = m.c as kept
         from documents join m on m.id = doc_id left join n on n.id = doc_id
     """,
+    "op13_filter_audit": """
+        with l as (select doc_id, max(coalesce(quality = 1, false)) as good, max(coalesce(toxic = 1, false)) as toxic from labels group by doc_id),
+             d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+             w as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w, min(doc_id) over (partition by t) as first_id from d),
+             f as (select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, len(w) < 50 as a, 100 * len(list_distinct(w)) < 65 * len(w) as b,
+                          100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t) as c, regexp_matches(t, '[#$%&*|]') as d, coalesce(w.doc_id > first_id, false) as e
+                   from w left join l on l.doc_id = w.doc_id),
+             m as (select part, good, toxic, a::int + 2 * b::int + 4 * c::int + 8 * d::int + 16 * e::int as mask, count(*) as n from f group by all),
+             x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+             o as (select p.x || q.x || r.x || s.x || t.x as filter_order from x p, x q, x r, x s, x t
+                   where p.x not in (q.x, r.x, s.x, t.x) and q.x not in (r.x, s.x, t.x) and r.x not in (s.x, t.x) and s.x <> t.x),
+             g as (select *, (1 << (instr('ABCDE', substr(filter_order, step, 1)) - 1))::int as bit,
+                          list_sum([0] || list_transform(range(1, step), lambda i: (1 << (instr('ABCDE', substr(filter_order, i::int, 1)) - 1))::int))::int as before
+                   from (select filter_order, unnest([1, 2, 3, 4, 5]) as step from o)),
+             r as (select part, filter_order, step, bit,
+                          sum(case when mask & (before | bit) = 0 then n else 0 end) as kept,
+                          sum(case when mask & before = 0 and mask & bit <> 0 then n else 0 end) as removed,
+                          sum(case when mask & before <> 0 and mask & bit <> 0 then n else 0 end) as redundant,
+                          sum(case when mask = bit then n else 0 end) as unique_fails,
+                          sum(case when good and mask & before = 0 and mask & bit <> 0 then n else 0 end) as good_lost,
+                          sum(case when toxic and mask & before = 0 and mask & bit <> 0 then n else 0 end) as toxic_lost
+                   from m, g group by all)
+        select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+               good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, bit))::bigint as shapley
+        from r
+    """,
 }

@@ -78,6 +78,12 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflux.llm.secret_scan import secret_digests
+
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflux.llm.filter_audit import audit
 
@@ -86,7 +92,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_token_records, op3_transducer_bpe, op4_suffix_tree, op5_license_scan, op6_exact_top_k, op7_url_filter, op8_token_counts, op9_language_id, op10_lsh_forest, op13_filter_audit)
+    for f in (op1_decontamination, op2_token_records, op3_transducer_bpe, op4_suffix_tree, op5_license_scan, op6_exact_top_k, op7_url_filter, op8_token_counts, op9_language_id, op10_lsh_forest, op11_secret_scan, op13_filter_audit)
 }
 _SHINGLES = """
     select id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
@@ -112,6 +118,49 @@ def _license_sql() -> str:
     """
 
 
+#: The table of CRC-32 as a list of 256, and the CRC-32 of a list of bytes {} by it
+_CRC_TABLE = "list_transform(range(0, 256), lambda n: list_reduce([n] || range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))"
+_CRC = "xor(4294967295, list_reduce([4294967295::bigint] || {}, lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])))"
+
+
+def _secret_sql() -> str:
+    """Matches are marked in the text by two private characters; a match starts after the text of the pieces before it."""
+    word = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+    assign = f"""({word})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    body = lambda m: f"substr({m}, instr({m}, '_') + 1)"
+    numbers = lambda x, of: f"list_transform(range(1, len({x}) + 1), lambda i: ({of.format(f'substr({x}, i::int, 1)')})::bigint)"
+    sixty_two = "instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', {}) - 1"
+    crc = f"{_CRC.format(numbers(f'left({body("m")}, 30)', 'ascii({})'))} = list_reduce([0::bigint] || {numbers(f'right({body("m")}, 6)', sixty_two)}, lambda x, y: 62 * x + y)"
+    age = numbers("right(m, 58)", "instr('QPZRY9X8GF2TVDW0S3JN54KHCE6MUA7L', {}) - 1")
+    prefix = [ord(c) for c in "age-secret-key-"]
+    steps = "xor(" * 5 + "xor((c & 33554431) << 5, v)" + "".join(f", case when (c >> 25) & {1 << k} <> 0 then {g} else 0 end)" for k, g in enumerate((996825010, 642813549, 513874426, 1027748829, 705979059)))
+    bech = f"list_reduce([1::bigint] || {[c >> 5 for c in prefix] + [0] + [c & 31 for c in prefix]}::bigint[] || {age}, lambda c, v: {steps}) = 1"
+    kinds = [
+        ("assign", assign, f"len(regexp_extract(m, '{assign}', 2)) >= 6"),
+        ("access", "AKIA[A-Z0-9]+", "len(m) >= 20"),
+        ("hex", "[0-9a-f]{24,}", "true"),
+        ("forge", "gh[pousr]_[A-Za-z0-9]{36}\\b", crc),
+        ("registry", "npm_[A-Za-z0-9]{36}\\b", crc),
+        ("age", "AGE-SECRET-KEY-1[02-9AC-HJ-NP-Z]{58}\\b", bech),
+    ]
+    marked = " union all ".join(f"select n, {k} as kind, string_split(regexp_replace(t, '{p}', chr(57344) || '\\0' || chr(57345), 'g'), chr(57344)) as p from d" for k, (_, p, _) in enumerate(kinds))
+    start = "list_sum(list_transform(p[:i], lambda x: len(replace(x, chr(57345), ''))))::bigint"
+    holds = "case kind " + " ".join(f"when {k} then {test}" for k, (_, _, test) in enumerate(kinds)) + " end"
+    name = "case kind " + " ".join(f"when {k} then '{x}'" for k, (x, _, _) in enumerate(kinds)) + " end"
+    listed = lambda which: f"coalesce(string_agg(span, ',' order by s, kind) {which}, '')"
+    counted = lambda k: f"(count(*) filter (kind = {k}))::bigint as n_{kinds[k][0]}"
+    return f"""
+        with d as (select row_number() over () as n, doc_id, coalesce(text, '') as t from documents),
+             p as ({marked}),
+             i as (select n, kind, p, unnest(range(1, len(p))) as i from p where len(p) > 1),
+             m as (select n, kind, split_part(p[i + 1], chr(57345), 1) as m, {start} as s, {_CRC_TABLE} as crc_table from i),
+             h as (select n, kind, s, {name} || ':' || s || ':' || (s + len(m)) as span from m where {holds}),
+             g as (select n, {", ".join(map(counted, range(3)))}, {listed("filter (kind < 3)")} as base, {listed("")} as spans from h group by n)
+        select doc_id, {", ".join(f"coalesce(n_{x}, 0)::bigint as n_{x}" for x, _, _ in kinds[:3])}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+        from d left join g using (n)
+    """
+
+
 ORACLES: dict[str, str] = {
     "op5_license_scan": _license_sql(),
     "op1_decontamination": f"""
@@ -142,6 +191,7 @@ ORACLES: dict[str, str] = {
         select doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.c as component_id, doc_id = m.c as kept
         from documents join m on m.id = doc_id left join n on n.id = doc_id
     """,
+    "op11_secret_scan": _secret_sql(),
     "op13_filter_audit": """
         with l as (select doc_id, max(coalesce(quality = 1, false)) as good, max(coalesce(toxic = 1, false)) as toxic from labels group by doc_id),
              d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),

@@ -1,12 +1,13 @@
 """Filter interaction audit: what each of five document filters removes in every order of applying them.
 
-A relational pipeline: words are exploded, counted by (text, word) and then by text for totals and distinct words; these
+A relational pipeline: words are exploded, counted by (row, word) and then by row for totals and distinct words; these
 are outer-joined to the flags that need no words and to the labels; one aggregation by part then fills 32 conditional
 counts, one for each set of filters that a row fails. Every order, step, loss and Shapley sum follows from these counts,
-so the rows are read twice and not once an order.
+so the rows are not gone through once an order.
 
-Texts are known by their MD5 digest (128 bits), so copies meet in the partial aggregations before each shuffle: a text
-with any number of copies sends its words once a task.
+A row is known by a digest of its id and text. Texts are shuffled once, by that digest: both word counts are then made
+where they lie, and no copy, source or frequent word makes a hot group. For the search of copies only digests of texts
+travel, counted before they are sent.
 """
 
 from __future__ import annotations
@@ -27,19 +28,26 @@ LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS = 50, 65, 5
 MARKS = r"[#$%&*|]"
 #: What parts words: \x20 and \x09-\x0D, each named, which Java looks up in one table
 GAPS = r"[\x09\x0A\x0B\x0C\x0D\x20]+"
-#: A text's words are counted in so many groups, so that a text with copies in every task is no single task's work
-GROUPS = 4
+#: Bytes of text to a partition when words are counted; a partition's distinct (row, word) take about ten times that
+PARTITION_BYTES = 16 << 20
 KINDS = ("kept", "good", "toxic")
 
 
-def word_counts(texts: DataFrame, groups: int = GROUPS) -> DataFrame:
-    """key, words and distinct words of each key's rows (columns key, text); keys without words are left out.
+def word_counts(texts: DataFrame, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """row, its times (how often it stands in texts), n_words of all of them and n_distinct (columns row, text).
 
-    Words of rows with one key add up; distinct ones do not. One shuffle of (key, word) after partial aggregation.
+    The texts are the only thing shuffled. A blank, which is no word, is added to each text and counts it.
     """
-    words = texts.select("key", F.explode(F.split("text", GAPS)).alias("word")).where("word <> ''")
-    by_group = words.groupBy("key", F.pmod(F.hash("word"), F.lit(groups)).alias("part_of_words")).agg(F.count("word").alias("n"), F.count_distinct("word").alias("d"))
-    return by_group.groupBy("key").agg(F.sum("n").alias("n_words"), F.sum("d").alias("n_distinct"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    placed = texts.repartition(max(1, -(-size // partition_bytes)), "row")
+    words = placed.select("row", F.explode(F.concat(F.split("text", GAPS), F.array(F.lit(" ")))).alias("word")).where("word <> ''")
+    by_word = words.groupBy("row", "word").agg(F.count("*").alias("n"))
+    blank = F.col("word") == " "
+    return by_word.groupBy("row").agg(
+        F.sum(F.when(blank, F.col("n"))).alias("times"),
+        F.sum(F.when(~blank, F.col("n")).otherwise(0)).alias("n_words"),
+        F.count(F.when(~blank, 1)).alias("n_distinct"),
+    )
 
 
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -59,28 +67,27 @@ def failures(docs: DataFrame, labels: DataFrame, part_col: str) -> DataFrame:
     Columns part, good, is_toxic, failed, n_first (rows that pass E), n_copies (rows that fail it).
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.unhex(F.md5(text)).alias("key")
-    rows = docs.select(
+    whose = F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.lit("none"))
+    row = F.unhex(F.md5(F.concat(whose, F.lit(":"), text))).alias("row")
+    flags = docs.select(
         F.col("doc_id").alias("id"),
         F.coalesce(F.col(part_col), F.lit("")).alias("part"),
-        key,
+        row,
+        F.unhex(F.md5(text)).alias("key"),
         (100 * F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long") > MOST_CAPITALS * F.length(text).cast("long")).alias("c"),
         text.rlike(MARKS).alias("d"),
     )
-    by_id = labelled(rows, labels).groupBy("id", "spread", "key", "part", "good", "is_toxic", "c", "d").agg(F.count("*").alias("n"))
+    few = (F.col("n_words") < LEAST_WORDS * F.col("times")).alias("a")
+    alike = (100 * F.col("n_distinct") * F.col("times") < LEAST_DISTINCT * F.col("n_words")).alias("b")
+    found = flags.join(word_counts(docs.select(row, text.alias("text"))), "row", "left").select("id", "part", "key", few, alike, "c", "d")
+    failed = sum((F.when(F.col(c), 1 << k).otherwise(0) for k, c in enumerate("abcd")), F.lit(0))
+    by_id = labelled(found.withColumn("failed", failed), labels).groupBy("id", "spread", "key", "part", "good", "is_toxic", "failed").agg(F.count("*").alias("n"))
     least = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "n"))).alias("least")
-    groups = by_id.groupBy("key", "part", "good", "is_toxic", "c", "d").agg(F.sum("n").alias("n"), least, F.sum(F.when(F.col("id").isNull(), F.col("n")).otherwise(0)).alias("n_without_id"))
+    groups = by_id.groupBy("key", "part", "good", "is_toxic", "failed").agg(F.sum("n").alias("n"), least, F.sum(F.when(F.col("id").isNull(), F.col("n")).otherwise(0)).alias("n_without_id"))
     groups = written(groups, "audit")
-    texts = groups.groupBy("key").agg(F.sum("n").alias("copies"), F.min("least.id").alias("first_id"))
-    texts = texts.join(word_counts(docs.select(key, text.alias("text"))), "key", "left").select(
-        "key",
-        "first_id",
-        (F.coalesce("n_words", F.lit(0)) < LEAST_WORDS * F.col("copies")).alias("a"),
-        F.coalesce(100 * F.col("n_distinct") * F.col("copies") < LEAST_DISTINCT * F.col("n_words"), F.lit(False)).alias("b"),
-    )
+    firsts = groups.groupBy("key").agg(F.min("least.id").alias("first_id"))
     first = F.col("n_without_id") + F.when(F.col("least.id") == F.col("first_id"), F.col("least.n")).otherwise(0)
-    failed = sum((F.when(F.col(c), 1 << k).otherwise(0) for k, c in enumerate("abcd")), F.lit(0))
-    return groups.join(texts, "key").select("part", "good", "is_toxic", failed.alias("failed"), first.alias("n_first"), (F.col("n") - first).alias("n_copies"))
+    return groups.join(firsts, "key").select("part", "good", "is_toxic", "failed", first.alias("n_first"), (F.col("n") - first).alias("n_copies"))
 
 
 def conditional_counts(rows: DataFrame) -> DataFrame:
@@ -122,7 +129,7 @@ def audit(docs: DataFrame, labels: DataFrame, part_col: str = "source") -> DataF
     C: over 5 per cent of the code points A-Z; D: holds a mark; E: identical to the text of a smaller id. Null texts are
     empty. Rows without id fail E never and make no other row fail it; rows that repeat an id and a text are alike. Ids
     that labels repeats have what any of its rows says, nulls say nothing. An empty table gives no rows; other columns
-    are not read. Texts are not shuffled, but their distinct words are.
+    are not read.
     """
     counts = conditional_counts(failures(docs, labels, part_col))
     sets = counts.select("part", *map(_survivors, KINDS)).withColumn("shapley_of", _shapley())

@@ -67,9 +67,9 @@ def test_a_hot_text_and_a_very_long_one(spark):
     assert got(spark, docs, labels) == brute(docs, labels)
 
 
-def test_words_are_counted_before_they_are_sent(spark):
-    """One shuffle holds (key, word); the copies of a text come to it once a task."""
-    rows = spark.range(4000, numPartitions=2).select(F.lit("k").alias("key"), F.lit("one two two three").alias("text"))
-    assert [tuple(r) for r in A.word_counts(rows).collect()] == [("k", 16000, 3)]
-    plan = A.word_counts(rows)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 2
+def test_texts_are_the_only_shuffle_of_word_counts(spark):
+    rows = spark.range(400, numPartitions=2).select(F.lit("r").alias("row"), F.lit("one two two three").alias("text")).union(spark.createDataFrame([("e", " "), ("f", "")], "row string, text string"))
+    counts = A.word_counts(rows, partition_bytes=500)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and f"{-(-6801 // 500)}, REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, counts.collect())) == [("e", 1, 0, 0), ("f", 1, 0, 0), ("r", 400, 1600, 3)]

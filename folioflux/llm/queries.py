@@ -84,6 +84,12 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflux.llm.spelling import group_variants
+
+    return group_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflux.llm.filter_audit import audit
 
@@ -92,7 +98,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_token_records, op3_transducer_bpe, op4_suffix_tree, op5_license_scan, op6_exact_top_k, op7_url_filter, op8_token_counts, op9_language_id, op10_lsh_forest, op11_secret_scan, op13_filter_audit)
+    for f in (op1_decontamination, op2_token_records, op3_transducer_bpe, op4_suffix_tree, op5_license_scan, op6_exact_top_k, op7_url_filter, op8_token_counts, op9_language_id, op10_lsh_forest, op11_secret_scan, op12_spelling_variants, op13_filter_audit)
 }
 _SHINGLES = """
     select id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
@@ -192,6 +198,23 @@ ORACLES: dict[str, str] = {
         from documents join m on m.id = doc_id left join n on n.id = doc_id
     """,
     "op11_secret_scan": _secret_sql(),
+    "op12_spelling_variants": f"""
+        with recursive r as (select coalesce(doc_id::varchar, '') as id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+             c as (select id, run, count(*) as n, list_transform(range(1, len(id) + len(run) + 2), lambda i: unicode(substr(id || ':' || run, i::int, 1))) as points, {_CRC_TABLE} as crc_table
+                   from r where len(run) >= 6 group by id, run),
+             h as (select run, n, {_CRC.format("flatten(list_transform(points, lambda p: case when p < 128 then [p::bigint] else [195::bigint, p::bigint - 64] end))")} as h from c),
+             o as (select case when h % 199 = 0 then left(run, (h % len(run))::int) || substr(run, (h % len(run))::int + 2) else run end as word, n from h),
+             w as (select word, sum(n)::bigint as n from o where len(word) >= 6 group by word having sum(n) >= 5),
+             x as (select word, n, i, left(word, i::int - 1) || substr(word, i::int + 1) as less from (select word, n, unnest(range(1, len(word) + 1)) as i from w)),
+             p as (select distinct a.word, b.word as near, b.n from x a join x b on a.i = b.i and a.less = b.less and a.word <> b.word and len(a.word) = len(b.word)
+                   union select a.word, b.word, b.n from x a join w b on a.less = b.word union select b.word, a.word, a.n from x a join w b on a.less = b.word),
+             k as (select *, row_number() over (partition by word order by n desc, near) as k, count(*) over (partition by word) as n_near from p),
+             f as (select w.word, w.n, coalesce(k.n_near, 0)::bigint as n_near, case when k.n >= 5 * w.n then k.near end as form, case when k.n >= 5 * w.n then k.n end as form_n
+                   from w left join k on k.word = w.word and k.k = 1),
+             l(word, root) as (select word, form from f where form is not null union select l.word, f.form from l join f on f.word = l.root where f.form is not null),
+             e as (select l.word, l.root from l join f on f.word = l.root where f.form is null)
+        select f.word, f.form, coalesce(e.root, f.word) as root, f.n, f.n_near, f.form_n from f left join e on e.word = f.word
+    """,
     "op13_filter_audit": """
         with l as (select doc_id, max(coalesce(quality = 1, false)) as good, max(coalesce(toxic = 1, false)) as toxic from labels group by doc_id),
              d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),

@@ -87,20 +87,39 @@ class Model:
         return out, counts
 
 
+def _smallest(batches, most: int):
+    """The `most` smallest distinct hashes of each language among a task's rows (lang, h)."""
+    held: dict[str, np.ndarray] = {}
+    for batch in batches:
+        names = batch.column(0).dictionary_encode()
+        which, hashes = names.indices.to_numpy(), batch.column(1).to_numpy()
+        for k, lang in enumerate(names.dictionary.to_pylist()):
+            own = np.unique(hashes[which == k])[:most]
+            held[lang] = np.union1d(held[lang], own)[:most] if lang in held else own
+    for lang, hashes in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hashes), pa.string()), pa.array(hashes, pa.int64())], ["lang", "h"])
+
+
+def training_hashes(rows: DataFrame, sample: int) -> DataFrame:
+    """lang, h: the `sample` smallest distinct hashes of each language of rows (lang, h), or all it has.
+
+    A task sends at most `sample` rows a language, so copies and very frequent languages cost no more than others.
+    """
+    own = rows.select("lang", "h").mapInArrow(lambda batches: _smallest(batches, sample), "lang string, h long").distinct()
+    return own.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample).drop("k")
+
+
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model of the `sample` distinct texts of each labelled language that have the smallest hashes."""
-    spark = labelled.sparkSession
-    small_arrow_batches(spark)
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text <> '' and lang is not null")
-    # hashes are even over 64 bits: below this one a language has four times the sample, however many rows there are
-    sizes = rows.groupBy("lang").count().collect()
-    if not sizes:
-        return Model([])
-    most = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(2**63 - 1, 4 * sample * 2**64 // r["count"] - 2**63))))
-    low = rows.withColumn("h", F.xxhash64("text")).where(F.col("h") <= most[F.col("lang")])
-    order = Window.partitionBy("lang").orderBy("h")
-    first = low.select("lang", "h").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).drop("k")
-    chosen = low.join(F.broadcast(first), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])  # of copies one
+    """A model of the `sample` distinct texts of each labelled language that have the smallest hashes.
+
+    However many rows a language has and however often its texts repeat, it is trained on `sample` distinct texts, or on
+    all if it has fewer. Null and empty texts and rows without a language are left out; without rows the model knows no
+    language.
+    """
+    small_arrow_batches(labelled.sparkSession)
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text <> '' and lang is not null").withColumn("h", F.xxhash64("text"))
+    first = F.broadcast(written(training_hashes(rows, sample), "training"))  # `sample` rows of two values a language
+    chosen = rows.join(first, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])  # of copies one
     counts = chosen.select("text", "lang").mapInArrow(_bucket_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     return Model([tuple(r) for r in counts.collect()])  # at most BUCKETS rows a language
 

@@ -19,6 +19,11 @@ from folioflux.llm.shared import filesystem, new_folder, small_arrow_batches
 from folioflux.llm.tokenizing import LETTER, NUMBER, SPACE, UNSAFE, Generations, tokenizer
 
 _MAGIC = b"MADT0001"
+#: Fixed: the normalizer and the pattern that the fast path stands for
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters that only the library classifies: those outside the safe range, before or after they are lower-cased
+_RARE = re.compile(f"{UNSAFE.pattern}|[{''.join(c for c in map(chr, range(0xA1, 0x250)) if UNSAFE.search(c.lower()))}]")
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
 
 
@@ -147,12 +152,32 @@ def lexicon(path: str) -> Lexicon:
 # ---------------------------------------------------------------- exact merging
 
 
+def _known(spec: dict) -> bool:
+    """Whether the fast path may cut a file's texts into words; a file that WordBpe can't stand for raises."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    steps = before.get("pretokenizers", [before])
+    last = steps[-1]
+    other = [x for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(x)]
+    by_bytes = last.get("type") == "ByteLevel" and not last.get("add_prefix_space", True)
+    marked = [t["content"] for t in spec.get("added_tokens") or [] if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized")]
+    if model.get("type") != "BPE" or other or not by_bytes or spec.get("decoder") or marked:
+        raise ValueError(f"not a plain word-level BPE over bytes: {other or marked or [model.get('type'), last.get('type'), spec.get('decoder')]}")
+    first = steps[0] if len(steps) == 2 else {}
+    usual = (first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", {"Regex": _PATTERN}, "Removed", True)
+    return bool(usual and not last.get("use_regex", True) and spec.get("normalizer") == _NORMAL)
+
+
 class WordBpe:
-    """A word-level BPE tokenizer file: its words, its merges, its decoding."""
+    """A word-level BPE tokenizer file: its words, its merges, its decoding.
+
+    Words come from the library's normalizer and pre-tokenizer, or from one expression where the file has the pattern
+    that it stands for and the text no character that the library alone classifies.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.fast = _known(spec)
         model = spec["model"]
         self.vocab = model["vocab"]
         pairs = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
@@ -177,11 +202,11 @@ class WordBpe:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        if not UNSAFE.search(text):
+        if self.fast and not _RARE.search(text):
             return _WORDS.findall(text.lower())
-        library = tokenizer(self.path)  # classes of rare characters are the library's own
+        library = tokenizer(self.path)
         back = {s: b for b, s in enumerate(self.symbols)}
-        pieces = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))
+        pieces = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text) if library.normalizer else text)
         return [bytes(back[c] for c in p).decode("utf-8", "surrogateescape") for p, _ in pieces]
 
     def merge(self, word: str) -> list[int]:

@@ -185,3 +185,34 @@ def test_a_worker_holds_a_bounded_table_of_pretokens():
         held = max(held, sum(x.nbytes for x in vars(encoder.table).values() if isinstance(x, np.ndarray)))
     assert max(calls) <= 2048 and held < 100e6
     assert ids.tolist() == lib.encode(texts[-1], add_special_tokens=False).ids
+
+
+def test_every_latin_character_has_the_librarys_ids():
+    """Each code point to U+024F alone, beside a letter and beside a comma; words of languages that use rare letters."""
+    lib, model = Tokenizer.from_file(WORD), T.WordBpe(WORD)
+    texts = [f"{a}{chr(c)}{b}" for c in range(0x250) for a in ("", "a", ",") for b in ("", "a", ",", "Z")]
+    texts += ["Ɔkwan", "Ɓera", "Ɗan Ɓauna", ",Ɛ", "ƐƆ Ŋutɔ ƲƗ", "Ⱥȿ", "İSTANBUL", "ŒUVRE ß ẞ", "Ǆ ǅ Ǉ"]
+    for t in texts:
+        ids = [i for w in model.words(t) for i in ([w] if isinstance(w, int) else model.merge(w))]
+        assert ids == lib.encode(t, add_special_tokens=False).ids, t
+
+
+def test_other_files_go_to_the_library_or_are_refused(tmp_path):
+    import json
+
+    with open(WORD, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = None
+    cased = tmp_path / "cased.json"
+    cased.write_text(json.dumps(spec))
+    lib, model = Tokenizer.from_file(str(cased)), T.WordBpe(str(cased))
+    assert not model.fast and T.WordBpe(WORD).fast
+    for t in ("Some  Words, and 12", "ÀB", "a<|endoftext|>B", "é\n"):
+        assert [i for w in model.words(t) for i in ([w] if isinstance(w, int) else model.merge(w))] == lib.encode(t, add_special_tokens=False).ids, t
+    for key, value in (("unk_token", "?"), ("dropout", 0.5), ("byte_fallback", True)):
+        bad = tmp_path / f"{key}.json"
+        bad.write_text(json.dumps({**spec, "model": {**spec["model"], key: value}}))
+        with pytest.raises(ValueError):
+            T.WordBpe(str(bad))
+    with pytest.raises(ValueError):
+        T.WordBpe(BYTE)

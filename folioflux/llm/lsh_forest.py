@@ -245,29 +245,26 @@ def across(batches):
 
 
 def sets_of_texts(batches):
-    """node and its set for rows doc_id, text, node whose text has that node's set, or any where node is null."""
+    """node and its set for rows doc_id, text, node whose text has that node's set."""
     for batch in batches:
         for part in arrow_rows(batch):
             values, ptr, nodes = _sets(part.column(1))
-            keep = [i for i, (n, want) in enumerate(zip(nodes, part.column(2).to_pylist())) if n is not None and want in (None, n)]
+            keep = [i for i, (n, want) in enumerate(zip(nodes, part.column(2).to_pylist())) if n is not None and n == want]
             yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in keep], pa.int64()), pa.array([values[ptr[i] : ptr[i + 1]].tobytes() for i in keep], pa.binary())], ["node", "set"])
 
 
 def full_sets(texts: DataFrame, firsts: DataFrame) -> DataFrame:
-    """node, set (sorted little-endian u64 shingles) for the nodes of `firsts` (node, doc_id), from texts (doc_id, text).
+    """node, set (sorted little-endian u64 shingles) for the nodes of `firsts` (node, doc_id, digest), from texts (doc_id,
+    text, digest).
 
-    A bounded count of ids is broadcast; beyond it the join is shuffled. Nodes whose rows all have a null id are found
-    by the digest of the texts without an id.
+    A node's text is found by its id, null ones too, and its digest, so an id that many texts share gives each once. A
+    bounded count of nodes is broadcast; beyond it the join is shuffled.
     """
-    wanted = firsts.where("doc_id is not null").select("doc_id", "node")
-    found = texts.join(bounded(wanted), "doc_id").select("doc_id", "text", "node")
-    sets = found.mapInArrow(sets_of_texts, "node long, set binary")
-    nameless = firsts.where("doc_id is null").select("node")
-    if not nameless.isEmpty():
-        others = texts.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("long").alias("node"))
-        sets = sets.unionByName(others.mapInArrow(sets_of_texts, "node long, set binary").join(nameless, "node", "left_semi"))
+    wanted = bounded(firsts.select("node", F.col("doc_id").alias("wanted_id"), F.col("digest").alias("wanted_digest")))
+    same = (F.col("digest") == F.col("wanted_digest")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))
+    found = texts.join(wanted, same).select("doc_id", "text", "node")
     # rows that repeat an id and a text give their set once
-    return sets.dropDuplicates(["node"])
+    return found.mapInArrow(sets_of_texts, "node long, set binary").dropDuplicates(["node"])
 
 
 def confirm(batches):
@@ -345,11 +342,13 @@ def _decisions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_digest(text_col).alias("digest"))
     signed = written(texts.mapInArrow(sign, SIGNED), "signed")
     # a class has one set, so its keys and signatures are equal; its doc_id is null only where all its ids are
-    nodes = written(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("keys").alias("keys"), F.min("sig").alias("sig")), "nodes")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least")
+    nodes = signed.where("node is not null").groupBy("node").agg(least, F.min("keys").alias("keys"), F.min("sig").alias("sig"))
+    nodes = written(nodes.select("node", "least.doc_id", "least.digest", "keys", "sig"), "nodes")
     regions = _regions(nodes)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        firsts = written(nodes.select("node", "doc_id").join(wanted, "node"), "firsts")
+        firsts = written(nodes.select("node", "doc_id", "digest").join(wanted, "node"), "firsts")
         return written(full_sets(texts, firsts), "sets")
 
     orders = regions.select("run", "sig", "node").repartitionByRange("run", "sig").sortWithinPartitions("run", "sig")

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 
@@ -156,3 +157,21 @@ def test_large_components_do_not_meet_in_one_task(spark, monkeypatch):
     monkeypatch.setattr(lsh_forest, "_with_firsts", lambda *a: real(*a, most=4))
     assert rows() == want
     assert len(want) == len(texts)
+
+
+def test_many_texts_under_one_id_and_clashing_columns(spark):
+    """Texts are found by id and digest: an id that all rows share costs what ids of their own cost."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(300)) for _ in range(30)) for _ in range(3000)]
+    texts += [t + " more" for t in texts[:500]] + texts[:200]
+    took = {}
+    for name, ids in (("own", range(len(texts))), ("one", [7] * len(texts)), ("none", [None] * len(texts))):
+        rows = [(i, t, "x", 1, "y", True) for i, t in zip(ids, texts)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, node string, comp int, digest string, chosen boolean").repartition(4)
+        began = time.perf_counter()
+        got = lsh_forest.decisions(df).collect()
+        took[name] = time.perf_counter() - began
+        chosen = {r.digest for r in got if r.chosen}
+        assert len(got) == len(texts) and len(chosen) == 3000
+        assert {r.component_id for r in got} == ({None} if name == "none" else {7} if name == "one" else set(range(3000)))
+    assert max(took["one"], took["none"]) < 3 * took["own"] + 5

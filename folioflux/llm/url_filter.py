@@ -30,9 +30,12 @@ def host_and_path(url):
 
 
 def by_rules(host, path, rules=None):
-    """Struct rule, verdict of the longest rule that fits (null: none); a rule fits its host and all subdomains."""
+    """Struct rule, verdict of the longest rule that fits (null: none); a rule fits its host and all subdomains.
+
+    rules: (host, path prefix, verdict); None stands for RULES, an empty list for no rules.
+    """
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for h, p, v in sorted(rules or RULES, key=lambda r: len(r[0] + r[1])):
+    for h, p, v in sorted(RULES if rules is None else rules, key=lambda r: len(r[0] + r[1])):
         fits = ((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p))
         out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))).otherwise(out)
     return out

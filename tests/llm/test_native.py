@@ -1,7 +1,9 @@
+import math
 import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +107,60 @@ def test_urls(spark, labelled):
     right = sum((r.verdict == "allow") == r.host.startswith(good) for r in model)
     assert right > 0.95 * len(model) if labelled else all(r.verdict == "allow" for r in model)
     assert judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def ratio_by_hand(strings, gram):
+    """log P of a gram's last character, Witten-Bell over contexts of 0 to 3 characters, from lists of strings by class."""
+    logs = {}
+    for side, own in strings.items():
+        ends = [s[k : k + 4] for s in own for k in range(len(s) - 3)]
+        p = 1 / 32
+        for k in range(4):
+            follow = [e[-1] for e in ends if e[3 - k : 3] == gram[3 - k : 3]]
+            kinds = len(set(follow))
+            p = (follow.count(gram[3]) + kinds * p) / (len(follow) + kinds) if follow else p
+        logs[side] = math.log(p)
+    return logs["allow"] - logs["block"]
+
+
+def test_scores_and_threshold_against_brute_force(spark):
+    rng = random.Random(8)
+    part = lambda kind: "".join(rng.choice(["ab", "news", "x-", "9", "É"] if kind else ["zz", "spam", "q", "77", "_"]) for _ in range(rng.randrange(1, 6)))
+    urls = [f"http://{part(1)}.org/fr/{part(1)}" for _ in range(25)] + [f"https://{part(0)}.net/{part(0)}?x" for _ in range(25)] + [f"ftp://{part(k % 2)}.com/{part(k % 2)}" for k in range(20)]
+    urls += [urls[0]] * 3 + [None, "", "no url", "://", "a://b", "http://net/" + "spam" * 30_000, "http://x.com/" + "news" * 30_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in judge_urls(df).collect()}
+
+    texts = {}
+    for u in urls:
+        host, path, rule = rule_of(u)
+        s = "^^^" + re.sub("[^a-z0./-]", "*", "".join("0" if c in "0123456789" else c.lower() if c.isascii() else c for c in host + path))
+        texts.setdefault(s, []).append(rule and rule[1])
+    folds = {r.s: r.f for r in spark.createDataFrame([(s,) for s in texts], "s string").selectExpr("s", "pmod(xxhash64(s), 5) f").collect()}
+    label = {s: "allow" if v.count("allow") >= v.count("block") else "block" for s, v in texts.items() if any(v)}
+    fit = {side: [s for s in label if label[s] == side and folds[s]] for side in ("allow", "block")}
+    known: dict = {}
+
+    def score(s):
+        grams = [s[k : k + 4] for k in range(len(s) - 3)]
+        for g in set(grams) - set(known):
+            known[g] = ratio_by_hand(fit, g)
+        return sum(known[g] for g in grams) / len(grams) if grams else 0.0
+
+    scores = {s: score(s) for s in texts}
+    held = {side: [scores[s] for s in label if label[s] == side and not folds[s]] for side in ("allow", "block")}
+    assert all(held.values())
+    (ma, da), (mr, dr) = ((np.mean(x), np.std(x) + 1e-6) for x in (held["allow"], held["block"]))
+    threshold = (ma * dr + mr * da) / (da + dr)
+    for k, u in enumerate(urls):
+        host, path, rule = rule_of(u)
+        s = "^^^" + re.sub("[^a-z0./-]", "*", "".join("0" if c in "0123456789" else c.lower() if c.isascii() else c for c in host + path))
+        name, verdict = rule or (None, "allow" if scores[s] >= threshold else "block")
+        r = got[k]
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, name, verdict), u
+        assert abs(r.score - scores[s]) < 1e-9 and abs(r.threshold - threshold) < 1e-9
+
+
+def test_no_rules_label_nothing(spark):
+    df = spark.createDataFrame([(1, "http://a.net/x"), (2, None)], "page_id long, url string")
+    assert [(r.rule, r.verdict, r.score, r.threshold) for r in judge_urls(df, rules=[]).orderBy("page_id").collect()] == [(None, "allow", 0.0, 0.0)] * 2

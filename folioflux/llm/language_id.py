@@ -103,10 +103,13 @@ def _smallest(batches, most: int):
 def training_hashes(rows: DataFrame, sample: int) -> DataFrame:
     """lang, h: the `sample` smallest distinct hashes of each language of rows (lang, h), or all it has.
 
-    A task sends at most `sample` rows a language, so copies and very frequent languages cost no more than others.
+    A task sends at most `sample` rows a language, so copies and very frequent languages cost no more than others; what
+    many tasks send of one language is cut to `sample` in 64 shares before these meet.
     """
     own = rows.select("lang", "h").mapInArrow(lambda batches: _smallest(batches, sample), "lang string, h long").distinct()
-    return own.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample).drop("k")
+    for share in (["lang", F.pmod(F.hash("h"), F.lit(64))], ["lang"]):
+        own = own.withColumn("k", F.row_number().over(Window.partitionBy(*share).orderBy("h"))).where(F.col("k") <= sample).drop("k")
+    return own
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:

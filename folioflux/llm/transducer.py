@@ -23,7 +23,8 @@ _MAGIC = b"MADT0001"
 _NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters that only the library classifies: those outside the safe range, before or after they are lower-cased
-_RARE = re.compile(f"{UNSAFE.pattern}|[{''.join(c for c in map(chr, range(0xA1, 0x250)) if UNSAFE.search(c.lower()))}]")
+_SAFE = [c for c in map(chr, range(0x2100)) if not UNSAFE.search(c + c.lower())]
+_RARE = re.compile(f"[^{''.join(map(re.escape, _SAFE))}]")
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
 
 

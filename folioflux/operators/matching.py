@@ -1,6 +1,7 @@
 """Dictionary matching: exact and fuzzy alias scores, ranked places with a margin, specialties.
 
-Catalogs are short (their size is checked before they travel with a function). Distinct texts are matched once and
+The functions here state the rules over all pairs of text and alias; `alias_index` gives the same results from an
+index, for catalogs of any size, and is what DataFrames and the page parser use. Distinct texts are matched once and
 joined back, so a text that fills a third of the rows costs one look-up.
 """
 
@@ -17,10 +18,8 @@ from pyspark.sql import functions as F
 from folioflux.functions.similarity import ratio
 from folioflux.functions.text import alias_windows, compact, normalize_kernel
 
-#: A catalog of more aliases than this is refused by the kernels; use the join form for it.
-MOST_ALIASES = 20_000
 STRONG, WHOLE_CELL_ALIAS = 0.98, "mi"
-_SEPARATORS = re.compile(r"(?<!\d)\s*[,;]\s*|\s*[,;]\s*(?!\s*\d)|\s+[-–—/]\s+")
+SEPARATORS = re.compile(r"(?<!\d)\s*[,;]\s*|\s*[,;]\s*(?!\s*\d)|\s+[-–—/]\s+")
 
 
 @dataclass(frozen=True)
@@ -43,8 +42,6 @@ class Match:
 
 def ordered(aliases: list[Alias]) -> list[Alias]:
     """Longest alias first, catalog order within a length."""
-    if len(aliases) > MOST_ALIASES:
-        raise ValueError(f"{len(aliases)} aliases; the kernels take {MOST_ALIASES}")
     return sorted(aliases, key=lambda a: -len(a.alias))
 
 
@@ -99,7 +96,7 @@ def find_specialty(text: str, catalog: list[Alias]) -> tuple[str, str] | None:
     return best.name, with_floor(best.area, text)
 
 
-def _rank(m: Match) -> tuple[float, ...]:
+def rank_key(m: Match) -> tuple[float, ...]:
     size = float(len(_tight(m.alias)))
     return (1.0, size, m.score) if m.score >= STRONG else (0.0, m.score, size)
 
@@ -113,7 +110,7 @@ def ranked_places(text: str, catalog: list[Alias]) -> list[Match]:
             new, old = Match(a.name, score, a.alias), best.get(a.name)
             if old is None or (score, len(_tight(a.alias))) > (old.score, len(_tight(old.alias))):
                 best[a.name] = new
-    return sorted(best.values(), key=_rank, reverse=True)
+    return sorted(best.values(), key=rank_key, reverse=True)
 
 
 def find_place(text: str, catalog: list[Alias], contextual: bool = False) -> Match | None:
@@ -124,33 +121,49 @@ def find_place(text: str, catalog: list[Alias], contextual: bool = False) -> Mat
         return None
     second = ranked[1].score if len(ranked) > 1 else 0.0
     best = replace(ranked[0], runner_up=second)
-    short = len(best.alias) < 8
-    if best.score >= (0.88 if short else 0.84):
+    if near_enough(best):
         return best
+    return is_ahead(best, second) if contextual else None
+
+
+def near_enough(best: Match) -> bool:
+    """Whether a score stands by itself; short aliases need more."""
+    return best.score >= (0.88 if len(best.alias) < 8 else 0.84)
+
+
+def is_ahead(best: Match, second: float) -> Match | None:
+    """The best match of a text in context, if it is fairly near and well ahead of the second."""
     ahead = best.score - second >= (0.06 if best.score >= 0.82 else 0.08)
-    return replace(best, contextual=True) if contextual and best.score >= (0.80 if short else 0.78) and ahead else None
+    return replace(best, contextual=True, runner_up=second) if best.score >= (0.80 if len(best.alias) < 8 else 0.78) and ahead else None
 
 
 def find_places(text: str, catalog: list[Alias], contextual: bool = False) -> list[Match]:
     """Two or more places of a text: by its separators, else its exact aliases that do not overlap; else the one."""
-    parts = [p.strip() for p in _SEPARATORS.split(text) if p.strip()]
+    parts = [p.strip() for p in SEPARATORS.split(text) if p.strip()]
     by_name: dict[str, Match] = {}
     for part in parts if len(parts) > 1 else []:
         if m := find_place(part, catalog, contextual):
             by_name.setdefault(m.name, m)
     if len(by_name) > 1:
         return list(by_name.values())
-    plain, taken = normalize_kernel(text), []
-    for m in ranked_places(plain, catalog):
-        at = f" {plain} ".find(f" {m.alias} ")
-        if m.score >= STRONG and at >= 0 and all(at >= end or at + len(m.alias) <= start for start, end, _ in taken):
-            taken.append((at, at + len(m.alias), m))
-    if len(taken) > 1:
-        return [m for _, _, m in sorted(taken, key=lambda t: t[0])]
+    plain = normalize_kernel(text)
+    apart = select_apart(plain, ranked_places(plain, catalog))
+    if len(apart) > 1:
+        return apart
     one = find_place(text, catalog, contextual)
     return [one] if one else []
 
 
+def select_apart(text: str, ranked: list[Match]) -> list[Match]:
+    """Exact places of a text, in rank order each that overlaps none before it; in text order."""
+    taken: list[tuple[int, int, Match]] = []
+    for m in ranked:
+        at = f" {text} ".find(f" {m.alias} ")
+        if m.score >= STRONG and at >= 0 and all(at >= end or at + len(m.alias) <= start for start, end, _ in taken):
+            taken.append((at, at + len(m.alias), m))
+    return [m for _, _, m in sorted(taken, key=lambda t: t[0])]
+
+
 # ---------------------------------------------------------------- on DataFrames
 
 
@@ -178,17 +191,19 @@ def _windows(c: Column, n: int) -> Column:
 
 def match_column(rows: DataFrame, text: str, kind: str, catalog: list[Alias], contextual: bool = False) -> DataFrame:
     """rows with a column `match` (struct) of the specialty or place found; distinct texts are matched once."""
-    catalog = ordered(catalog)
+    from folioflux.operators.alias_index import shared_index
+
+    shared = shared_index(rows.sparkSession, ordered(catalog))
 
     @F.pandas_udf("name string, area string, alias string, score double")
     def found(texts: pd.Series) -> pd.DataFrame:
-        out = []
+        index, out = shared(), []
         for t in texts:
             if kind == "specialty":
-                s = find_specialty(t or "", catalog)
+                s = index.specialty(t or "")
                 out.append((*s, None, None) if s else (None,) * 4)
             else:
-                m = find_place(t or "", catalog, contextual)
+                m = index.place(t or "", contextual)
                 out.append((m.name, None, m.alias, m.score) if m else (None,) * 4)
         return pd.DataFrame(out, columns=["name", "area", "alias", "score"])
 
@@ -199,11 +214,14 @@ def match_column(rows: DataFrame, text: str, kind: str, catalog: list[Alias], co
 def match_places(rows: DataFrame, text: str, catalog: list[Alias], contextual: bool = False) -> DataFrame:
     """rows with an array column `places`: the names that find_places gives, none for a null text; distinct texts are
     matched once."""
-    catalog = ordered(catalog)
+    from folioflux.operators.alias_index import shared_index
+
+    shared = shared_index(rows.sparkSession, ordered(catalog))
 
     @F.pandas_udf("array<string>")
     def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([[m.name for m in find_places(t, catalog, contextual)] for t in texts])
+        index = shared()
+        return pd.Series([[m.name for m in index.places(t, contextual)] for t in texts])
 
     once = rows.select(text).where(F.col(text).isNotNull()).distinct().withColumn("places", found(text))
     return rows.join(once, text, "left").withColumn("places", F.coalesce("places", F.array().cast("array<string>")))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
 from statistics import mean, median
 
 import pandas as pd
@@ -18,7 +19,8 @@ from folioflux.functions.schemas import RECORD, RECORD_FIELDS, record
 from folioflux.functions.similarity import ratio
 from folioflux.functions.text import clean_display_kernel as display
 from folioflux.functions.text import normalize_kernel as norm
-from folioflux.operators.matching import Alias, find_place, find_places, find_specialty, ordered
+from folioflux.operators.alias_index import AliasIndex
+from folioflux.operators.matching import Alias, ordered
 from folioflux.operators.names import GIVEN_FIRST, UNSURE, Lexicons, Splitter
 
 #: Fixed header aliases; fields that start with `ignored` only take space
@@ -123,11 +125,18 @@ class Catalogs:
         self.specialties, self.places = ordered(self.specialties), ordered(self.places)
         self.splitter = Splitter(self.lexicons)
 
+    @cached_property
+    def _indexes(self) -> tuple[AliasIndex, AliasIndex]:
+        return AliasIndex(self.specialties), AliasIndex(self.places)
+
     def specialty(self, text: str):
-        return find_specialty(text, self.specialties)
+        return self._indexes[0].specialty(text)
 
     def place(self, text: str):
-        return find_place(text, self.places)
+        return self._indexes[1].place(text)
+
+    def places_of(self, text: str, contextual: bool = False):
+        return self._indexes[1].places(text, contextual)
 
 
 def scored(lines: list[Line]) -> list[tuple[str, float]]:
@@ -278,10 +287,10 @@ def _list_record(line: Line, heading, c: Catalogs, numbered: bool) -> dict | Non
     sex = X.list_sex(text, min(starts) if starts else index[1] if index else 0)
     taken = [s for s in (index, *(f.span for f in (document, age, sex) if f)) if s]
     # a place is looked for after the age or document, so that a surname is none
-    places = find_places(text[age.span[1] if age else document.span[1] if document else 0 :], c.places)
+    places = c.places_of(text[age.span[1] if age else document.span[1] if document else 0 :])
     comma = text.find(",", index[1] if index else 0)
     if not places and numbered and comma >= 0:
-        places = find_places(text[comma + 1 :], c.places)
+        places = c.places_of(text[comma + 1 :])
     if not age:
         kept = X.may_be_person(text) or (numbered and (document or places or sex))
         if not kept or not (heading or numbered):
@@ -842,7 +851,7 @@ def _row_record(row, anchor: Anchor, schema, grid, c: Catalogs, known, context,
         sex = X.row_sex(scored(documents))
         origin_text = specialty_text = joined(origins)
     document = X.best_document(scored(documents))
-    places = find_places(origin_text, c.places, has("origin"))
+    places = c.places_of(origin_text, has("origin"))
     origin = " - ".join(p.name for p in places) or (origin_text if has("origin") else "")
     own = next((f for k in specialties if (f := c.specialty(k.text))), None) or (c.specialty(specialty_text) if specialty_text else None)
     specialty, area = own or context or ("", "")
@@ -915,8 +924,8 @@ PARSED = f"image_id string, record_no int, error string, {RECORD}"
 def parse_pages(lines: DataFrame, catalogs: Catalogs, images: DataFrame, grids: DataFrame | None = None) -> DataFrame:
     """Records of all pages: lines (functions.schemas.LINES) grouped by page, images (image_id, path, center_name).
 
-    A page that fails gives one row with its error. Catalogs travel with the function; matching.MOST_ALIASES bounds
-    them.
+    A page that fails gives one row with its error. Catalogs travel with the function;
+    sources.catalogs.MOST_ROWS bounds them.
     """
     from pyspark.sql import functions as F
 

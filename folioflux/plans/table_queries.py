@@ -12,6 +12,7 @@ from folioflux.operators import matching as M
 from folioflux.operators import names as N
 from folioflux.operators import resolve as R
 from folioflux.operators import select as S
+from folioflux.operators.alias_index import match_catalog
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -169,7 +170,7 @@ def q_catalog_strong(spark, sf_dir):
 def q_multi_match(spark, sf_dir):
     """The vocabulary of part names as a catalog; each name's places in text order."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("text"))
-    words = [r[0] for r in part.select(F.explode(F.split("text", " ")).alias("w")).distinct().limit(M.MOST_ALIASES + 1).collect()]
+    words = [r[0] for r in part.select(F.explode(F.split("text", " ")).alias("w")).distinct().collect()]  # the table has few
     found = M.match_places(part, "text", [M.Alias(w, w) for w in words])
     return found.select("p_partkey", F.array_join("places", " > ").alias("places"), F.size("places").cast("long").alias("n"))
 
@@ -183,6 +184,21 @@ def q_catalog_fuzzy(spark, sf_dir):
     return M.match_column(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "place", [M.Alias(a, a.upper()) for a in _COLOURS], contextual=True).select("p_partkey", F.col("match.name").alias("place"), F.round("match.score", 6).alias("score"))
 
 
+def _openings(docs):
+    """Catalog of the first three words of all documents, and these with a letter left out of each as texts."""
+    opening = docs.select("doc_id", F.array_join(F.slice(T.words(T.normalize(F.col("text"))), 1, 3), " ").alias("alias")).where("alias <> ''")
+    at = (F.col("doc_id") % F.length("alias")).cast("int")
+    texts = opening.select("doc_id", F.concat(F.substring("alias", F.lit(1), at), F.substring("alias", at + 2, F.length("alias"))).alias("text"))
+    return opening.select("alias", F.col("alias").alias("name")), texts
+
+
+@query()
+def q_catalog_index(spark, sf_dir):
+    """Misspelt openings of all documents against the openings themselves, a catalog that grows with the table."""
+    catalog, texts = _openings(table(spark, sf_dir, "documents"))
+    return match_catalog(texts, "text", catalog, contextual=True).select("doc_id", "text", "match.name", "match.score", "match.contextual")
+
+
 LEXICONS = N.Lexicons({"supplier": 0.9, "maria": 1.0, "customer": 0.6}, {"customer": 0.9, "perez": 1.0, "de": 0.5})
 
 

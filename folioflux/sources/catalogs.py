@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflux.functions.text import normalize_kernel
-from folioflux.operators.matching import MOST_ALIASES, Alias, ordered
+from folioflux.operators.matching import Alias, ordered
 from folioflux.operators.names import Lexicons
 
+#: Rows of a catalog that come to the driver and travel with the page parser; larger ones go to alias_index.match_catalog
+MOST_ROWS = 200_000
+
 
 def _read(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     rows = spark.read.csv(path, header=True, multiLine=True, encoding="UTF-8")
@@ -23,9 +26,9 @@ def _read(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def _few(rows: DataFrame, path: str) -> list:
-    held = rows.orderBy("rank").limit(MOST_ALIASES + 1).collect()
-    if len(held) > MOST_ALIASES:
-        raise ValueError(f"{path}: more than {MOST_ALIASES} rows")
+    held = rows.orderBy("rank").limit(MOST_ROWS + 1).collect()
+    if len(held) > MOST_ROWS:
+        raise ValueError(f"{path}: more than {MOST_ROWS} rows")
     return held
 
 

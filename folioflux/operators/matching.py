@@ -8,7 +8,6 @@ joined back, so a text that fills a third of the rows costs one look-up.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -175,18 +174,15 @@ def strong_column(text: Column, alias: Column) -> Column:
     return F.when(tight == WHOLE_CELL_ALIAS, (compact(text) == tight).cast("double")).when(whole, 1.0).when((F.length(tight) >= 5) & near, STRONG).otherwise(0.0)
 
 
-def strong_matches(texts: DataFrame, catalog: DataFrame, text: str, sizes: Iterable[int] = (1, 2, 3)) -> DataFrame:
-    """Rows of texts with the aliases that stand in them as whole words, by an equi-join on runs of words: each text
-    gives its distinct runs of as many words as aliases have (sizes), so nothing is compared with every alias.
-    texts: normalised texts in the column `text`; catalog: alias, ... (normalised). A null or empty text gives none."""
-    runs = F.array_distinct(F.flatten(F.array(*(_windows(F.col(text), k) for k in sorted(set(sizes))))))
-    return texts.withColumn("alias", F.explode(runs)).join(catalog, "alias")
+def strong_matches(texts: DataFrame, catalog: DataFrame, text: str) -> DataFrame:
+    """Rows of texts with the catalog rows (alias, ...; normalised) whose alias stands in them as whole words, each once.
 
+    An automaton of the aliases goes through each text once; only aliases that were found are joined. A null or empty
+    text gives none.
+    """
+    from folioflux.operators.word_automaton import alias_matches
 
-def _windows(c: Column, n: int) -> Column:
-    from folioflux.functions.text import word_windows
-
-    return word_windows(c, n)
+    return alias_matches(texts, text, catalog).join(catalog, "alias")
 
 
 def match_column(rows: DataFrame, text: str, kind: str, catalog: list[Alias], contextual: bool = False) -> DataFrame:

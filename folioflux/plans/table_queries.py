@@ -13,6 +13,7 @@ from folioflux.operators import names as N
 from folioflux.operators import resolve as R
 from folioflux.operators import select as S
 from folioflux.operators.alias_index import match_catalog
+from folioflux.operators.word_automaton import alias_spans
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -153,11 +154,10 @@ def q_merged_lexicon(spark, sf_dir):
     from documents d join a on contains(' ' || {_NORM.format('d.text')} || ' ', ' ' || a.alias || ' ') and len(a.alias) > 0 group by d.doc_id
 """)
 def q_catalog_strong(spark, sf_dir):
-    """Benchmark openings of six words as aliases; documents are joined on their runs of six words, not on all pairs."""
+    """Benchmark openings of six words as aliases; an automaton finds those that stand in each document."""
     aliases = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(T.words(T.normalize(F.col("text"))), 1, 6), " ").alias("alias")).where("alias <> ''")
     docs = table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("t"))
-    sizes = [r[0] for r in aliases.select(F.size(F.split("alias", " "))).distinct().collect()]  # six at most
-    hits = M.strong_matches(docs, aliases, "t", sizes or [1])
+    hits = M.strong_matches(docs, aliases, "t")
     best = F.max_by("alias", F.struct(F.length(T.compact(F.col("alias"))), -F.col("item_id")))
     return hits.groupBy("doc_id").agg(best.alias("alias"), F.count("*").alias("hits"))
 
@@ -199,6 +199,26 @@ def q_catalog_index(spark, sf_dir):
     return match_catalog(texts, "text", catalog, contextual=True).select("doc_id", "text", "match.name", "match.score", "match.contextual")
 
 
+@query(f"""
+    with recursive d as (select doc_id, list_filter(string_split({_NORM.format('text')}, ' '), lambda x: x <> '') as w from documents),
+         a as (select distinct array_to_string(w[1:1 + doc_id % 3], ' ') as alias from d where len(w) > 0),
+         k as (select alias, string_split(alias, ' ')[1] as head, len(string_split(alias, ' ')) as n from a),
+         h as (select doc_id, w, unnest(range(0, len(w))) as i from d),
+         m as (select doc_id, i as s, max(i + n) as e from h join k on k.head = h.w[i + 1] and array_to_string(h.w[i + 1:i + k.n], ' ') = k.alias group by doc_id, i),
+         p as (select doc_id, s, e, row_number() over (partition by doc_id order by s) as k from m),
+         j as (select x.doc_id, x.k, x.s, x.e, min(y.k) as nx from p x left join p y on y.doc_id = x.doc_id and y.s >= x.e group by all),
+         r as (select doc_id, k, s, e, nx from j where k = 1 union all select j.doc_id, j.k, j.s, j.e, j.nx from r join j on j.doc_id = r.doc_id and j.k = r.nx)
+    select doc_id, count(*) as n_spans, min(s)::int as first_start, max(e)::int as last_end, sum(e - s)::bigint as n_words from r group by doc_id
+""")
+def q_alias_spans(spark, sf_dir):
+    """Openings of one to three words of all documents as aliases; each document's leftmost-longest spans of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("t"))
+    aliases = docs.where("t <> ''").select(F.array_join(F.slice(F.split("t", " "), F.lit(1), (F.col("doc_id") % 3 + 1).cast("int")), " ").alias("alias"))
+    spans = alias_spans(docs, ["doc_id"], "t", aliases)
+    words = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return spans.select("doc_id", F.size("spans").cast("long").alias("n_spans"), F.get("spans", F.lit(0))["start"].alias("first_start"), F.element_at("spans", -1)["end"].alias("last_end"), words.alias("n_words"))
+
+
 LEXICONS = N.Lexicons({"supplier": 0.9, "maria": 1.0, "customer": 0.6}, {"customer": 0.9, "perez": 1.0, "de": 0.5})
 
 

@@ -242,9 +242,13 @@ def possible_pairs(people: DataFrame, lexicons: Lexicons | None = None, keep: tu
     names_a, names_b = sides(once)
     same = lambda columns: [F.col(f"{c}_a") == F.col(f"{c}_b") for c in columns]
     follows = F.col("low_a") < F.col("high_b")
+    compared_by = ["plain", "canon"] if lexicons else ["plain"]
     met = names_a.join(names_b, [*same([*block, "plain"]), follows])
-    for text in ["plain", "canon"] if lexicons else ["plain"]:
-        met = met.unionByName(similar_candidates(once, block, text, 0.92, follows & (F.col("plain_a") != F.col("plain_b"))))
+    for text in compared_by:
+        other = follows & (F.col("plain_a") != F.col("plain_b"))
+        met = met.unionByName(similar_candidates(once, block, text, 0.92, other))
+        if text != "plain":  # one canonical name of different ones
+            met = met.unionByName(names_a.join(names_b, [*same([*block, text]), other]))
     met = met.dropDuplicates() if lexicons else met
 
     @F.pandas_udf("string")

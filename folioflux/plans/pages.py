@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, lru_cache
 from statistics import mean, median
 
 import pandas as pd
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from folioflux.functions import extract as X
 from folioflux.functions import fixed_values as V
 from folioflux.functions.schemas import RECORD, RECORD_FIELDS, record
-from folioflux.functions.similarity import ratio
+from folioflux.functions.similarity import ratio, ratio_from
 from folioflux.functions.text import clean_display_kernel as display
 from folioflux.functions.text import normalize_kernel as norm
 from folioflux.operators.alias_index import AliasIndex
@@ -360,10 +360,15 @@ class Schema:
 
 def header_field(line: Line) -> tuple[str, float] | None:
     """Field and score of a header's text: equal to an alias, holding one, or near one."""
-    text, best = norm(line.text), ("", 0.0)
+    return _header_of(norm(line.text))
+
+
+@lru_cache(maxsize=1 << 14)
+def _header_of(text: str) -> tuple[str, float] | None:
+    best = ("", 0.0)
     for name, aliases in HEADERS.items() if text else ():
         for alias in aliases:
-            score = 1.0 if text == alias else 0.94 if f" {alias} " in f" {text} " else ratio(text, alias)
+            score = 1.0 if text == alias else 0.94 if f" {alias} " in f" {text} " else ratio_from(text, alias, max(0.78, best[1]))
             if score >= 0.78 and score > best[1]:
                 best = name, score
     return best if best[0] else None

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflux.functions import extract as X
 from folioflux.functions import text as T
+from folioflux.functions.similarity import ratio, ratio_from
 from folioflux.operators import evaluate as E
 from folioflux.operators import matching as M
 from folioflux.operators import resolve as R
@@ -97,3 +98,10 @@ def test_spans_stay_inside(t):
     for found in [f for f in (X.list_document(t), X.list_age(t, []), X.list_sex(t, 0), *X.misread_ages(t)) if f]:
         assert 0 <= found.span[0] < found.span[1] <= len(t)
     assert len(X.without_ages(t)) == len(t)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcdé ", max_size=12), st.text("abcdé ", max_size=12), st.sampled_from([0.0, 0.5, 0.78, 0.8, 0.92, 1.0]))
+def test_a_bounded_ratio_is_the_ratio_from_its_bound_on(a, b, least):
+    whole, bounded = ratio(a, b), ratio_from(a, b, least)
+    assert bounded == whole if whole >= least else bounded in (0.0, whole)

@@ -110,14 +110,15 @@ _SHINGLES = """
 def _license_sql() -> str:
     from folioflux.llm.license_scan import BASE, MORE, WORD
 
-    place = lambda p: f"list_filter(range(0, len(w)), lambda i: w[i + 1:i + {len(p.split())}] = {p.split()!r})"
+    place = lambda p: f"case when contains(s, ' {p} ') then list_filter(range(0, len(w)), lambda i: w[i + 1:i + {len(p.split())}] = {p.split()!r}) else [] end"
     names = [f"t{k}" for k in range(len(BASE) + len(MORE))]
     labels = [label for _, label in BASE + MORE]
     joined = lambda k: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"case when len(t{i}) > 0 then '{labels[i]}' end" for i in range(k)) + "], lambda x: x is not null))), ',')"
     first = "flatten([" + ", ".join(names[: len(BASE)]) + "])"
     return f"""
         with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as w from documents),
-             p as (select doc_id, len(w) as n, {", ".join(f"{place(p)} as {n}" for n, (p, _) in zip(names, BASE + MORE))} from d)
+             s as (select doc_id, w, ' ' || array_to_string(w, ' ') || ' ' as s from d),
+             p as (select doc_id, len(w) as n, {", ".join(f"{place(p)} as {n}" for n, (p, _) in zip(names, BASE + MORE))} from s)
         select doc_id, n::bigint as n_words, len({first})::bigint as n_base, list_min({first})::bigint as first_word, list_max({first})::bigint as last_word,
                {joined(len(BASE))} as base_labels, {joined(len(names))} as labels, 1 - pow(0.5, {" + ".join(f"len({n})" for n in names)}) as score
         from p

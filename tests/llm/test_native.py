@@ -164,3 +164,29 @@ def test_scores_and_threshold_against_brute_force(spark):
 def test_no_rules_label_nothing(spark):
     df = spark.createDataFrame([(1, "http://a.net/x"), (2, None)], "page_id long, url string")
     assert [(r.rule, r.verdict, r.score, r.threshold) for r in judge_urls(df, rules=[]).orderBy("page_id").collect()] == [(None, "allow", 0.0, 0.0)] * 2
+
+
+def test_templates_with_k_no_templates_and_bad_ones(spark):
+    """`k` is a letter like others; a Kelvin sign is none (only A-Z are lower-cased)."""
+    texts = ["WITHOUT WARRANTY OF ANY KIND", "of any Kind", "any K any kind", "İ any kind", "this Work is licensed UNDER a creative commons", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in scan_licenses(df, base=[("of any kind", "k")], more=[("any kind", "a")]).collect()}
+    assert [got[k].labels for k in range(6)] == ["a,k", "", "a", "a", "", ""]
+    assert [got[k].n_words for k in range(6)] == [5, 3, 4, 3, 8, 0]
+    assert {r.doc_id: r.labels for r in scan_licenses(df).collect()}[4] == "cc"
+    assert {(r.n_words > 0, r.n_base, r.labels, r.score) for r in scan_licenses(df, base=[], more=[]).collect()} == {(True, 0, "", 0.0), (False, 0, "", 0.0)}
+    for bad in ("one", "same same", "Upper case", "two  blanks", "dé jà", ""):
+        with pytest.raises(ValueError):
+            scan_licenses(df, base=[(bad, "x")])
+
+
+def test_templates_share_words_and_overlap(spark):
+    """All templates' full phrases, each whole, cut short by a word, and run into the next."""
+    phrases = [p for p, _ in BASE + MORE]
+    texts = phrases + [" ".join(p.split()[:-1]) for p in phrases] + [f"{a} {b}" for a, b in zip(phrases, phrases[1:])] + ["".join(f"{w}\n" for w in p.upper().split()) for p in phrases]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in scan_licenses(df).collect()}
+    for k, t in enumerate(texts):
+        w = t.lower().split()
+        want = {label for p, label in BASE + MORE if any(w[i : i + len(p.split())] == p.split() for i in range(len(w)))}
+        assert got[k] == ",".join(sorted(want)), t

@@ -30,8 +30,30 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Folders made inside each open `scratch` block
+_scopes: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/folioflux/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/folioflux/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables and files that operators of this subpackage write inside the block are removed after it.
+
+    Results are lazy and read these tables, so they are written or collected inside the block.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @contextlib.contextmanager

@@ -5,26 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioflux.operators.graph import cut_lineage
+
 
 def with_ordinal(rows: DataFrame, order: list[str], name: str = "ordinal", bucket_rows: int = 100_000) -> DataFrame:
-    """Global position from 0 by columns of which the first is a number or text with few equals.
+    """Global position from 0 by columns that order rows fully (rows equal in all of them are interchangeable).
 
-    Quantiles of the first column (a text's first seven bytes as a number) cut the order into ranges, a fixed list, so
-    that a recomputed task agrees; rows are numbered inside a range, and a range starts after the counts of those
-    before it. No task sees all rows.
+    Rows are range-partitioned over all the columns, bucket_rows or so a range however many equal values the first one
+    has, sorted and numbered inside a range; a range starts after the counts of those before it. The numbered rows are
+    written before they are counted, so both agree. No task sees all rows.
     """
-    if rows.schema[order[0]].dataType.typeName() == "string":
-        lead = F.conv(F.rpad(F.hex(F.substring(F.encode(order[0], "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
-        return with_ordinal(rows.withColumn("_lead", lead), ["_lead", *order], name, bucket_rows).drop("_lead")
-    first = order[0]
-    shape = rows.agg(F.count("*").alias("n"), F.percentile_approx(first, [i / 1000 for i in range(1, 1000)], 10_000).alias("q")).first()
-    n = min(1000, -(-shape["n"] // bucket_rows))
-    cuts = sorted({shape["q"][i * 1000 // n - 1] for i in range(1, n)}) if n > 1 else []
-    ranged = rows.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col(first) >= c)) if cuts else F.lit(0))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_start")
-    w = Window.partitionBy("_range").orderBy(*order)
-    return ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.row_number().over(w) - 1).drop("_range", "_start")
+    ranges = max(1, -(-rows.count() // bucket_rows))
+    place = F.monotonically_increasing_id()  # the range in the upper bits, the row's number in it in the lower 33
+    ranged = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_place", place)
+    ranged = cut_lineage(ranged.withColumn("_range", F.shiftright("_place", 33)).withColumn("_inside", F.col("_place").bitwiseAND((1 << 33) - 1)).drop("_place"))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # one row a range
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_inside")).drop("_range", "_inside", "_start")
 
 
 def even_ordinals(spark: SparkSession, total: int, limit: int | None) -> DataFrame:

@@ -13,6 +13,7 @@ from folioflux.operators import names as N
 from folioflux.operators import resolve as R
 from folioflux.operators import select as S
 from folioflux.operators.alias_index import match_catalog
+from folioflux.operators.lines import UNIT, directions, hough_lines, hough_votes
 from folioflux.operators.word_automaton import alias_spans
 
 QUERIES: dict = {}
@@ -499,6 +500,29 @@ def d_similar_pairs(spark, sf_dir):
     return pairs.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"), F.col("center_a").alias("center"), F.col("age_a").alias("age"), "reason")
 
 
+def _hough_sql() -> str:
+    table = ", ".join(f"({k}, {c}, {s})" for k, (c, s) in enumerate(directions(36)))
+    return f"""
+        with d(angle, c, s) as (values {table}),
+             p as (select l_suppkey % 50 as grp, (l_quantity * 10)::bigint as x, (l_linenumber * 40 + l_partkey % 3)::bigint as y from lineitem),
+             v as (select grp, angle, floor((x * c + y * s) / {20 * UNIT}.0)::bigint as distance, count(*) as votes from p, d group by all),
+             n as (select grp, (a + 36) % 36 as angle, case when a < 0 or a >= 36 then -t - 1 else t end as distance, votes, angle as wa, distance as wd
+                   from (select *, angle + unnest([-1, -1, -1, 0, 0, 1, 1, 1]) as a, distance + unnest([-1, 0, 1, -1, 1, -1, 0, 1]) as t from v))
+        select grp, angle::int as angle, distance, votes from v
+        where votes >= 40 and not exists (select 1 from n where n.grp = v.grp and n.angle = v.angle and n.distance = v.distance
+                                            and (n.votes > v.votes or n.votes = v.votes and (n.wa < v.angle or n.wa = v.angle and n.wd < v.distance)))
+    """
+
+
+@query(_hough_sql())
+def q_hough_lines(spark, sf_dir):
+    """Line items as points of fifty pictures: the lines that most of them lie on."""
+    points = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") % 50).alias("grp"), (F.col("l_quantity") * 10).cast("long").alias("x"), (F.col("l_linenumber") * 40 + F.col("l_partkey") % 3).cast("long").alias("y")
+    )
+    return hough_lines(hough_votes(points, ["grp"], "x", "y", 36, 20), ["grp"], 40, 36)
+
+
 # ---------------------------------------------------------------- pages
 
 

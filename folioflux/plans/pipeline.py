@@ -90,7 +90,8 @@ def recognised_lines(spark: SparkSession, images: DataFrame, config: Config, mak
     found = recognise_pages(wanted, make_engine, config.mode)
     if config.cache is not None:
         found = found.cache()
-        I.store_lines(found, misses, config.cache, config.mode)
+        read = misses.join(wanted.select("image_id"), "image_id", "left_semi")  # a file that is no image has no entry
+        I.store_lines(found, read, config.cache, config.mode)
     columns = ["image_id", "line_no", "text", "score", "box", "image_width", "image_height"]
     return found.select(*columns) if hits is None else hits.select(*columns).unionByName(found.select(*columns))
 
@@ -158,6 +159,25 @@ def predicted_rows(spark: SparkSession, config: Config, make_engine=None, lines:
     return E.expected_fields(rows.withColumns({"stem": F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1), "row_no": F.col("record_no") + F.lit(1).cast("long")}))
 
 
+def evaluate_images(spark: SparkSession, config: Config, expected: str, make_engine=None, lines: DataFrame | None = None, folder: str | None = None, only: list[str] | None = None) -> dict[str, DataFrame]:
+    """From images and truth files to the report: what evaluate returns, and `faltantes` (stem, error): cases that lack a
+    side, have several images or a truth file that is not valid. Only cases without such an error are compared.
+    """
+    truth = I.read_truth(spark, expected)
+    invalid = E.truth_errors(truth).unionByName(I.encoding_errors(spark, expected)).select("stem", F.concat_ws(": ", F.lit("datos esperados"), "error").alias("error")).distinct()
+    images = I.discover(spark, config.images, C.read_centers(spark, config.centers), content=False)
+    cases, unpaired = I.pair_cases(images, truth, only)
+    fine = cases.join(invalid, "stem", "left_anti").select("stem")
+    predicted = predicted_rows(spark, config, make_engine, lines)
+    out = evaluate(truth.join(fine, "stem", "left_semi"), predicted.join(fine, "stem", "left_semi"), folder)
+    return out | {"faltantes": unpaired.join(invalid, "stem", "left_anti").unionByName(invalid)}
+
+
+def diagnose(result: Result, folder: str) -> None:
+    """The run's page errors and seconds as errores.json and tiempos.json; errors come to the driver one by one."""
+    S.write_diagnostics(folder, [{"imagen": r["path"], "error": r["error"]} for r in result.errors.orderBy("path").toLocalIterator()], [result.seconds])
+
+
 def review_counts(people: DataFrame) -> DataFrame:
     """One row: all, pending, possible duplicates."""
     pending = (F.col("review_status") == "Pendiente") | ((F.col("review_status") == "") & F.col("needs_review"))

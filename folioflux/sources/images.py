@@ -12,8 +12,9 @@ from folioflux.operators.select import cache_key, even_ordinals, with_ordinal
 
 EXTENSIONS = ("jpg", "jpeg", "png", "webp", "tif", "tiff")
 LARGEST_UPLOAD = 15 << 20
-#: Fixed first bytes of the formats taken
+#: Fixed first bytes of the formats taken; of webp, what follows the container's size too
 MAGIC = {"jpg": ["FFD8FF"], "jpeg": ["FFD8FF"], "png": ["89504E470D0A1A0A"], "webp": ["52494646"], "tif": ["49492A00", "4D4D002A"], "tiff": ["49492A00", "4D4D002A"]}
+WEBP = "57454250"
 CACHE_VERSION = "lines-1"
 
 
@@ -62,6 +63,7 @@ def check_uploads(rows: DataFrame) -> DataFrame:
     for e, marks in MAGIC.items():
         for m in marks:
             known = known | ((ext == e) & F.startswith(head, F.lit(m)))
+    known = known & ((ext != "webp") | (F.hex(F.substring("content", 9, 4)) == WEBP))
     error = F.when(~ext.isin(*EXTENSIONS), "extensión").when(F.length("content") == 0, "vacío").when(F.length("content") > LARGEST_UPLOAD, "tamaño").when(~known, "formato")
     stem = safe_stem(F.regexp_replace("name", r"\.[^./]+$", ""))
     number = F.row_number().over(Window.orderBy("name"))
@@ -69,17 +71,27 @@ def check_uploads(rows: DataFrame) -> DataFrame:
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """Truth rows of `;` CSVs: stem, row_no (order in the file), trimmed fields; files of undecodable text fail."""
-    raw = spark.read.csv(path, sep=";", header=True, encoding="UTF-8", mode="FAILFAST")
+    """Truth rows of `;` CSVs: stem, row_no (order in the file), trimmed fields.
+
+    Files that are not UTF-8 give no rows here; encoding_errors names them.
+    """
+    raw = spark.read.csv(path, sep=";", header=True, encoding="UTF-8")
     raw = raw.toDF(*(c.lstrip("﻿").strip() for c in raw.columns))
     missing = [f for f in FIELDS if f not in raw.columns]
     if missing:
         raise ValueError(f"{path}: no column {', '.join(missing)}")
     rows = raw.withColumn("stem", F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]+$", 1)).withColumn("_at", F.monotonically_increasing_id())
+    rows = rows.join(encoding_errors(spark, path).select("stem"), "stem", "left_anti")
     order = Window.partitionBy("stem").orderBy("_at")
     return rows.select("stem", F.row_number().over(order).cast("long").alias("row_no"), *(F.coalesce(F.trim(F.col(f)), F.lit("")).alias(f) for f in FIELDS))
 
 
+def encoding_errors(spark: SparkSession, path: str) -> DataFrame:
+    """stem, row_no (null), error of the truth files that are not UTF-8, in the form of evaluate.truth_errors."""
+    rows = spark.read.format("binaryFile").load(path).where(~F.is_valid_utf8(F.col("content").cast("string")))
+    return rows.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), F.lit(None).cast("long").alias("row_no"), F.lit("codificación").alias("error"))
+
+
 def pair_cases(images: DataFrame, truth: DataFrame, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(stem, path) of images with truth, and (stem, error) of stems that lack one side or have several images."""
     stems = images.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), "path").groupBy("stem").agg(F.min("path").alias("path"), F.count("*").alias("n"))
@@ -115,8 +127,10 @@ def cached_lines(images: DataFrame, cache: DataFrame, mode: str, version: str =
 
 
 def store_lines(lines: DataFrame, images: DataFrame, path: str, mode: str, version: str = CACHE_VERSION) -> None:
-    """Append new lines (with audit) to the cache table; the committer makes a task's files appear at once."""
+    """Append new lines (with audit) to the cache table; the committer makes a task's files appear at once. Images are
+    those that were read: one without lines has an entry too, so it is not read again."""
     body = F.struct("line_no", "text", "score", "box", "image_width", "image_height")
     rows = lines.groupBy("image_id").agg(F.array_sort(F.collect_list(body)).alias("lines"), F.max("audit").alias("audit"))
     keyed = images.select("image_id", cache_key(version, mode, F.col("content")).alias("key"))
-    rows.join(keyed, "image_id").select("key", F.lit(version).alias("version"), F.lit(mode).alias("mode"), "lines", "audit").write.mode("append").parquet(path)
+    made = keyed.join(rows, "image_id", "left").withColumn("lines", F.coalesce("lines", F.array().cast(rows.schema["lines"].dataType)))
+    made.select("key", F.lit(version).alias("version"), F.lit(mode).alias("mode"), "lines", "audit").write.mode("append").parquet(path)

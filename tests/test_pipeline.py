@@ -122,6 +122,21 @@ def test_pipeline_with_cache_and_workbook(spark, job):
         config(job, mode="wrong")
 
 
+def test_pages_without_lines_are_read_once(spark, job):
+    c = config(job, cache=f"{job}/cache")
+    put(f"{job}/images/h2/broken.png", b"\x89PNG\r\n\x1a\n no picture")
+    images = I.discover(spark, c.images, C.read_centers(spark, c.centers))
+    assert P.recognised_lines(spark, images, c, lambda: Recorded([])).count() == 0
+    hits, misses = I.cached_lines(images, I.read_cache(spark, c.cache, c.mode), c.mode)
+    assert hits.count() == 0 and [r.relative for r in misses.collect()] == ["h2/broken.png"]
+
+
+def test_a_webp_is_more_than_its_container(spark):
+    rows = [("a.webp", b"RIFF\x10\0\0\0WEBPVP8 "), ("b.webp", b"RIFF\x10\0\0\0WAVEfmt ")]
+    got = {r.name: r.error for r in I.check_uploads(spark.createDataFrame(rows, "name string, content binary")).collect()}
+    assert got == {"a.webp": None, "b.webp": "formato"}
+
+
 def test_command_line(spark, job, capsys):
     centers = C.read_centers(spark, f"{job}/centers.csv")
     ids = [r.image_id for r in I.discover(spark, f"{job}/images", centers).collect()]
@@ -140,6 +155,21 @@ def test_command_line(spark, job, capsys):
         assert json.load(f) == {"imagenes": 1, "registros_esperados": 2, "registros_obtenidos": 1, "registros_alineados": 1, "cobertura_registros": 0.5, "precision_registros": 1.0}
     with open(f"{job}/report/diferencias.csv", encoding="utf-8-sig") as f:
         assert {r.split(";")[1] for r in f.read().splitlines()[1:]} == {"campo_incorrecto", "registro_faltante"}
+    assert main([*args, "--force", "--diagnostics", f"{job}/diag"], spark) == 0
+    with open(f"{job}/diag/errores.json") as f, open(f"{job}/diag/tiempos.json") as g:
+        assert json.load(f) == [] and "total_segundos" in json.load(g)[0]
+    job_args = args[1 : args.index("--output")]
+    put(f"{job}/truth/b.csv", f"{head}\n{good}\n".encode("latin-1"))
+    put(f"{job}/truth/zz.csv", f"{head}\n{good}\n")
+    assert main(["evaluate", "--expected", f"{job}/truth", *job_args], spark) == 1 and "b:None: codificación" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["evaluate", "--expected", f"{job}/pred"], spark)
+    found = P.evaluate_images(spark, config(job), f"{job}/truth", lines=spark.read.parquet(f"{job}/lines"), folder=f"{job}/whole")
+    assert {(r.stem, r.error) for r in found["faltantes"].collect()} == {("b", "datos esperados: codificación"), ("c", "sin datos esperados"), ("zz", "sin imagen")}
+    assert [(r.imagen, r.esperados, r.obtenidos, r.alineados) for r in found["casos"].collect()] == [("a", 2, 1, 1)]
+    assert os.path.exists(f"{job}/whole/resumen.json")
+    capsys.readouterr()
+    assert main(["evaluate", "--expected", f"{job}/pred", *job_args, "--output", f"{job}/r2"], spark) == 0 and os.path.exists(f"{job}/r2/casos.csv")
     put(f"{job}/wrong/a.csv", f"{head}\nA;;;;H;200;siglos;X;;;\n")
     assert main(["evaluate", "--expected", f"{job}/wrong", "--predicted", f"{job}/pred", "--validate-only"], spark) == 1
 

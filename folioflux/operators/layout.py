@@ -57,6 +57,27 @@ def gap_clusters(rows: DataFrame, page: str, order: list[str], value: str, toler
     return rows.withColumn("_starts", F.coalesce((gap > tolerance).cast("int"), F.lit(0))).withColumn(name, F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_starts")
 
 
+def median_clusters(rows: DataFrame, group: list[str], value: str, tolerance: float) -> DataFrame:
+    """group, cluster (from 0), n, low, high of the values of each group, ascending: a new cluster starts where a value is
+    off the last cluster's median by more than the tolerance (as plans.pages.by_running_median does on a page).
+
+    A fold over the group's sorted values; its state are the clusters' starts, as a cluster is a stretch of values and its
+    median stands in the middle. Null values are left out; groups are a page's values.
+    """
+    sorted_ = rows.where(F.col(value).isNotNull()).groupBy(*group).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("v"))
+    later = F.when(F.size("v") > 1, F.sequence(F.lit(1), F.size("v") - 1)).otherwise(F.array().cast("array<int>"))
+
+    def fold(starts, k):
+        last = F.element_at(starts, -1)
+        middle = lambda shift: F.get("v", F.floor((last + k - shift) / 2).cast("int"))
+        return F.when(F.get("v", k) - (middle(1) + middle(0)) / 2 > tolerance, F.array_append(starts, k)).otherwise(starts)
+
+    cut = sorted_.withColumn("starts", F.aggregate(later, F.array(F.lit(0)), fold))
+    at = cut.select(*group, "v", "starts", F.posexplode("starts").alias("cluster", "start"))
+    n = F.coalesce(F.get("starts", F.col("cluster") + 1), F.size("v")) - F.col("start")
+    return at.select(*group, "cluster", n.alias("n"), F.get("v", "start").alias("low"), F.get("v", F.col("start") + n - 1).alias("high"))
+
+
 def alignment_ratio(value: str, median: str, tolerance: float) -> Column:
     """Aggregate: share of values within the tolerance of the group's median."""
     return F.avg((F.abs(F.col(value) - F.col(median)) <= tolerance).cast("double"))

@@ -160,26 +160,17 @@ def mean_score(lines: list[Line], otherwise: float = 0.0) -> float:
 
 
 def by_running_median(items: list, value, tolerance: float) -> list[list]:
-    """Sorted items; a new cluster where one is off the last cluster's median."""
-    out: list[list] = []
-    for item in items:
-        if out and abs(value(item) - median(map(value, out[-1]))) <= tolerance:
-            out[-1].append(item)
-        else:
-            out.append([item])
-    return out
-
+    """Items sorted by value; a new cluster where one is off the last cluster's median.
 
-def first_fit(items: list, value, tolerance: float) -> list[list]:
-    """Sorted items; each to the first cluster whose median it is near."""
-    out: list[list] = []
-    for item in items:
-        home = next((c for c in out if abs(value(item) - median(map(value, c))) <= tolerance), None)
-        if home is None:
-            out.append([item])
-        else:
-            home.append(item)
-    return out
+    That is also each item's first cluster whose median is near: one that an item was off stays as it was, and later
+    items are further off. A cluster is a stretch of sorted items, so its median stands in its middle.
+    """
+    values = [value(item) for item in items]
+    starts: list[int] = []
+    for k, v in enumerate(values):
+        if not starts or v - (values[(starts[-1] + k - 1) // 2] + values[(starts[-1] + k) // 2]) / 2 > tolerance:
+            starts.append(k)
+    return [items[a:b] for a, b in zip(starts, [*starts[1:], len(items)])]
 
 
 def by_gap(items: list, value, tolerance: float) -> list[list]:
@@ -485,7 +476,7 @@ def name_column(lines: list[Line], grid: Grid | None, c: Catalogs) -> list[Line]
     for k in options if grid else ():
         if (cell := grid.column_at(k.x, k.y)) is not None:
             by_cell.setdefault(cell, []).append(k)
-    clusters = [*by_cell.values(), *first_fit(sorted(options, key=lambda k: k.x1), lambda k: k.x1, 0.06 * max(1, lines[0].width))]
+    clusters = [*by_cell.values(), *by_running_median(sorted(options, key=lambda k: k.x1), lambda k: k.x1, 0.06 * max(1, lines[0].width))]
 
     def worth(cluster: list[Line]):
         own = [norm(names[id(k)]) for k in cluster]
@@ -504,7 +495,7 @@ def index_column(lines: list[Line]) -> set[int]:
         values = [int(re.sub(r"\D", "", k.text)) for k in sorted(cluster, key=lambda k: k.y)]
         return mean(b == a + 1 for a, b in zip(values, values[1:]))
 
-    runs = [r for r in first_fit(numbers, lambda k: k.x, 0.04 * max(1, lines[0].width)) if len(r) >= 4 and steps(r) >= 0.70] if numbers else []
+    runs = [r for r in by_running_median(numbers, lambda k: k.x, 0.04 * max(1, lines[0].width)) if len(r) >= 4 and steps(r) >= 0.70] if numbers else []
     return {id(k) for k in max(runs, key=lambda r: (len(r), steps(r)), default=[])}
 
 

@@ -500,6 +500,20 @@ def d_similar_pairs(spark, sf_dir):
     return pairs.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"), F.col("center_a").alias("center"), F.col("age_a").alias("age"), "reason")
 
 
+@query("""
+    with recursive g as (select l_partkey % 500 as grp, list(l_extendedprice::double order by l_extendedprice) as v from lineitem where l_extendedprice is not null group by 1),
+         r(grp, k, start, cluster) as (
+            select grp, 1, 1, 0 from g
+            union all select r.grp, r.k + 1, case when far then r.k + 1 else r.start end, case when far then r.cluster + 1 else r.cluster end
+            from (select r.*, g.v[r.k + 1] - (g.v[(r.start + r.k) // 2] + g.v[(r.start + r.k + 1) // 2]) / 2 > 900.0 as far from r join g on g.grp = r.grp where r.k < len(g.v)) r)
+    select r.grp, r.cluster::int as cluster, count(*)::int as n, min(g.v[r.k]) as low, max(g.v[r.k]) as high from r join g on g.grp = r.grp group by r.grp, r.cluster
+""")
+def q_median_clusters(spark, sf_dir):
+    """Prices of the line items of 500 groups of parts, clustered by running median."""
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 500).alias("grp"), "l_extendedprice")
+    return L.median_clusters(lines, ["grp"], "l_extendedprice", 900.0)
+
+
 def _hough_sql() -> str:
     table = ", ".join(f"({k}, {c}, {s})" for k, (c, s) in enumerate(directions(36)))
     return f"""

@@ -1,6 +1,7 @@
 """Laws that hold for any input."""
 
 import random
+import statistics
 
 import numpy as np
 from hypothesis import given, settings
@@ -11,10 +12,11 @@ from folioflux.functions import extract as X
 from folioflux.functions import text as T
 from folioflux.functions.similarity import ratio, ratio_from
 from folioflux.operators import evaluate as E
+from folioflux.operators import layout as L
 from folioflux.operators import matching as M
 from folioflux.operators import resolve as R
 from folioflux.operators.select import even_ordinals
-from folioflux.plans.pages import by_gap, by_running_median, first_fit
+from folioflux.plans.pages import by_gap, by_running_median
 
 LATIN = st.text(st.sampled_from("aB éÑüß1-.,|_•\t'"), max_size=30)
 
@@ -68,13 +70,41 @@ def test_alignment_keeps_order_and_is_best(n, m, rng):
 @given(st.lists(st.integers(0, 60), max_size=20))
 def test_clusters_part_their_input(values):
     values = sorted(values)
-    for rule in (by_gap, by_running_median, first_fit):
+    for rule in (by_gap, by_running_median):
         found = rule(values, lambda v: v, 4)
         assert sorted(v for c in found for v in c) == values
     found = by_gap(values, lambda v: v, 4)
     assert all(b[0] - a[-1] > 4 for a, b in zip(found, found[1:]))
 
 
+def by_all_medians(values, tolerance, first):
+    """Each value to the first (or only to the last) cluster whose median is near, medians taken anew each time."""
+    out: list[list] = []
+    for v in values:
+        home = next((c for c in (out if first else out[-1:]) if abs(v - statistics.median(c)) <= tolerance), None)
+        out, home = (out, home) if home is not None else ([*out, []], None)
+        (home if home is not None else out[-1]).append(v)
+    return out
+
+
+@given(st.lists(st.integers(0, 200), max_size=40), st.sampled_from([0, 1, 4, 25]))
+def test_running_medians_are_first_fits_of_sorted_values(values, tolerance):
+    values = sorted(values)
+    found = by_running_median(values, lambda v: v, tolerance)
+    assert found == by_all_medians(values, tolerance, False) == by_all_medians(values, tolerance, True)
+
+
+def test_the_fold_on_columns_gives_the_same_clusters(spark):
+    rng = random.Random(8)
+    groups = {k: [rng.choice([None, rng.randrange(60) / 2]) for _ in range(rng.randrange(30))] for k in range(30)}
+    rows = [(k, v, 0) for k, vs in groups.items() for v in vs]
+    got: dict = {}
+    for r in L.median_clusters(spark.createDataFrame(rows, "k int, v double, n int").repartition(3), ["k"], "v", 2.5).collect():
+        got.setdefault(r.k, []).append((r.cluster, r.n, r.low, r.high))
+    want = {k: [(i, len(c), c[0], c[-1]) for i, c in enumerate(by_running_median(sorted(v for v in vs if v is not None), lambda v: v, 2.5))] for k, vs in groups.items()}
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
 def test_even_samples_hold_both_ends(spark):
     for n, limit in ((2, 2), (9, 2), (100, 7), (101, 100)):
         got = sorted(r.ordinal for r in even_ordinals(spark, n, limit).collect())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioflux.operators import evaluate as E
 from folioflux.operators import resolve as R
+from folioflux.operators.graph import cut_lineage
 from folioflux.operators.images import detect_grids
 from folioflux.operators.recognise import MODES, recognise_pages
 from folioflux.operators.select import apply_edits
@@ -84,12 +85,11 @@ def recognised_lines(spark: SparkSession, images: DataFrame, config: Config, mak
         hits, misses = None, images
     else:
         hits, misses = I.cached_lines(images, I.read_cache(spark, config.cache, config.mode), config.mode)
-        hits = hits.cache()
-        hits.count()  # before the cache table grows
+        hits = cut_lineage(hits)  # before the cache table grows
     wanted = with_pixels(spark, misses, config.images)
     found = recognise_pages(wanted, make_engine, config.mode)
     if config.cache is not None:
-        found = found.cache()
+        found = cut_lineage(found)  # no page is recognised twice
         read = misses.join(wanted.select("image_id"), "image_id", "left_semi")  # a file that is no image has no entry
         I.store_lines(found, read, config.cache, config.mode)
     columns = ["image_id", "line_no", "text", "score", "box", "image_width", "image_height"]
@@ -114,7 +114,7 @@ def run(spark: SparkSession, config: Config, make_engine=None, lines: DataFrame
         grids = detect_grids(with_pixels(spark, images, config.images))
     timer.stage("ocr_segundos", 0.5)
     parsed = parse_pages(lines, catalogs, images, grids)
-    parsed = parsed.cache()
+    parsed = cut_lineage(parsed)
     errors = parsed.where("error is not null").join(images.select("image_id", "path"), "image_id").select("path", "error")
     order = images.select("image_id", F.col("ordinal").alias("page"))
     rows = parsed.where("error is null").join(order, "image_id").withColumn("ordinal", F.col("page").cast("long") * (1 << 20) + F.col("record_no"))
@@ -186,8 +186,8 @@ def review_counts(people: DataFrame) -> DataFrame:
 
 def evaluate(expected: DataFrame, predicted: DataFrame, folder: str | None = None) -> dict[str, DataFrame]:
     """Alignment, field, case and difference tables of (stem, row_no, fields); written as CSV and JSON on request."""
-    aligned = E.align_rows(expected, predicted).cache()
-    fields = E.compared_fields(aligned, expected, predicted).cache()
+    aligned = cut_lineage(E.align_rows(expected, predicted))
+    fields = cut_lineage(E.compared_fields(aligned, expected, predicted))
     differences = E.differences(aligned, fields, expected, predicted)
     cases = E.case_report(aligned).join(differences.groupBy(F.col("imagen").alias("stem")).agg(F.count("*").alias("diferencias")), "stem", "left").fillna({"diferencias": 0}).withColumnRenamed("stem", "imagen")
     out = {"casos": cases, "campos": E.field_report(fields, ["field"]).withColumnRenamed("field", "campo"), "diferencias": differences}

@@ -31,6 +31,21 @@ def test_licenses_against_brute_force(spark):
     assert scan_licenses(df.limit(0)).count() == 0
 
 
+def test_base_phrases_of_the_contract(spark):
+    """The base phrases are written out here: `mit license` alone is a phrase of the method, not of the base."""
+    base = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    texts = ["MIT License", "Under The MIT License.", "under the mit license\nunder-the-mit-license", "the mit license", "under the mİt license", "CC-BY-NC under the MIT", "Apache License, Version 2.0 (not the MIT license)", "under the mit licensé", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in scan_licenses(df).collect()}
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower))
+        at = [(k, label) for p, label in base.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        starts, r = [k for k, _ in at], got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at}))), t
+    assert got[0].labels == "mit"
+
+
 def test_many_templates_long_and_repeated_texts(spark):
     rng = random.Random(2)
     vocabulary = [a + b for a in ("ab", "cd", "ef", "gh", "ij", "lm") for b in ("one", "two", "six", "ten", "nil")]

@@ -45,9 +45,10 @@ def last_heading(rows: DataFrame, page: str, order: list[str], heading: Column,
 
 def column_of(rows: DataFrame, columns: DataFrame, page: str, x: str) -> DataFrame:
     """Rows with the column of their own page whose [start, end) holds x: an equi-join on the page, the interval a
-    residual condition. columns: page, start, end, ...; a null page or x meets none."""
+    residual condition. columns: page, start, end, ...; a null page or x meets none. The columns are few and go to the rows
+    (a broadcast), so that a page of very many rows is no single task's work."""
     inside = (F.col(x) >= F.col("start")) & (F.col(x) < F.col("end"))
-    return rows.join(columns, page).where(inside)
+    return rows.join(F.broadcast(columns), page).where(inside)
 
 
 def gap_clusters(rows: DataFrame, page: str, order: list[str], value: str, tolerance: Column, name: str = "cluster") -> DataFrame:

@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that a task of grouped features holds
+TASK_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, group: str) -> DataFrame:
+    """rows by group in as many partitions as their number asks for, which are not put together again: a task's sorts hold
+    some TASK_ROWS rows at any size. Aggregations and joins by the group need no further shuffle."""
+    return rows.repartition(max(1, -(-rows.count() // TASK_ROWS)), group)
+
+
 def boundary_at(boundaries: Column, position: Column) -> Column:
     """Coordinates of (slope, intercept) boundaries at a position."""
     return F.transform(boundaries, lambda b: b["slope"] * position + b["intercept"])

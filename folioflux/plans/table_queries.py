@@ -342,7 +342,7 @@ def q_gap_clusters(spark, sf_dir):
     select l_orderkey, round(avg((abs(l_quantity - m) <= 8)::int), 6) as ratio, count(*) as n from lineitem join m using (l_orderkey) group by 1
 """)
 def q_alignment_ratio(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
+    rows = L.dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity"), "l_orderkey")
     center = rows.groupBy("l_orderkey").agg(F.median("l_quantity").alias("m"))
     return rows.join(center, "l_orderkey").groupBy("l_orderkey").agg(F.round(L.alignment_ratio("l_quantity", "m", 8.0), 6).alias("ratio"), F.count("*").alias("n"))
 
@@ -383,7 +383,8 @@ def q_aux_bins(spark, sf_dir):
 """)
 def q_table_score(spark, sf_dir):
     """Aggregated features of an order's lines in the place of a page's."""
-    rows = table(spark, sf_dir, "lineitem")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_linenumber", "l_returnflag", "l_linestatus", "l_suppkey")
+    rows = L.dealt(rows, "l_orderkey")
     center = rows.groupBy("l_orderkey").agg(F.median("l_quantity").alias("m"))
     f = rows.join(center, "l_orderkey").groupBy("l_orderkey").agg(
         F.count("*").alias("names"), L.alignment_ratio("l_quantity", "m", 8.0).alias("aligned"), F.round(F.avg("l_discount") * 10, 9).alias("grid"), F.avg((F.col("l_tax") > 0.02).cast("int")).alias("regular"),

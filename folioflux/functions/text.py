@@ -40,7 +40,7 @@ def normalize(c: Column) -> Column:
 @lru_cache(maxsize=1 << 16)
 def normalize_kernel(value: str) -> str:
     """The same rule over all of Unicode (compatibility forms too)."""
-    bare = "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c))
+    bare = value if value.isascii() else "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c))
     return " ".join(re.sub("[^a-z0-9]+", " ", bare.lower()).split())
 
 

@@ -24,6 +24,17 @@ def letter_mask(text: str) -> int:
     return mask
 
 
+def measured(terms) -> list[tuple[str, int, int]]:
+    """Terms with their lengths and letters, for reachable()."""
+    return [(t, len(t), letter_mask(t)) for t in terms]
+
+
+def reachable(text: str, terms: list[tuple[str, int, int]], least: float) -> list[str]:
+    """The terms whose lengths and letters allow a ratio of `least` with a text."""
+    n, x = len(text), letter_mask(text)
+    return [t for t, size, y in terms if n + size - max(abs(n - size), (x ^ y).bit_count()) >= least * (n + size) - 1e-9]
+
+
 def ratio_from(a: str, b: str, least: float) -> float:
     """ratio(a, b) if it is `least` or more; a smaller one may be 0. Lengths and letters that only one side has bound it,
     so most pairs are not matched."""

@@ -73,6 +73,12 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda w: w != "")
 
 
+def first_words(c: Column, n: int) -> Column:
+    """The first n words of the normal form; a text is only gone through as a whole where its first letters have no more."""
+    near = words(normalize(F.substring(c, 1, 64 * n)))
+    return F.slice(F.when(F.size(near) > n, near).otherwise(words(normalize(c))), 1, n)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once: an expression inside a lambda is evaluated for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

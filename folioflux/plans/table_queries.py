@@ -187,7 +187,7 @@ def q_catalog_fuzzy(spark, sf_dir):
 
 def _openings(docs):
     """Catalog of the first three words of all documents, and these with a letter left out of each as texts."""
-    opening = docs.select("doc_id", F.array_join(F.slice(T.words(T.normalize(F.col("text"))), 1, 3), " ").alias("alias")).where("alias <> ''")
+    opening = docs.select("doc_id", F.array_join(T.first_words(F.col("text"), 3), " ").alias("alias")).where("alias <> ''")
     at = (F.col("doc_id") % F.length("alias")).cast("int")
     texts = opening.select("doc_id", F.concat(F.substring("alias", F.lit(1), at), F.substring("alias", at + 2, F.length("alias"))).alias("text"))
     return opening.select("alias", F.col("alias").alias("name")), texts
